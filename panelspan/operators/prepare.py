@@ -206,24 +206,24 @@ def resolve_unit(units: DataFrame, unit: str, requests: DataFrame, text: str) ->
     exact = stored.join(asked, stored["unit"] == asked["request"]).select(
         "request", "unit", F.lit(3.0).alias("score"))
     same = stored.join(asked, stored["_u"] == asked["_q"]).select("request", "unit", F.lit(2.0).alias("score"))
-    lengths_u = stored.agg(F.collect_set(F.length("_u"))).scalar()
-    lengths_q = asked.agg(F.collect_set(F.length("_q"))).scalar()
+    lengths_u = stored.agg(F.collect_set(F.length("_u")).alias("k")).scalar()
+    lengths_q = asked.agg(F.collect_set(F.length("_q")).alias("k")).scalar()
     inner = _substring_join(stored, "_u", asked.where(F.length("_q") > 3), "_q", lengths_q)
     outer = _substring_join(asked.where(F.length("_q") > 3), "_q", stored, "_u", lengths_u)
     score = 1 / (1 + 0.1 * F.size(F.split("unit", r"\s+")))
     part = inner.unionByName(outer).select("request", "unit", score.alias("score"))
     best = exact.unionByName(same).unionByName(part)
     return best.groupBy("request").agg(
-        F.max(F.struct("score", F.negate(F.length("unit")).alias("l"), "unit")).alias("b")).select(
+        F.max(F.struct("score", (-F.length("unit")).alias("l"), "unit")).alias("b")).select(
         "request", F.col("b.unit").alias("unit"), F.col("b.score").alias("score"))
 
 
 def _substring_join(hay: DataFrame, h: str, needle: DataFrame, n: str, lengths: Column) -> DataFrame:
     """Pairs where ``n`` occurs in ``h``: substrings of the lengths that needles have, then equality."""
-    sizes = F.filter(lengths, lambda k: k <= F.length(h))
-    cuts = F.flatten(F.transform(sizes, lambda k: F.transform(
-        F.sequence(F.lit(1), F.length(h) - k + 1), lambda i: F.substring(F.col(h), i, k))))
-    pieces = hay.select("*", F.explode(F.array_distinct(cuts)).alias("_piece"))
+    sized = hay.select("*", F.explode(lengths).alias("_k")).where(F.col("_k") <= F.length(h))
+    cuts = F.transform(F.sequence(F.lit(1), F.length(h) - F.col("_k") + 1),
+                       lambda i: F.substring(F.col(h), i, F.col("_k")))
+    pieces = sized.select("*", F.explode(F.array_distinct(cuts)).alias("_piece"))
     return pieces.join(needle, pieces["_piece"] == needle[n]).select("request", "unit")
 
 

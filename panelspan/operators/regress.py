@@ -19,7 +19,10 @@ from ..spec import REGRESSION_SCHEMA, shape_rows
 
 Z95 = 1.96
 TINY_SD = 1e-10
-LAD_PASSES = 60
+LAD_PASSES = 40
+LAD_LEAST = 7           # passes before a calm loss counts as settled
+LAD_SHRINK = 0.2        # how fast the smoothing width falls per pass
+LAD_DAMP = 0.02         # share of the always-safe reweighted curvature in the Newton curvature
 
 
 def regression_rows(df: DataFrame, by: Sequence[str], model: str, outcome: str, treatment: str,
@@ -188,69 +191,68 @@ def polynomial_ols(df: DataFrame, outcome: str, treatment: str, by: Sequence[str
 
 def median_quantile(df: DataFrame, outcome: str, treatment: str, by: Sequence[str] = (),
                     max_passes: int = LAD_PASSES, tol: float = 1e-9) -> DataFrame:
-    """Least absolute deviations by reweighted line fits.
+    """Least absolute deviations by Newton steps on a smoothed loss whose smoothing shrinks.
 
-    Each pass is one weighted aggregate per group (weights 1/max(|e|, floor), the floor shrinks).
-    The best line seen is kept, so the loss never exceeds that of the least-squares start.
+    Each pass is one aggregate per group: loss, gradient and curvature of sum(sqrt(e^2 + width^2)).
+    A pass that made the loss worse is followed by a half step back to the best line so far, so the
+    result is never worse than the least-squares start.
     """
     by = list(by)
     f = clean_numeric(df, {"_y": outcome, "_x": treatment}, by).persist()
+    # The state is a table and never a set of literals: all passes then share one compiled plan.
+    # Without groups it has one row, joined on a constant.
+    keys = by or ["_all"]
     try:
-        stats = materialise(line_stats(f, by))
+        stats = line_stats(f, by) if by else line_stats(f, by).withColumn("_all", F.lit(0))
+        stats = materialise(stats)
         line = materialise(stats.select(
-            *by, "_my", "_mx", F.coalesce(ratio(F.col("_sxy"), F.col("_sxx")), F.lit(0.0)).alias("_b"),
+            *keys, "_my", "_mx", F.coalesce(ratio(F.col("_sxy"), F.col("_sxx")), F.lit(0.0)).alias("_b"),
             F.lit(0.0).alias("_c"), F.lit(float("inf")).alias("_loss"), F.lit(0.0).alias("_bb"),
-            F.lit(0.0).alias("_bc"), F.sqrt(F.col("_syy") / F.col("_n")).alias("_scale"),
+            F.lit(0.0).alias("_bc"), (F.sqrt(F.col("_syy") / F.col("_n")) * 0.3).alias("_width"),
             F.lit(0).alias("_iter"), F.lit(False).alias("_done"), F.lit(0).alias("_calm")))
-        if not by:      # one line: its few numbers travel as literals between passes
-            row = line.first()
-            for step in range(max_passes):
-                row = _lad_pass(_with_row(f, row), line.columns, by, step, tol).first()
-                if row["_done"]:
-                    break
-            line = _with_row(f.sparkSession.range(1), row).drop("id")
-        else:
-            for step in range(max_passes):
-                line = materialise(_lad_pass(attach(f, line, by), line.columns, by, step, tol))
-                if step >= 12 and not line.where(~F.col("_done")).limit(1).count():
-                    break
-        return materialise(_lad_rows(f, stats, line, by, outcome, treatment))
+        rows = f if by else f.withColumn("_all", F.lit(0))
+        for step in range(max_passes):
+            line = materialise(_lad_pass(rows, line, keys, tol))
+            if step >= LAD_LEAST and not line.where(~F.col("_done")).limit(1).count():
+                break
+        return materialise(_lad_rows(rows, stats, line, keys, outcome, treatment).select(
+            *by, *[n for n, _ in REGRESSION_SCHEMA]))
     finally:
         f.unpersist()
 
 
-def _with_row(df: DataFrame, row) -> DataFrame:
-    return df.select("*", *[F.lit(v).alias(n) for n, v in row.asDict().items()])
-
-
-def _lad_pass(rows: DataFrame, columns: Sequence[str], by: list[str], step: int, tol: float) -> DataFrame:
+def _lad_pass(rows: DataFrame, line: DataFrame, by: list[str], tol: float) -> DataFrame:
     """Loss of the current line and the reweighted line after it. Lines run through (mean, mean)+c."""
-    floor = F.greatest(F.col("_scale") * F.lit(10.0 ** -min(2 + step / 2.0, 12.0)), F.lit(1e-300))
     dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
     e = dy - F.col("_b") * dx - F.col("_c")
-    w = 1 / F.greatest(F.abs(e), floor)
-    names = [c for c in columns if c not in by]
-    s = group_agg(rows, by, *_carry(*names), F.sum(F.abs(e)).alias("_now"),
-                  F.sum(w).alias("_w"), F.sum(w * dx).alias("_wx"), F.sum(w * dy).alias("_wy"),
-                  F.sum(w * dx * dx).alias("_wxx"), F.sum(w * dx * dy).alias("_wxy"))
+    width = F.greatest("_width", F.lit(1e-300))
+    r = F.sqrt(e * e + width * width)
+    pull, bend = e / r, (width / r) * (width / r) / r + LAD_DAMP / r
+    names = [c for c in line.columns if c not in by]
+    s = group_agg(attach(rows, line, by), by, *_carry(*names), F.sum(F.abs(e)).alias("_now"),
+                  F.sum(pull).alias("_g0"), F.sum(pull * dx).alias("_g1"), F.sum(bend).alias("_h0"),
+                  F.sum(bend * dx).alias("_h1"), F.sum(bend * dx * dx).alias("_h2"))
     better = F.col("_now") < F.col("_loss")
     gain = F.col("_loss") - F.col("_now")
     calm = F.when(gain > tol * F.col("_now"), F.lit(0)).otherwise(F.col("_calm") + 1)
-    det = F.col("_w") * F.col("_wxx") - F.col("_wx") * F.col("_wx")
-    slope = F.coalesce(ratio(F.col("_w") * F.col("_wxy") - F.col("_wx") * F.col("_wy"), det), F.col("_b"))
-    shift = (F.col("_wy") - slope * F.col("_wx")) / F.col("_w")
+    det = F.col("_h0") * F.col("_h2") - F.col("_h1") * F.col("_h1")
+    db = F.coalesce(ratio(F.col("_h0") * F.col("_g1") - F.col("_h1") * F.col("_g0"), det), F.lit(0.0))
+    dc = ratio(F.col("_g0") - F.col("_h1") * db, F.col("_h0"))
+    slope = F.when(better, F.col("_b") + db).otherwise((F.col("_b") + F.col("_bb")) / 2)
+    shift = F.when(better, F.col("_c") + dc).otherwise((F.col("_c") + F.col("_bc")) / 2)
     open_ = ~F.col("_done")
     return s.select(
-        *by, "_my", "_mx", "_scale",
+        *by, "_my", "_mx",
         F.when(open_, slope).otherwise(F.col("_b")).alias("_b"),
         F.when(open_, shift).otherwise(F.col("_c")).alias("_c"),
         F.least("_loss", "_now").alias("_loss"),
         F.when(better, F.col("_b")).otherwise(F.col("_bb")).alias("_bb"),
         F.when(better, F.col("_c")).otherwise(F.col("_bc")).alias("_bc"),
+        F.when(better, F.col("_width") * LAD_SHRINK).otherwise(F.col("_width")).alias("_width"),
         (F.col("_iter") + F.when(open_, 1).otherwise(0)).alias("_iter"),
-        calm.cast("int").alias("_calm"),
-        F.coalesce(F.col("_done") | ((calm >= 3) & F.lit(step >= 12)) | (F.col("_now") == 0),
-                   F.lit(True)).alias("_done"))
+        F.coalesce(F.col("_done") | ((calm >= 3) & (F.col("_iter") >= LAD_LEAST)) | (F.col("_now") == 0),
+                   F.lit(True)).alias("_done"),
+        calm.cast("int").alias("_calm"))
 
 
 def _lad_rows(f, stats, line, by, outcome, treatment) -> DataFrame:
