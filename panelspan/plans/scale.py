@@ -160,13 +160,13 @@ class Series:
         earlier = self._part_window().rowsBetween(-depth, -1)
         carry = tails.select(*self.keys, self.part,
                              F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
-        out = self._join_parts(inside.withColumn("_i", F.row_number().over(w)), carry)
+        out = self._join_parts(inside.withColumn("_at", F.row_number().over(w)), carry)
         for n, (c, k) in lags.items():
-            place = F.size("_carry") + F.col("_i") - F.lit(k)
-            carried = F.when((F.col("_i") <= k) & (place >= 1),
+            place = F.size("_carry") + F.col("_at") - F.lit(k)
+            carried = F.when((F.col("_at") <= k) & (place >= 1),
                              F.try_element_at("_carry", place.cast("int")).getField(c))
-            out = out.withColumn(n, F.when(F.col("_i") > k, F.col(n)).otherwise(carried))
-        return self._with(out.drop("_i", "_carry"))
+            out = out.withColumn(n, F.when(F.col("_at") > k, F.col(n)).otherwise(carried))
+        return self._with(out.drop("_at", "_carry"))
 
     def rows(self) -> DataFrame:
         return self.df.drop(self.part)
