@@ -24,8 +24,11 @@ def is_numeric(df: DataFrame, name: str) -> bool:
 def as_double(df: DataFrame, name: str) -> Column:
     """Coerce to double; what cannot be read as a number becomes NULL. Times become epoch seconds."""
     kind = dtype_of(df, name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")) / F.lit(1e6)
+    if isinstance(kind, T.TimestampNTZType):     # no time zone: seconds since 1970-01-01 on its own clock
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", start, F.col(name)) / F.lit(1e6)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name) / F.lit(1e6)
     if isinstance(kind, T.DateType):
         return F.unix_date(name).cast("double")
     return F.col(name).try_cast("double")

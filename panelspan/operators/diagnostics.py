@@ -11,9 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, clean_numeric, finite, ratio
-from ..functions.dist import chi2_sf_udf, norm_cdf, norm_cdf_udf, norm_ppf, norm_sf, t_tail_udf
-from ..plans.scale import Series, attach, group_agg, longest_group, materialise
+from ..functions.columns import clean_numeric, ratio
+from ..functions.dist import chi2_sf_udf, doubles, norm_cdf_udf, norm_ppf, norm_sf, t_tail_udf
+from ..plans.scale import Series, attach, group_agg, materialise
 from ..spec import DIAGNOSTIC_SCHEMA, shape_rows
 from .forecast import ar1_fit, series_prepare
 from .panel import demean_cells, panel_cells, panel_facts
@@ -188,7 +188,7 @@ def _shapiro(values: np.ndarray) -> tuple[float, float]:
     return w, float(norm_sf((y - mu) / sd))
 
 
-@F.pandas_udf("w double, p double")
+@F.pandas_udf(doubles("w", "p"))
 def _shapiro_udf(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_shapiro(np.asarray(v, dtype=float)) if v is not None and len(v) >= 3
                          else (None, None) for v in values], columns=["w", "p"])
