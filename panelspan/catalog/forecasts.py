@@ -1 +1,225 @@
+"""Forecast and diagnostic queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diagnostics as D
+from ..operators import forecast as FC
+from ..operators import prepare as PP
+from .base import (LINE, LINE_BY, MONTHLY, PANEL, SERIES, TREATED, X, Y, line_ctes, monthly, panel, query, shown, table, treated_panel)
+
+BY = ["o_orderpriority"]
+H = "unnest(generate_series(1, 10))"
+
+
+def _forecast_shown(df, *more, **digits):
+    return shown(df, "o_orderpriority", "model", "h", "n_obs", *more, time=3, forecast=4, ci_lower=4, ci_upper=4, rmse=5, **digits)
+
+
+def _forecast_select(model: str, point: str, band: str, source: str, more: str = "") -> str:
+    return f"""SELECT g AS o_orderpriority, '{model}' AS model, CAST(h AS INTEGER) AS h, n AS n_obs, round(CAST(tl + h*step AS DOUBLE), 3) AS time,
+  round({point}, 4) AS forecast, round({point} - {band}, 4) AS ci_lower, round({point} + {band}, 4) AS ci_upper, round(rmse, 5) AS rmse{more}
+  FROM {source}, (SELECT {H} AS h)"""
+
+
+FACTS = """k AS (SELECT g, any_value(n) AS n, max(t) AS tl, arg_max(y, t) AS yl, median(t - t1) AS step, sqrt(avg((y-y1)*(y-y1))) AS rw FROM s GROUP BY g)"""
+
+
+@query("series_prepare", f"WITH {MONTHLY} SELECT o_orderpriority, m AS t, round(avg(o_totalprice), 4) AS y FROM monthly GROUP BY 1, 2")
+def _(spark, d):
+    s = FC.series_prepare(monthly(spark, d), "o_totalprice", "m", BY)
+    return s.select("o_orderpriority", F.col("_t").cast("int").alias("t"), F.round("_y", 4).alias("y"))
+
+
+@query("series_by_time", f"WITH {MONTHLY} SELECT m AS time, round(avg(o_totalprice), 4) AS y, count(*) AS n FROM monthly GROUP BY 1")
+def _(spark, d):
+    s = PP.series_by_time(monthly(spark, d), "o_totalprice", "m")
+    return s.select(F.col("time").cast("int").alias("time"), F.round("y", 4).alias("y"), "n")
+
+
+@query("forecast_random_walk", f"WITH {SERIES}, {FACTS}, z AS (SELECT *, rw AS rmse FROM k) "
+       + _forecast_select("random_walk", "yl", "1.96*rmse*sqrt(h)", "z"))
+def _(spark, d):
+    return _forecast_shown(FC.forecast_random_walk(monthly(spark, d), "o_totalprice", "m", 10, BY))
+
+
+AR = f"""{SERIES}, {FACTS}, {line_ctes("SELECT g, y, y1 AS x FROM s WHERE y1 IS NOT NULL")},
+  z AS (SELECT k.*, a, b AS phi, sqrt(rss/fit.n) AS rmse, 4 + fit.n*ln(rss/fit.n) AS aic FROM k JOIN fit USING (g))"""
+
+
+@query("forecast_ar1", f"WITH {AR} " + _forecast_select("ar1", "(a*(1-power(phi,h))/(1-phi) + power(phi,h)*yl)", "1.96*rmse*sqrt(h)", "z",
+                                                        ", round(aic, 6) AS aic, round(phi, 8) AS ar1"))
+def _(spark, d):
+    return _forecast_shown(FC.forecast_ar1(monthly(spark, d), "o_totalprice", "m", 10, BY), aic=6, ar1=8)
+
+
+@query("forecast_linear_trend", f"""WITH {SERIES}, {FACTS}, {line_ctes("SELECT g, y, t AS x FROM s")},
+  z AS (SELECT k.*, a, b, my, mx, sqrt(rss/fit.n) AS rmse FROM k JOIN fit USING (g)) """
+       + _forecast_select("linear_trend", "(my + b*(tl + h*step - mx))", "1.96*rmse*sqrt(1 + h/CAST(n AS DOUBLE))", "z"))
+def _(spark, d):
+    return _forecast_shown(FC.forecast_linear_trend(monthly(spark, d), "o_totalprice", "m", 10, BY))
+
+
+@query("forecast_exp_smoothing", f"""WITH RECURSIVE {SERIES}, {FACTS}, al AS (SELECT round(0.05*i, 2)::DOUBLE AS alpha FROM range(1, 20) r(i)),
+  w(g, alpha, i, level, sse) AS (SELECT g, alpha, i, y, 0.0::DOUBLE FROM s, al WHERE i = 1
+    UNION ALL SELECT s.g, w.alpha, s.i, alpha*s.y + (1-alpha)*level, sse + (s.y-level)*(s.y-level) FROM w JOIN s ON s.g = w.g AND s.i = w.i + 1),
+  e AS (SELECT w.g, alpha, level, sse FROM w JOIN k USING (g) WHERE i = n),
+  z AS (SELECT k.*, alpha, level, sqrt(sse/(n-1)) AS rmse FROM k JOIN (
+    SELECT g, arg_min(alpha, sse) AS alpha, arg_min(level, sse) AS level, min(sse) AS sse FROM e GROUP BY g) USING (g)) """
+       + _forecast_select("exp_smoothing", "level", "1.96*rmse*sqrt(h)", "z", ", round(alpha, 2) AS alpha"))
+def _(spark, d):
+    return _forecast_shown(FC.forecast_exp_smoothing(monthly(spark, d), "o_totalprice", "m", 10, BY), alpha=2)
+
+
+@query("forecast_arima")
+def _(spark, d):
+    return FC.forecast_arima(monthly(spark, d), "o_totalprice", "m", 10, BY)
+
+
+@query("forecast_arima_per_user")
+def _(spark, d):
+    ev = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value")
+    return FC.forecast_arima(ev, "value", "day", 5, ["user_id"])
+
+
+@query("forecast_compare", f"""WITH {AR.replace('AS (SELECT k.*, a, b AS phi', 'AS (SELECT k.*, a, b AS phi')},
+  lt AS (SELECT g, my + b*(tl + step - mx) AS nx, sqrt(rss/nn) AS rmse FROM (SELECT k.g, tl, step, any_value(cnt) AS nn, any_value(my2) AS my, any_value(mx2) AS mx,
+    sum((t-mx2)*(y-my2))/sum((t-mx2)*(t-mx2)) AS b, sum((y-my2)*(y-my2)) - power(sum((t-mx2)*(y-my2)), 2)/sum((t-mx2)*(t-mx2)) AS rss
+    FROM s JOIN k USING (g) JOIN (SELECT g, avg(t) AS mx2, avg(y) AS my2, count(*) AS cnt FROM s GROUP BY g) USING (g) GROUP BY k.g, tl, step)),
+  u AS (SELECT g, 'linear_trend' AS model, nx, rmse FROM lt UNION ALL SELECT g, 'random_walk', yl, rw FROM k)
+SELECT u.g AS o_orderpriority, CAST(row_number() OVER (PARTITION BY u.g ORDER BY u.rmse) AS INTEGER) AS rank, model, round(u.rmse, 5) AS rmse,
+  round(nx, 4) AS next_forecast, n AS n_obs, round(u.rmse/rw, 7) AS vs_random_walk FROM u JOIN k USING (g)""")
+def _(spark, d):
+    r = FC.forecast_compare(monthly(spark, d), "o_totalprice", "m", 10, BY, ["linear_trend", "random_walk"])
+    return shown(r, "o_orderpriority", "rank", "model", "n_obs", rmse=5, next_forecast=4, vs_random_walk=7)
+
+
+# --- diagnostics -------------------------------------------------------------------------------------------
+
+def _check(df, *keys, **digits):
+    return shown(df, *keys, "check_id", "status", **{"statistic": 6, **digits})
+
+
+def _prepared(spark, d):
+    return FC.series_prepare(monthly(spark, d), "o_totalprice", "m", BY)
+
+
+@query("adf_lag0", f"""WITH {SERIES}, {line_ctes("SELECT g, y - y1 AS y, y1 AS x FROM s WHERE y1 IS NOT NULL")}
+SELECT g AS o_orderpriority, 'adf' AS check_id, round(b/sqrt(rss/(n-2)/sxx), 6) AS statistic FROM fit""")
+def _(spark, d):
+    return shown(D.adf_test(_prepared(spark, d), BY, auto_lag=False), "o_orderpriority", "check_id", statistic=6)
+
+
+@query("adf_test")
+def _(spark, d):
+    return D.adf_test(_prepared(spark, d), BY)
+
+
+KPSS = f"""{SERIES}, e AS (SELECT g, i, n, y - avg(y) OVER (PARTITION BY g) AS e FROM s),
+  c AS (SELECT g, i, n, e, sum(e) OVER (PARTITION BY g ORDER BY i) AS cs FROM e)"""
+
+
+@query("kpss_fixed_lag", f"""WITH {KPSS}, l AS (SELECT a.g, k, sum(a.e*b.e) AS p FROM e a JOIN (SELECT unnest(generate_series(1, 4)) AS k) ON TRUE
+    JOIN e b ON b.g = a.g AND b.i = a.i - k GROUP BY a.g, k),
+  v AS (SELECT g, sum(2*p*(1 - k/5.0)) AS extra FROM l GROUP BY g), t AS (SELECT g, any_value(n) AS n, sum(cs*cs) AS eta, sum(e*e) AS e2 FROM c GROUP BY g)
+SELECT g AS o_orderpriority, 'kpss' AS check_id, round(eta/(CAST(n AS DOUBLE)*n)/((e2+extra)/n), 7) AS statistic FROM t JOIN v USING (g)""")
+def _(spark, d):
+    return shown(D.kpss_test(_prepared(spark, d), BY, lag=4), "o_orderpriority", "check_id", statistic=7)
+
+
+@query("kpss_test", f"""WITH {KPSS}, ck AS (SELECT g, CAST(floor(power(n, 2.0/9)) AS INTEGER) AS cl FROM s GROUP BY g, n),
+  a AS (SELECT x.g, x.i - z.i AS k, sum(x.e*z.e) AS p FROM e x JOIN e z ON x.g = z.g AND z.i < x.i GROUP BY 1, 2),
+  b AS (SELECT g, any_value(n) AS n, sum(e*e) AS e2 FROM e GROUP BY g),
+  h AS (SELECT b.g, any_value(b.n) AS n, any_value(e2) AS e2, any_value(e2)/any_value(b.n) + sum(p)/(any_value(b.n)/2.0) AS s0,
+        sum(k*p)/(any_value(b.n)/2.0) AS s1 FROM b JOIN ck USING (g) JOIN a ON a.g = b.g AND a.k <= cl GROUP BY b.g),
+  w AS (SELECT g, n, e2, least(floor(1.1447*power(power(s1/s0, 2), 1.0/3)*power(n, 1.0/3)), n-1) AS lag FROM h),
+  v AS (SELECT w.g, sum(2*p*(1 - k/(lag+1))) AS extra FROM w JOIN a ON a.g = w.g AND a.k <= lag GROUP BY w.g),
+  t AS (SELECT g, sum(cs*cs) AS eta FROM c GROUP BY g),
+  o AS (SELECT g, lag, eta/(CAST(n AS DOUBLE)*n)/((e2 + coalesce(extra, 0))/n) AS st FROM w JOIN t USING (g) LEFT JOIN v USING (g)),
+  p AS (SELECT *, CASE WHEN st < 0.347 THEN 0.1 WHEN st <= 0.463 THEN 0.1 + (st-0.347)/(0.463-0.347)*(0.05-0.1)
+    WHEN st <= 0.574 THEN 0.05 + (st-0.463)/(0.574-0.463)*(0.025-0.05) WHEN st <= 0.739 THEN 0.025 + (st-0.574)/(0.739-0.574)*(0.01-0.025)
+    ELSE 0.01 END AS p FROM o)
+SELECT g AS o_orderpriority, 'kpss' AS check_id, CASE WHEN p < 0.05 THEN 'violated' ELSE 'ok' END AS status, round(st, 7) AS statistic,
+  round(p, 7) AS pvalue, CAST(lag AS DOUBLE) AS lag FROM p""")
+def _(spark, d):
+    r = D.kpss_test(_prepared(spark, d), BY)
+    return shown(r.withColumn("lag", F.col("detail")["lag"]), "o_orderpriority", "check_id", "status", "lag", statistic=7, pvalue=7)
+
+
+@query("ljung_box", f"""WITH {SERIES}, e AS (SELECT g, i, n, y - avg(y) OVER (PARTITION BY g) AS e FROM s),
+  a AS (SELECT x.g, any_value(x.n) AS n, x.i - z.i AS k, sum(x.e*z.e) AS p FROM e x JOIN e z ON x.g = z.g AND x.i - z.i BETWEEN 0 AND 10 GROUP BY x.g, x.i - z.i),
+  z AS (SELECT g, p AS g0 FROM a WHERE k = 0)
+SELECT g AS o_orderpriority, 'ljung_box' AS check_id, round(any_value(n)*(any_value(n)+2)*sum(power(p/g0, 2)/(n-k)), 7) AS statistic
+FROM a JOIN z USING (g) WHERE k > 0 GROUP BY g""")
+def _(spark, d):
+    return shown(D.ljung_box(_prepared(spark, d), "_t", BY, value="_y"), "o_orderpriority", "check_id", statistic=7)
+
+
+@query("durbin_watson", f"""WITH {PANEL}, {line_ctes("SELECT 0 AS g, y, x FROM panel")},
+  e AS (SELECT u, t, (y-my)-b*(x-mx) AS e FROM panel, fit), l AS (SELECT e, e - lag(e) OVER (PARTITION BY u ORDER BY t) AS de FROM e)
+SELECT 'durbin_watson' AS check_id, CASE WHEN abs(sum(de*de)/sum(e*e) - 2) > 0.5 THEN 'violated' ELSE 'ok' END AS status,
+  round(sum(de*de)/sum(e*e), 8) AS statistic FROM l""")
+def _(spark, d):
+    r = D.ols_residuals(panel(spark, d), "y", "x", (), ["u", "t"])
+    return _check(D.durbin_watson(r, "t", ["u"]), statistic=8)
+
+
+@query("breusch_pagan", f"""WITH {line_ctes(LINE_BY)}, e AS (SELECT g, n, power((y-my)-b*(x-mx), 2) AS e2, my+b*(x-mx) AS ft FROM f JOIN fit USING (g))
+SELECT g AS l_returnflag, 'breusch_pagan' AS check_id, round(any_value(n)*power(corr(e2, ft), 2), 6) AS statistic FROM e GROUP BY g""")
+def _(spark, d):
+    r = D.ols_residuals(table(spark, d, "lineitem"), Y, X, ["l_returnflag"])
+    return shown(D.breusch_pagan(r, ["l_returnflag"]), "l_returnflag", "check_id", statistic=6)
+
+
+@query("shapiro_wilk")
+def _(spark, d):
+    r = D.ols_residuals(table(spark, d, "lineitem"), Y, X, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    return D.shapiro_wilk(r, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+
+
+@query("vif", """WITH r AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+SELECT c AS "column", n AS n_obs, round(1/(1-r*r), 9) AS vif, 1/(1-r*r) > 10 AS violated FROM r, (VALUES ('l_quantity'), ('l_extendedprice')) v(c)""")
+def _(spark, d):
+    return shown(D.vif(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), "column", "n_obs", "violated", vif=9)
+
+
+@query("parallel_trends", f"""WITH {TREATED}, k AS (SELECT *, max(d) OVER (PARTITION BY u) > 0 AS tr FROM treated),
+  p AS (SELECT * FROM k WHERE t < (SELECT min(t) FROM treated WHERE d > 0)), m AS (SELECT tr, avg(t) AS mt, avg(y) AS my FROM p GROUP BY tr),
+  a AS (SELECT tr, count(*) AS n, sum((t-mt)*(t-mt)) AS stt, sum((t-mt)*(y-my)) AS sty, sum((y-my)*(y-my)) AS syy FROM p JOIN m USING (tr) GROUP BY tr),
+  r AS (SELECT sum(n) AS n, sum(syy - sty*sty/stt) AS rss, max(CASE WHEN tr THEN sty/stt END) - max(CASE WHEN NOT tr THEN sty/stt END) AS dif, sum(1/stt) AS iv FROM a)
+SELECT 'parallel_trends' AS check_id, round(dif, 5) AS statistic, round(sqrt(rss/(n-4)*iv), 5) AS interaction_se, CAST(n AS DOUBLE) AS n_pre,
+  {14}.0::DOUBLE AS first_treatment_period FROM r""")
+def _(spark, d):
+    r = D.parallel_trends(treated_panel(spark, d), "y", "d", "t", "u")
+    r = r.select("check_id", "statistic", *[F.col("detail")[k].alias(k) for k in ("interaction_se", "n_pre", "first_treatment_period")])
+    return shown(r, "check_id", "n_pre", "first_treatment_period", statistic=5, interaction_se=5)
+
+
+@query("arima_diagnostics")
+def _(spark, d):
+    return D.arima_diagnostics(monthly(spark, d), "o_totalprice", "m", BY)
+
+
+@query("did_diagnostics")
+def _(spark, d):
+    return D.did_diagnostics(treated_panel(spark, d), "y", "d", "t", "u")
+
+
+@query("ols_diagnostics")
+def _(spark, d):
+    return D.ols_diagnostics(table(spark, d, "lineitem"), Y, X, ["l_returnflag"])
+
+
+@query("corrective_switch", f"""WITH {PANEL}, {line_ctes("SELECT u AS g, y, x FROM panel")},
+  e AS (SELECT u, t, (y-my)-b*(x-mx) AS e FROM panel JOIN fit ON g = u), l AS (SELECT u, e, e - lag(e) OVER (PARTITION BY u ORDER BY t) AS de FROM e),
+  w AS (SELECT u, abs(sum(de*de)/sum(e*e) - 2) > 0.5 AS bad FROM l GROUP BY u)
+SELECT u, 'panel_ols' AS model, CASE WHEN bad THEN 'first_difference' ELSE 'panel_ols' END AS final_model,
+  CASE WHEN bad THEN 'durbin_watson' END AS because FROM w""")
+def _(spark, d):
+    p = panel(spark, d)
+    r = D.ols_residuals(p, "y", "x", ["u"], ["t"])
+    checks = D.durbin_watson(r, "t", [], ["u"])
+    spec = PP.PanelSpec("y", "x", "u", "t")
+    ok = PP.admissible_models(p.withColumn("nation", F.col("u")), PP.PanelSpec("y", "x", "nation", "t", spec.question_type), ["u"])
+    return D.corrective_switch(checks, p.select("u").distinct().withColumn("model", F.lit("panel_ols")), ok, ["u"])
