@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..plans.scale import Series, attach, exact_quantile, group_agg, longest_group, materialise
+from ..plans.scale import Series, attach, exact_quantile, group_agg, materialise
 from ..spec import FORECAST_SCHEMA, shape_rows
 from .prepare import series_by_time
 from .regress import Z95, line_fit
@@ -193,37 +193,49 @@ def forecast_exp_smoothing(df: DataFrame, outcome: str, time: str, periods: int
 # ARIMA
 # ---------------------------------------------------------------------------------------------
 
-def _arma_errors(w, const, ar, ma):
-    """One-step errors given zero starting errors (conditional on the first p values)."""
-    p, q, n = len(ar), len(ma), len(w)
-    mean = w.mean() if p else 0.0
-    base = np.concatenate([np.full(p, mean), w])
-    signal = w - const
-    for i, a in enumerate(ar, 1):
-        signal = signal - a * base[p - i:p - i + n]
-    if not q:
+ORDER = MAX_P + MAX_Q + 1          # parameters: constant, AR lags, MA lags
+BATCH_POINTS = 1_000_000           # points of one vectorised batch of fits
+
+
+def _arma_errors(w, theta, p):
+    """One-step errors of many series at once (rows), zero before position p.
+
+    ``theta`` columns: constant, AR 1..3, MA 1..3; unused lags are zero.
+    """
+    rows, size = w.shape
+    signal = w - theta[:, :1]
+    for i in range(1, MAX_P + 1):
+        signal[:, i:] -= theta[:, i:i + 1] * w[:, :-i]
+    signal[np.arange(size)[None, :] < p[:, None]] = 0.0
+    ma = theta[:, MAX_P + 1:]
+    if not ma.any():
         return signal
-    e = np.zeros(n + q)
-    for t in range(n):
-        e[t + q] = signal[t] - np.dot(ma, e[t:t + q][::-1])
-    return e[q:]
+    e = np.zeros((MAX_Q + size, rows))
+    first, second, third = ma.T
+    for t, now in enumerate(signal.T):
+        e[t + MAX_Q] = now - first * e[t + 2] - second * e[t + 1] - third * e[t]
+    return e[MAX_Q:].T
 
 
-def _shrink_roots(coef, limit=0.98):
-    """Scale a lag polynomial so that its roots are outside the unit circle."""
-    coef = np.asarray(coef, dtype=float)
-    if len(coef):
-        big = np.max(np.abs(np.roots(np.concatenate([[1.0], -coef]))))
-        if big > limit:
-            coef = coef * (limit / big) ** np.arange(1, len(coef) + 1)
-    return coef
+def _inside(coef, limit=0.98):
+    """Scale lag polynomials whose roots reach the unit circle (one per row)."""
+    top = np.zeros((len(coef), coef.shape[1], coef.shape[1]))
+    top[:, 0, :] = coef
+    top[:, range(1, coef.shape[1]), range(coef.shape[1] - 1)] = 1.0
+    big = np.abs(np.linalg.eigvals(top)).max(axis=1)
+    shrink = np.where(big > limit, limit / np.maximum(big, 1e-12), 1.0)
+    return coef * shrink[:, None] ** np.arange(1, coef.shape[1] + 1)
 
 
-def _fit_arma(w, p, q, with_const, skip):
-    """Conditional least squares by damped Gauss-Newton from a Hannan-Rissanen start.
+def _admissible(theta):
+    out = theta.copy()
+    out[:, 1:MAX_P + 1] = _inside(theta[:, 1:MAX_P + 1])
+    out[:, MAX_P + 1:] = -_inside(-theta[:, MAX_P + 1:])
+    return out
 
-    The loss leaves out the first ``skip`` points, so that orders are compared on one sample.
-    """
+
+def _arma_start(w, p, q, with_const):
+    """Hannan-Rissanen: a long autoregression gives errors, then one regression on lags of both."""
     n = len(w)
     long = max(1, min(n // 4, p + q + 5))
     lags = np.column_stack([np.ones(n - long)] + [w[long - i:n - i] for i in range(1, long + 1)])
@@ -232,40 +244,65 @@ def _fit_arma(w, p, q, with_const, skip):
     m = long + q if q else p
     cols = ([np.ones(n - m)] if with_const else []) + [w[m - i:n - i] for i in range(1, p + 1)] + [
         rough[m - i:n - i] for i in range(1, q + 1)]
-    start = np.linalg.lstsq(np.column_stack(cols), w[m:], rcond=None)[0] if cols else np.zeros(0)
-    c = 1 if with_const else 0
-
-    def unpack(theta):
-        return (theta[0] if c else 0.0), _shrink_roots(theta[c:c + p]), -_shrink_roots(-theta[c + p:])
+    beta = np.linalg.lstsq(np.column_stack(cols), w[m:], rcond=None)[0]
+    c = int(with_const)
+    theta = np.zeros(ORDER)
+    theta[:c] = beta[:c]
+    theta[1:1 + p], theta[MAX_P + 1:MAX_P + 1 + q] = beta[c:c + p], beta[c + p:]
+    return theta
 
-    def pack(const, ar, ma):
-        return np.concatenate([[const] if c else [], ar, ma])
 
-    def loss(theta):
-        e = _arma_errors(w, *unpack(theta))[skip:]
-        return e, float(e @ e)
+def _fit_batch(w, sizes, p, q, with_const, skip):
+    """Conditional least squares of many orders and series at once: damped Gauss-Newton.
 
-    theta = pack(*unpack(start))
-    e, best = loss(theta)
-    damp = 1e-3
-    scale = np.maximum(np.abs(theta), 0.1)
+    The loss leaves out the first ``skip`` points, so that orders of a series share one sample.
+    """
+    rows, size = w.shape
+    place = np.arange(size)[None, :]
+    used = (place >= skip[:, None]) & (place < sizes[:, None])
+    lags = np.arange(1, MAX_P + 1)[None, :]
+    free = np.concatenate([with_const[:, None], lags <= p[:, None], lags <= q[:, None]], axis=1)
+    theta = _admissible(np.stack([_arma_start(w[i, :sizes[i]], int(p[i]), int(q[i]), bool(with_const[i])) for i in range(rows)]))
+
+    def errors(th, who=slice(None)):
+        return np.where(used[who], _arma_errors(w[who], th, p[who]), 0.0)
+
+    e = errors(theta)
+    best = np.einsum("rt,rt->r", e, e)
+    damp, live = np.full(rows, 1e-3), np.ones(rows, dtype=bool)
     for _ in range(30):
-        jac = np.column_stack([(loss(theta + 1e-6 * scale[i] * np.eye(len(theta))[i])[0] - e) / (1e-6 * scale[i])
-                               for i in range(len(theta))])
-        normal, slope = jac.T @ jac, jac.T @ e
-        moved = False
-        for _ in range(8):
-            step = np.linalg.lstsq(normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12)), -slope, rcond=None)[0]
-            trial = pack(*unpack(theta + step))
-            e2, value = loss(trial)
-            if np.isfinite(value) and value < best:
-                moved = (best - value) > 1e-9 * best
-                theta, e, best, damp = trial, e2, value, damp / 5
-                break
-            damp *= 5
-        if not moved:
+        who = np.flatnonzero(live)
+        if not len(who):
             break
-    return (*unpack(theta), best)
+        step = 1e-6 * np.maximum(np.abs(theta[who]), 0.1)
+        jac = np.zeros((len(who), size, ORDER))
+        for k in range(ORDER):
+            if free[who, k].any():
+                moved = theta[who].copy()
+                moved[:, k] += step[:, k]
+                jac[:, :, k] = (errors(moved, who) - e[who]) / step[:, k:k + 1] * free[who, k:k + 1]
+        normal = np.einsum("rtk,rtl->rkl", jac, jac)
+        slope = np.einsum("rtk,rt->rk", jac, e[who])
+        size_of = np.maximum(np.einsum("rkk->rk", normal), 1e-12)
+        normal[:, range(ORDER), range(ORDER)] += np.where(free[who], 0.0, 1.0)
+        gained, todo = np.zeros(len(who), dtype=bool), np.arange(len(who))
+        for _ in range(6):
+            if not len(todo):
+                break
+            ridge = normal[todo].copy()
+            ridge[:, range(ORDER), range(ORDER)] += damp[who[todo], None] * size_of[todo]
+            trial = _admissible(theta[who[todo]] - np.linalg.solve(ridge, slope[todo][:, :, None])[:, :, 0])
+            fresh = errors(trial, who[todo])
+            value = np.einsum("rt,rt->r", fresh, fresh)
+            good = value < best[who[todo]]
+            done = who[todo[good]]
+            gained[todo[good]] = (best[done] - value[good]) > 1e-8 * best[done]
+            theta[done], e[done], best[done] = trial[good], fresh[good], value[good]
+            damp[done] /= 5
+            damp[who[todo[~good]]] *= 8
+            todo = todo[~good]
+        live[who[~gained]] = False
+    return theta, e, best, used.sum(axis=1)
 
 
 def _psi_weights(ar, ma, d, horizon):
@@ -281,51 +318,60 @@ def _psi_weights(ar, ma, d, horizon):
     return psi
 
 
-def _arima_one(y, p, d, q, horizon):
-    """Fit one order; AIC from the Gaussian conditional likelihood on the common sample."""
-    w = np.diff(y, d) if d else y
-    skip = MAX_P + (MAX_D - d)
-    const, ar, ma, sse = _fit_arma(w, p, q, d == 0, skip)
-    used = len(w) - skip
-    sigma2 = max(sse / used, 1e-300)
-    k = p + q + (1 if d == 0 else 0) + 1
-    aic = used * (np.log(2 * np.pi * sigma2) + 1) + 2 * k
-    e = _arma_errors(w, const, ar, ma)
-    hist, errs, out = list(w), list(e), []
-    for _ in range(horizon):
-        ar_part = sum(a * hist[-i] for i, a in enumerate(ar, 1))
-        ma_part = sum(b * errs[-i] for i, b in enumerate(ma, 1))
-        hist.append(const + ar_part + ma_part)
-        errs.append(0.0)
-        out.append(hist[-1])
-    path = np.asarray(out)
-    if d:
-        path = y[-1] + np.cumsum(path)
-    spread = np.sqrt(sigma2 * np.cumsum(_psi_weights(ar, ma, d, horizon) ** 2))
-    rmse = float(np.sqrt(np.mean(e[skip:] ** 2)))
-    return aic, rmse, float(ar[0]) if len(ar) else 0.0, path, spread
-
-
-def _arima_task(horizon, by):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        y = np.asarray(row["_ys"], dtype=float)
-        keys = {k: [row[k]] for k in (*by, "p", "d", "q")}
-        try:
-            aic, rmse, ar1, path, spread = _arima_one(y, int(row["p"]), int(row["d"]), int(row["q"]), horizon)
-            ok = np.isfinite(aic) and np.all(np.isfinite(path))
-        except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-            ok = False
-        if not ok:
-            return pd.DataFrame({**keys, "aic": [None], "rmse": [None], "ar1": [None], "path": [None], "spread": [None]})
-        return pd.DataFrame({**keys, "aic": [aic], "rmse": [rmse], "ar1": [ar1], "path": [path.tolist()],
-                             "spread": [spread.tolist()]})
-    return fit
+def _arima_batch(ys, p, d, q, horizon):
+    """Fit a batch of (series, order) rows; AIC is the Gaussian conditional one on the common sample."""
+    ws = [np.diff(y, k) if k else y for y, k in zip(ys, d)]
+    sizes = np.array([len(x) for x in ws])
+    w = np.zeros((len(ws), sizes.max()))
+    for i, x in enumerate(ws):
+        w[i, :len(x)] = x
+    theta, e, sse, used = _fit_batch(w, sizes, p, q, d == 0, MAX_P + (MAX_D - d))
+    sigma2 = np.maximum(sse / used, 1e-300)
+    aic = used * (np.log(2 * np.pi * sigma2) + 1) + 2 * (p + q + (d == 0) + 1)
+    out = []
+    for i, y in enumerate(ys):
+        ar, ma = theta[i, 1:1 + p[i]], theta[i, MAX_P + 1:MAX_P + 1 + q[i]]
+        hist, errs, path = list(ws[i]), list(e[i, :sizes[i]]), []
+        for _ in range(horizon):
+            path.append(theta[i, 0] + sum(a * hist[-j] for j, a in enumerate(ar, 1)) + sum(
+                b * errs[-j] for j, b in enumerate(ma, 1)))
+            hist.append(path[-1])
+            errs.append(0.0)
+        path = y[-1] + np.cumsum(path) if d[i] else np.asarray(path)
+        spread = np.sqrt(sigma2[i] * np.cumsum(_psi_weights(ar, ma, int(d[i]), horizon) ** 2))
+        ok = np.isfinite(aic[i]) and np.all(np.isfinite(path))
+        out.append((aic[i], np.sqrt(sigma2[i]), ar[0] if len(ar) else 0.0, list(path), list(spread)) if ok
+                   else (None,) * 5)
+    return out
+
+
+FIT_COLUMNS = ["aic", "rmse", "ar1", "path", "spread"]
+FIT_TYPE = "aic double, rmse double, ar1 double, path array<double>, spread array<double>"
+
+
+def _arima_udf(horizon):
+    def fit(ys: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.DataFrame:
+        ys = [np.asarray(y, dtype=float) for y in ys]
+        p, d, q = (v.to_numpy(dtype=int) for v in (p, d, q))
+        order = np.argsort([len(y) for y in ys], kind="stable")     # similar lengths share a batch
+        rows: list = [None] * len(ys)
+        start = 0
+        while start < len(order):
+            stop = start + 1
+            while stop < len(order) and (stop + 1 - start) * len(ys[order[stop]]) <= BATCH_POINTS:
+                stop += 1
+            part = order[start:stop]
+            for i, r in zip(part, _arima_batch([ys[i] for i in part], p[part], d[part], q[part], horizon)):
+                rows[i] = r
+            start = stop
+        return pd.DataFrame(rows, columns=FIT_COLUMNS)
+    fit.__annotations__ = {"ys": pd.Series, "p": pd.Series, "d": pd.Series, "q": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(fit, FIT_TYPE)
 
 
 def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by: Sequence[str] = (),
                    max_series_rows: int | None = None, max_fit_rows: int = ARIMA_ROWS) -> DataFrame:
-    """Order grid p, q <= 3, d <= 1 by AIC; every (series, order) pair is its own task unit.
+    """Order grid p, q <= 3, d <= 1 by AIC; every (series, order) pair is a row of its own.
 
     Series shorter than 10 points use AR(1). Series beyond ``max_fit_rows`` periods do not go to a
     Python task: their pure AR orders are fitted by moment aggregates over lag columns (``ar_grid``).
@@ -364,16 +410,14 @@ def _order_grid(n: Column) -> Column:
 
 
 def _task_fits(rows: DataFrame, by: list[str], periods: int) -> DataFrame:
-    """One fit per (series, order); series here are bounded by ``max_fit_rows`` points."""
+    """One row per (series, order), fitted in vectorised batches; series are bounded here by
+    ``max_fit_rows`` points."""
     arrays = group_agg(rows, by, F.transform(F.sort_array(F.collect_list(F.struct("_t", "_y"))),
                                              lambda r: r["_y"]).alias("_ys"))
     jobs = (arrays.withColumn("_o", F.explode(_order_grid(F.size("_ys"))))
             .select(*by, "_ys", "_o.p", "_o.d", "_o.q"))
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
-    schema = (keys + ", " if by else "") + (
-        "p int, d int, q int, aic double, rmse double, ar1 double, path array<double>, spread array<double>")
-    fitted = jobs.groupBy(*by, "p", "d", "q").applyInPandas(_arima_task(periods, by), schema)
-    return fitted.withColumn("engine", F.lit("css"))
+    fitted = jobs.withColumn("_f", _arima_udf(periods)("_ys", "p", "d", "q"))
+    return fitted.select(*by, "p", "d", "q", "_f.*", F.lit("css").alias("engine"))
 
 
 def ar_grid(series: DataFrame, by: list[str], periods: int, max_series_rows: int | None = None) -> DataFrame:
@@ -394,7 +438,7 @@ def ar_grid(series: DataFrame, by: list[str], periods: int, max_series_rows: int
     end = attach(long, group_agg(lag, by, F.max_by("_y", "_t").alias("_end")), by)
     sums = end.groupBy(*by, "d").agg(F.array(*pairs).alias("_m"), recent.alias("_z"), F.any_value("_end").alias("_end"))
     jobs = sums.withColumn("p", F.explode(F.array(*[F.lit(p) for p in range(1, MAX_P + 1)])))
-    solve = F.pandas_udf(_ar_solver(periods), "aic double, rmse double, ar1 double, path array<double>, spread array<double>")
+    solve = F.pandas_udf(_ar_solver(periods), FIT_TYPE)
     return jobs.select(*by, F.col("p"), F.col("d"), F.lit(0).alias("q"), solve("_m", "_z", "_end", "p", "d").alias("_f")).select(
         *by, "p", "d", "q", "_f.*", F.lit("ar_moments").alias("engine"))
 
@@ -422,7 +466,7 @@ def _ar_solver(horizon):
             spread = np.sqrt(sse / n * np.cumsum(_psi_weights(ar, [], int(di), horizon) ** 2))
             out.append((n * (np.log(2 * np.pi * sse / n) + 1) + 2 * k, np.sqrt(sse / n), ar[0],
                         list(path), list(spread)))
-        return pd.DataFrame(out, columns=["aic", "rmse", "ar1", "path", "spread"])
+        return pd.DataFrame(out, columns=FIT_COLUMNS)
     solve.__annotations__ = {"m": pd.Series, "z": pd.Series, "end": pd.Series, "p": pd.Series, "d": pd.Series,
                              "return": pd.DataFrame}
     return solve
