@@ -18,14 +18,14 @@ def _scratch(spark, suffix: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelspan/{uuid.uuid4().hex}{suffix}"
 
 
-ORDERS_SUM = """SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice)/1e6, 6) AS total_m, CAST(min(o_orderdate) AS VARCHAR) AS first_day,
+ORDERS_SUM = """SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(min(o_orderdate) AS VARCHAR) AS first_day,
   CAST(max(o_orderdate) AS VARCHAR) AS last_day FROM orders GROUP BY 1"""
 
 
 def _orders_sum(df):
     day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")     # noqa: E731
     return df.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice") / 1e6, 6).alias("total_m"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"),
         day(F.min("o_orderdate")).alias("first_day"), day(F.max("o_orderdate")).alias("last_day"))
 
 

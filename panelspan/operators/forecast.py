@@ -6,6 +6,7 @@ operations from ``Series`` (which split long series) and per-series aggregates.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 
@@ -29,6 +30,7 @@ ARIMA_ROWS = 20_000         # longest series fitted by one Python task
 MAX_P = MAX_Q = 3
 MAX_D = 1
 ARIMA_LEAST = 10
+SERIES_PER_TASK = 100
 
 
 def series_prepare(df: DataFrame, outcome: str, time: str, by: Sequence[str] = ()) -> DataFrame:
@@ -383,8 +385,9 @@ def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by
     short = forecast_ar1(df, outcome, time, periods, by, max_series_rows).withColumn("model", F.lit("arima"))
     short = short.where(F.col("n_obs") < ARIMA_LEAST)
     fits = []
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(facts.count() / SERIES_PER_TASK))
     fits.append(_task_fits(attach(lagged, sizes, by).where(
-        F.col("_n").between(ARIMA_LEAST, max_fit_rows)), by, periods))
+        F.col("_n").between(ARIMA_LEAST, max_fit_rows)), by, periods, tasks))
     if facts.where(F.col("_n") > max_fit_rows).limit(1).count():
         fits.append(ar_grid(attach(lagged, sizes, by).where(F.col("_n") > max_fit_rows)
                             .select(*by, "_t", "_y"), by, periods, max_series_rows))
@@ -409,12 +412,14 @@ def _order_grid(n: Column) -> Column:
     return F.filter(orders, lambda o: (o["p"] <= most) & (o["q"] <= most))
 
 
-def _task_fits(rows: DataFrame, by: list[str], periods: int) -> DataFrame:
+def _task_fits(rows: DataFrame, by: list[str], periods: int, tasks: int) -> DataFrame:
     """One row per (series, order), fitted in vectorised batches; series are bounded here by
     ``max_fit_rows`` points."""
     arrays = group_agg(rows, by, F.transform(F.sort_array(F.collect_list(F.struct("_t", "_y"))),
                                              lambda r: r["_y"]).alias("_ys"))
-    jobs = (arrays.withColumn("_o", F.explode(_order_grid(F.size("_ys"))))
+    # The fits cost far more than their few bytes suggest, so the number of tasks is set by hand.
+    jobs = (arrays.repartition(tasks, *by) if by else arrays)
+    jobs = (jobs.withColumn("_o", F.explode(_order_grid(F.size("_ys"))))
             .select(*by, "_ys", "_o.p", "_o.d", "_o.q"))
     fitted = jobs.withColumn("_f", _arima_udf(periods)("_ys", "p", "d", "q"))
     return fitted.select(*by, "p", "d", "q", "_f.*", F.lit("css").alias("engine"))

@@ -169,7 +169,7 @@ def numeric_outcome_fallback(df: DataFrame, outcome: str) -> str:
     numbers = [c for c in df.columns if is_numeric(df, c) and c != outcome]
     if not numbers:
         return outcome
-    row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in numbers]).first()
+    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in numbers]).first()
     return next((c for c in numbers if row[c] > 5), outcome)
 
 

@@ -261,12 +261,13 @@ def _lad_rows(f, stats, line, by, outcome, treatment) -> DataFrame:
     known = materialise(attach(stats, lines, keys))
     e = (F.col("_y") - F.col("_my")) - F.col("_bb") * (F.col("_x") - F.col("_mx")) - F.col("_bc")
     resid = attach(f, known, keys).select(*keys, e.alias("_e"), "_y")
-    mid = materialise(exact_quantile(resid, "_e", 0.5, keys, "_med"))
-    dev = attach(resid, mid, keys).select(*keys, F.abs(F.col("_e") - F.col("_med")).alias("_dev"))
+    mids = exact_quantile(resid.unpivot(keys, ["_e", "_y"], "_of", "_v"), "_v", 0.5, [*keys, "_of"], "_mid")
+    mids = materialise(mids.groupBy(*keys).agg(F.max(F.when(F.col("_of") == "_e", F.col("_mid"))).alias("_med"),
+                                               F.max(F.when(F.col("_of") == "_y", F.col("_mid"))).alias("_ymed")))
+    dev = attach(resid, mids, keys).select(*keys, "_e", F.abs(F.col("_e") - F.col("_med")).alias("_dev"),
+                                           F.abs(F.col("_y") - F.col("_ymed")).alias("_away"))
     mad = exact_quantile(dev, "_dev", 0.5, keys, "_mad")
-    ymid = exact_quantile(f.select(*keys, "_y"), "_y", 0.5, keys, "_ymed")
-    spread = group_agg(attach(resid, materialise(ymid), keys), keys,
-                       F.stddev_pop("_e").alias("_sd"), F.sum(F.abs(F.col("_y") - F.col("_ymed"))).alias("_abs0"))
+    spread = group_agg(dev, keys, F.stddev_pop("_e").alias("_sd"), F.sum("_away").alias("_abs0"))
     full = attach(attach(known, materialise(mad), keys), materialise(spread), keys)
     sigma = F.when(F.col("_mad") > 0, F.lit(1.4826) * F.col("_mad")).otherwise(F.col("_sd"))
     return regression_rows(full, by, "median_quantile", outcome, treatment, _line_error(8), dict(
