@@ -187,11 +187,10 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5, by: Sequence[str] =
     by = list(by)
     src = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     limit = MEDIAN_ROWS if max_rows is None else max_rows
-    if longest_group(src, by) <= limit:
+    size = materialise(group_agg(src, by, F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
+                                 F.max("_v").alias("_hi")))
+    if int(size.agg(F.max("_n")).first()[0] or 0) <= limit:
         return group_agg(src, by, F.percentile("_v", F.lit(q)).alias(alias))
-
-    size = group_agg(src, by, F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                     F.max("_v").alias("_hi"))
     place = (F.col("_n") - 1) * F.lit(float(q))
     goals = size.select(
         *by, "_lo", "_hi", (place - F.floor(place)).alias("_w"),
