@@ -7,18 +7,26 @@ collected or sent to Python.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import as_double, clean_numeric, finite, positive_part, ratio
-from ..functions.dist import t_tail_udf
+from ..functions.columns import clean_numeric, positive_part, ratio
+from ..functions.dist import doubles, t_tail_udf
 from ..plans.scale import Series, attach, exact_quantile, group_agg, materialise
 from ..spec import REGRESSION_SCHEMA, shape_rows
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Z95 = 1.96
 TINY_SD = 1e-10
+LAD_EXACT_ROWS = 50_000  # largest group solved exactly in one task
 LAD_PASSES = 40
 LAD_LEAST = 7           # passes before a calm loss counts as settled
 LAD_SHRINK = 0.2        # how fast the smoothing width falls per pass
@@ -190,39 +198,101 @@ def polynomial_ols(df: DataFrame, outcome: str, treatment: str, by: Sequence[str
 # ---------------------------------------------------------------------------------------------
 
 def median_quantile(df: DataFrame, outcome: str, treatment: str, by: Sequence[str] = (),
-                    max_passes: int = LAD_PASSES, tol: float = 1e-9) -> DataFrame:
-    """Least absolute deviations by Newton steps on a smoothed loss whose smoothing shrinks.
+                    max_passes: int = LAD_PASSES, tol: float = 1e-9, exact_rows: int = LAD_EXACT_ROWS) -> DataFrame:
+    """Least absolute deviations.
 
-    Each pass is one aggregate per group: loss, gradient and curvature of sum(sqrt(e^2 + width^2)).
-    A pass that made the loss worse is followed by a half step back to the best line so far, so the
-    result is never worse than the least-squares start.
+    Groups of at most ``exact_rows`` rows are solved exactly, a batch of groups per task. Larger groups
+    are solved by Newton steps on a smoothed loss whose smoothing shrinks: each pass is one aggregate
+    (loss, gradient and curvature of sum(sqrt(e^2 + width^2))), whatever the size of the group. A pass
+    that made the loss worse is followed by a half step back to the best line so far.
     """
     by = list(by)
     f = clean_numeric(df, {"_y": outcome, "_x": treatment}, by).persist()
-    # The state is a table and never a set of literals: all passes then share one compiled plan.
-    # Without groups it has one row, joined on a constant.
-    keys = by or ["_all"]
     try:
         # The loss around the median of y is flat there, so a fine sketch of that median is enough.
-        stats = line_stats(f, by, F.percentile_approx("_y", 0.5, 100_000).alias("_ymed"))
-        stats = stats if by else stats.withColumn("_all", F.lit(0))
-        stats = materialise(stats)
-        line = materialise(stats.select(
-            *keys, "_my", "_mx", F.coalesce(ratio(F.col("_sxy"), F.col("_sxx")), F.lit(0.0)).alias("_b"),
-            F.lit(0.0).alias("_c"), F.lit(float("inf")).alias("_loss"), F.lit(0.0).alias("_bb"),
-            F.lit(0.0).alias("_bc"), (F.sqrt(F.col("_syy") / F.col("_n")) * 0.3).alias("_width"),
-            F.lit(0).alias("_iter"), F.lit(False).alias("_done"), F.lit(0).alias("_calm")))
-        rows = f if by else f.withColumn("_all", F.lit(0))
-        for step in range(max_passes):
-            line = materialise(_lad_pass(rows, line, keys, tol))
-            if step >= LAD_LEAST and not line.where(~F.col("_done")).limit(1).count():
-                break
-        return materialise(_lad_rows(rows, stats, line, keys, outcome, treatment).select(
-            *by, *[n for n, _ in REGRESSION_SCHEMA]))
+        stats = materialise(line_stats(f, by, F.percentile_approx("_y", 0.5, 100_000).alias("_ymed")))
+        small, large = F.col("_n") <= exact_rows, F.col("_n") > exact_rows
+        fits = [_lad_exact(attach(f, stats.select(*by, "_n"), by).where(small), by)]
+        if stats.where(large).limit(1).count():
+            fits.append(_lad_descent(f, stats.where(large), by, max_passes, tol))
+        fit = fits[0] if len(fits) == 1 else fits[0].unionByName(fits[1])
+        return materialise(_lad_rows(stats, fit, by, outcome, treatment))
     finally:
         f.unpersist()
 
 
+def _lad_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, int]:
+    """Exact median line. Through a data point the best slope is the weighted median of the slopes to
+    the others; moving the pivot along such points lowers the loss until none of them helps."""
+    dx0 = x - x.mean()
+    slope = dx0 @ y / max(dx0 @ dx0, 1e-300)
+    start = np.median(y - slope * x)
+    best, line, steps = np.abs(y - start - slope * x).sum(), (start, slope), 0
+    pivots = [int(np.argmin(np.abs(y - start - slope * x)))]
+    while pivots and steps < 500:
+        i, steps = pivots.pop(), steps + 1
+        dx = x - x[i]
+        far = np.flatnonzero(dx)
+        if not len(far):
+            continue
+        slopes = (y[far] - y[i]) / dx[far]
+        order = np.argsort(slopes, kind="stable")
+        weight = np.cumsum(np.abs(dx[far][order]))
+        at = slopes[order[np.searchsorted(weight, weight[-1] / 2)]]
+        e = y - y[i] - at * dx
+        loss = np.abs(e).sum()
+        if loss < best * (1 - 1e-13):
+            best, line = loss, (y[i] - at * x[i], at)
+            touching = np.flatnonzero(np.abs(e) <= 1e-12 * max(1.0, np.abs(y).max()))
+            pivots = [int(j) for j in touching[:20] if j != i]
+    return line[0], line[1], best, steps
+
+
+@F.pandas_udf(T.StructType([*doubles("_a", "_b", "_loss", "_mad", "_sd", "_abs0").fields, T.StructField("_iter", T.IntegerType())]))
+def _lad_udf(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    out = []
+    for x, y in zip(xs, ys):
+        x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+        a, b, loss, steps = _lad_line(x, y)
+        e = y - a - b * x
+        out.append((a, b, loss, np.median(np.abs(e - np.median(e))), e.std(), np.abs(y - np.median(y)).sum(), steps))
+    return pd.DataFrame(out, columns=["_a", "_b", "_loss", "_mad", "_sd", "_abs0", "_iter"])
+
+
+def _lad_exact(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Fits of groups that are bounded by ``exact_rows`` rows."""
+    packed = group_agg(rows, by, F.collect_list("_x").alias("_xs"), F.collect_list("_y").alias("_ys")).where(F.size("_xs") > 0)
+    return packed.select(*by, _lad_udf("_xs", "_ys").alias("_f")).select(*by, "_f.*", F.lit(True).alias("_done"))
+
+
+def _lad_descent(f: DataFrame, stats: DataFrame, by: list[str], max_passes: int, tol: float) -> DataFrame:
+    """Fits of large groups. The state of the iteration is a table and never a set of literals, so that
+    all passes share one compiled plan; without groups it has one row, joined on a constant."""
+    keys = by or ["_all"]
+    if not by:
+        stats, f = stats.withColumn("_all", F.lit(0)), f.withColumn("_all", F.lit(0))
+    stats = materialise(stats)
+    line = materialise(stats.select(
+        *keys, "_my", "_mx", F.coalesce(ratio(F.col("_sxy"), F.col("_sxx")), F.lit(0.0)).alias("_b"),
+        F.lit(0.0).alias("_c"), F.lit(float("inf")).alias("_loss"), F.lit(0.0).alias("_bb"),
+        F.lit(0.0).alias("_bc"), (F.sqrt(F.col("_syy") / F.col("_n")) * 0.3).alias("_width"),
+        F.lit(0).alias("_iter"), F.lit(False).alias("_done"), F.lit(0).alias("_calm")))
+    for step in range(max_passes):
+        line = materialise(_lad_pass(f, line, keys, tol))
+        if step >= LAD_LEAST and not line.where(~F.col("_done")).limit(1).count():
+            break
+    known = materialise(attach(stats, line.select(*keys, "_bb", "_bc", "_loss", "_iter", "_done"), keys))
+    e = (F.col("_y") - F.col("_my")) - F.col("_bb") * (F.col("_x") - F.col("_mx")) - F.col("_bc")
+    # With an intercept, zero is a median of the residuals at the optimum: MAD = median |e|.
+    dev = attach(f, known.drop("_n"), keys).select(*keys, e.alias("_e"), F.abs(e).alias("_dev"),
+                                                   F.abs(F.col("_y") - F.col("_ymed")).alias("_away"))
+    mad = materialise(exact_quantile(dev, "_dev", 0.5, keys, "_mad"))
+    spread = materialise(group_agg(dev, keys, F.stddev_pop("_e").alias("_sd"), F.sum("_away").alias("_abs0")))
+    full = attach(attach(known, mad, keys), spread, keys)
+    return full.select(*by, (F.col("_my") + F.col("_bc") - F.col("_bb") * F.col("_mx")).alias("_a"), F.col("_bb").alias("_b"), "_loss",
+                       "_mad", "_sd", "_abs0", "_iter", "_done")
+
+
 def _lad_pass(rows: DataFrame, line: DataFrame, by: list[str], tol: float) -> DataFrame:
     """Loss of the current line and the reweighted line after it. Lines run through (mean, mean)+c."""
     dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
@@ -257,21 +327,12 @@ def _lad_pass(rows: DataFrame, line: DataFrame, by: list[str], tol: float) -> Da
         calm.cast("int").alias("_calm"))
 
 
-def _lad_rows(f, stats, line, by, outcome, treatment) -> DataFrame:
-    keys = list(by)
-    lines = line.select(*keys, "_bb", "_bc", "_loss", "_iter", "_done")
-    known = materialise(attach(stats, lines, keys))
-    e = (F.col("_y") - F.col("_my")) - F.col("_bb") * (F.col("_x") - F.col("_mx")) - F.col("_bc")
-    # With an intercept, zero is a median of the residuals at the optimum: MAD = median |e|.
-    dev = attach(f, known, keys).select(*keys, e.alias("_e"), F.abs(e).alias("_dev"),
-                                        F.abs(F.col("_y") - F.col("_ymed")).alias("_away"))
-    mad = exact_quantile(dev, "_dev", 0.5, keys, "_mad")
-    spread = group_agg(dev, keys, F.stddev_pop("_e").alias("_sd"), F.sum("_away").alias("_abs0"))
-    full = attach(attach(known, materialise(mad), keys), materialise(spread), keys)
+def _lad_rows(stats, fit, by, outcome, treatment) -> DataFrame:
+    names = ["_a", "_b", "_loss", "_mad", "_sd", "_abs0", "_iter", "_done"]
+    full = stats.join(fit, by, "left") if by else attach(stats, fit.agg(*[F.max(c).alias(c) for c in names]), by)
     sigma = F.when(F.col("_mad") > 0, F.lit(1.4826) * F.col("_mad")).otherwise(F.col("_sd"))
     return regression_rows(full, by, "median_quantile", outcome, treatment, _line_error(8), dict(
-        estimate=F.col("_bb"), intercept=F.col("_my") + F.col("_bc") - F.col("_bb") * F.col("_mx"),
-        se=sigma / F.sqrt("_sxx"), df=F.col("_n") - 2,
+        estimate=F.col("_b"), intercept=F.col("_a"), se=sigma / F.sqrt("_sxx"), df=F.col("_n") - 2,
         r_squared=F.coalesce(1 - ratio(F.col("_loss"), F.col("_abs0")), F.lit(0.0)),
         n_obs=F.col("_n"), x_mean=F.col("_mx"), se_type=F.lit("MAD approximation"),
         converged=F.col("_done"), n_iter=F.col("_iter"),
