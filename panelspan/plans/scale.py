@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SERIES_ROWS = 1_000_000     # longest series that one window task sorts
 MEDIAN_ROWS = 200_000       # largest group handed to the built-in exact median
@@ -52,12 +53,19 @@ def materialise(df: DataFrame) -> DataFrame:
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the columns of ``stats`` (one row per ``by`` group) to every row of ``df``.
 
-    Without groups the one row is a scalar subquery, so no join is planned at all.
+    With groups this is a join; ``stats`` should be a written table, so that Spark knows its size.
+    Without groups the single row of numbers is computed once and inlined. A lazy scalar subquery is
+    planned once per column used, which could read the facts behind ``stats`` several times.
     """
     if by:
         return df.join(stats, list(by), "inner")
-    one_row = stats.select(F.struct(*stats.columns)).scalar()
-    return df.select("*", *[one_row.getField(c).alias(c) for c in stats.columns])
+    types = {f.name: f.dataType for f in stats.schema.fields}
+    if any(isinstance(t, (T.StructType, T.ArrayType, T.MapType)) for t in types.values()):
+        stats = materialise(stats)
+        one_row = stats.select(F.struct(*stats.columns)).scalar()
+        return df.select("*", *[one_row.getField(c).alias(c) for c in stats.columns])
+    row = stats.first()
+    return df.select("*", *[F.lit(row[c] if row else None).cast(t).alias(c) for c, t in types.items()])
 
 
 def group_agg(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
