@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20))    # 0.05 .. 0.95
 CHUNK = 20_000              # points of one series folded in one array
-ARIMA_ROWS = 20_000         # longest series fitted by one Python task
+ARIMA_ROWS = 5_000          # longest series fitted by one Python task
 MAX_P = MAX_Q = 3
 MAX_D = 1
 ARIMA_LEAST = 10

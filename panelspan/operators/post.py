@@ -91,8 +91,11 @@ def whatif_shock(forecasts: DataFrame, shocks: DataFrame, on: Sequence[str] = ()
     on = list(on)
     f = forecasts.where(F.col("status") == "ok").select(*on, "model", "h", "time", "forecast", "last_value",
                                                          F.coalesce("ar1", F.lit(0.0)).alias("_phi"))
-    rows = f.join(shocks, on) if on else f.select("*", F.explode(
-        shocks.agg(F.collect_list(shock).alias("s")).scalar()).alias(shock))
+    if on:
+        rows = f.join(shocks, on)
+    else:       # one forecast path, a few steps long: it travels with every shock
+        path = f.agg(F.collect_list(F.struct(*f.columns)).alias("_path"))
+        rows = attach(shocks.select(shock), path, []).select(shock, F.explode("_path").alias("_p")).select(shock, "_p.*")
     phi = F.col("_phi")
     fade = F.when(F.col("h") == 1, 1.0).when(F.abs(phi) < 1, F.pow(phi, F.col("h") - 1)).otherwise(0.0)
     return rows.select(*on, "model", shock, "h", "time", (F.col("forecast") + F.col(shock) * fade).alias("forecast"),

@@ -248,21 +248,21 @@ def _lad_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, int]:
     return line[0], line[1], best, steps
 
 
-@F.pandas_udf(T.StructType([*doubles("_a", "_b", "_loss", "_mad", "_sd", "_abs0").fields, T.StructField("_iter", T.IntegerType())]))
-def _lad_udf(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    out = []
-    for x, y in zip(xs, ys):
-        x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-        a, b, loss, steps = _lad_line(x, y)
-        e = y - a - b * x
-        out.append((a, b, loss, np.median(np.abs(e - np.median(e))), e.std(), np.abs(y - np.median(y)).sum(), steps))
-    return pd.DataFrame(out, columns=["_a", "_b", "_loss", "_mad", "_sd", "_abs0", "_iter"])
+LAD_COLUMNS = ["_a", "_b", "_loss", "_mad", "_sd", "_abs0", "_iter"]
 
 
 def _lad_exact(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Fits of groups that are bounded by ``exact_rows`` rows."""
-    packed = group_agg(rows, by, F.collect_list("_x").alias("_xs"), F.collect_list("_y").alias("_ys")).where(F.size("_xs") > 0)
-    return packed.select(*by, _lad_udf("_xs", "_ys").alias("_f")).select(*by, "_f.*", F.lit(True).alias("_done"))
+    """Fits of groups that are bounded by ``exact_rows`` rows, one group in memory at a time."""
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["_x"].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
+        a, b, loss, steps = _lad_line(x, y)
+        e = y - a - b * x
+        row = [a, b, loss, np.median(np.abs(e - np.median(e))), e.std(), np.abs(y - np.median(y)).sum(), steps]
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), *row]], columns=[*by, *LAD_COLUMNS])
+
+    keys = [rows.schema[k] for k in by]
+    schema = T.StructType([*keys, *doubles(*LAD_COLUMNS[:-1]).fields, T.StructField("_iter", T.IntegerType())])
+    return rows.select(*by, "_x", "_y").groupBy(*by).applyInPandas(solve, schema).withColumn("_done", F.lit(True))
 
 
 def _lad_descent(f: DataFrame, stats: DataFrame, by: list[str], max_passes: int, tol: float) -> DataFrame:
