@@ -431,6 +431,8 @@ def ar_grid(series: DataFrame, by: list[str], periods: int, max_series_rows: int
     All six orders of a series come from one aggregate of the 5x5 products of (1, z, z1, z2, z3);
     the small solves run in a pandas UDF over one row per (series, d).
     """
+    mean = materialise(group_agg(series, by, F.avg("_y").alias("_mean")))      # products of centred values keep precision
+    series = attach(series, mean, by).select(*by, "_t", (F.col("_y") - F.col("_mean")).alias("_y"))
     lag = Series.of(series, by, "_t", max_series_rows).lag(**{f"_l{k}": ("_y", k) for k in range(1, MAX_P + 2)}).rows()
     lag = lag.where(F.col(f"_l{MAX_P + 1}").isNotNull())
     level = [F.col("_y"), *[F.col(f"_l{k}") for k in range(1, MAX_P + 2)]]
@@ -444,8 +446,9 @@ def ar_grid(series: DataFrame, by: list[str], periods: int, max_series_rows: int
     sums = end.groupBy(*by, "d").agg(F.array(*pairs).alias("_m"), recent.alias("_z"), F.any_value("_end").alias("_end"))
     jobs = sums.withColumn("p", F.explode(F.array(*[F.lit(p) for p in range(1, MAX_P + 1)])))
     solve = F.pandas_udf(_ar_solver(periods), FIT_TYPE)
-    return jobs.select(*by, F.col("p"), F.col("d"), F.lit(0).alias("q"), solve("_m", "_z", "_end", "p", "d").alias("_f")).select(
-        *by, "p", "d", "q", "_f.*", F.lit("ar_moments").alias("engine"))
+    fits = attach(jobs.select(*by, F.col("p"), F.col("d"), F.lit(0).alias("q"), solve("_m", "_z", "_end", "p", "d").alias("_f")), mean, by)
+    return fits.select(*by, "p", "d", "q", "_f.aic", "_f.rmse", "_f.ar1", F.transform("_f.path", lambda v: v + F.col("_mean")).alias("path"),
+                       "_f.spread", F.lit("ar_moments").alias("engine"))
 
 
 def _ar_solver(horizon):

@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Z95 = 1.96
 TINY_SD = 1e-10
-LAD_EXACT_ROWS = 50_000  # largest group solved exactly in one task
+LAD_EXACT_ROWS = 1_000_000  # largest group (16 MB of values) solved exactly in one task
 LAD_PASSES = 40
 LAD_LEAST = 7           # passes before a calm loss counts as settled
 LAD_SHRINK = 0.2        # how fast the smoothing width falls per pass
