@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from .common import table
+from . import toxicity
+from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,13 @@ def op6(spark, sf_dir):
     """Windows of 2048 tokens; the digest of a piece's ids is taken from the ids that the operator returns."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    """Score of every text; labels of documents whose crc32(doc_id) mod 4 is 2 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc32_mod(F.col("doc_id"), 4) == 2
+    sample = toxicity.labelled_sample(labels, "toxic", ~held_out, toxicity.FIT_ROWS)
+    scores = toxicity.score(docs, *toxicity.fit(docs, sample))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
