@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import toxicity
+from . import quality, toxicity
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,11 @@ def op3(spark, sf_dir):
     sample = toxicity.labelled_sample(labels, "toxic", ~held_out, toxicity.FIT_ROWS)
     scores = toxicity.score(docs, *toxicity.fit(docs, sample))
     return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    """Every document judged by its text, its source (host) and the language part of it (path)."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality.judge(docs.select("doc_id", "text", "lang", "source"), labels)
+    return judged.select("doc_id", *[F.round(c, 9).alias(c) for c in ("p_doc", "host_rate", "path_rate", "p_good")], "keep")

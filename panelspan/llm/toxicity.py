@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import arrow_schema, map_batches, small_batches, strings, written
+from .common import arrow_schema, map_batches, slices, small_batches, strings, written
 
 FIT_ROWS = 20_000
 ORDERS, BITS = (3, 4, 5), 18
@@ -36,7 +36,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id", text_colu
     schema = arrow_schema("y double, found binary")
 
     def features(batch):
-        lists = [x for at in range(0, batch.num_rows, 200) for x in grams.distinct(strings(batch.column(1).slice(at, 200)), orders, bits)]
+        lists = [x for part in slices(batch, 1, 500_000) for x in grams.distinct(strings(part.column(1)), orders, bits)]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), pa.array([x.tobytes() for x in lists], pa.binary())], schema=schema)
 
     kept = written(map_batches(rows, features, "y double, found binary"))
@@ -108,7 +108,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_column: str = "d
     schema = arrow_schema(ddl)
 
     def run(batch):
-        z = np.concatenate([grams.weighed(strings(batch.column(1).slice(at, 200)), weights, orders, bits) for at in range(0, batch.num_rows, 200)]) + bias
+        z = np.concatenate([grams.weighed(strings(part.column(1)), weights, orders, bits) for part in slices(batch, 1, 500_000)]) + bias
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], schema=schema)
 
     return map_batches(docs.select(id_column, text_column), run, ddl)
