@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import quality, toxicity
+from . import quality, simhash, toxicity
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,10 @@ def op4(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = quality.judge(docs.select("doc_id", "text", "lang", "source"), labels)
     return judged.select("doc_id", *[F.round(c, 9).alias(c) for c in ("p_doc", "host_rate", "path_rate", "p_good")], "keep")
+
+
+@query("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    """Components of fingerprints of four-word shingles that differ in at most four bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
