@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import quality, simhash, toxicity
+from . import quality, simhash, toxicity, vectors
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,19 @@ def op5(spark, sf_dir):
     """Components of fingerprints of four-word shingles that differ in at most four bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_vectors_sql(threshold: float) -> str:
+    """Brute force over pairs of equal labels, with components as the smallest id that a recursive walk reaches."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+  ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+  walk AS (SELECT vec_id AS id, vec_id AS seen FROM v UNION SELECT w.id, l.b FROM walk w JOIN link l ON l.a = w.seen),
+  comp AS (SELECT id, min(seen) AS component_id FROM walk GROUP BY id), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON id = vec_id LEFT JOIN n ON a = vec_id"""
+
+
+@query("op2_embedding_near_dedup", near_vectors_sql(0.93))
+def op2(spark, sf_dir):
+    """Links of vectors of one label with a cosine of at least 0.93."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
