@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, small_batches
+from .common import arrow_schema, slices, small_batches
 
 WINDOW = 2048
 BATCH_TOKENS = 4_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 350_000      # in each of two generations
 MARK = "\x01"               # stands alone between words while many are tokenised in one call
 PIECES = "doc_id {0}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -77,7 +77,8 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 class Words:
     """Token ids of texts, word by word: a text is cut at blanks, which no token of this kind of vocabulary crosses.
 
-    Frequent words are kept for the life of the worker, up to ``CACHED_WORDS``.
+    Words in use are kept for the life of the worker: when the young generation is full it becomes the old one, and what
+    is not asked for again goes with the next change.
     """
 
     def __init__(self, path: str):
@@ -86,17 +87,19 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         if len(self.mark) != 1 or any(MARK in w for w in words):
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        out: list[np.ndarray] = []
+            return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
         for i in range(0, len(words), 1000):
             text = f" {MARK} ".join(words[i:i + 1000])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            out += [p[1:] if k else p for k, p in enumerate(np.split(ids, np.flatnonzero(ids == self.mark[0])))]
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark[0])).tolist()
+            out += [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,17 +110,17 @@ class Words:
         lists = pc.split_pattern(low, " ")
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        held = [self.known.get(w) for w in words]
-        fresh = [i for i, h in enumerate(held) if h is None]
-        for i, got in zip(fresh, self._encode([words[i] for i in fresh]), strict=True):
-            held[i] = got
-        seen = np.bincount(codes, minlength=len(words))
-        for i in fresh:
-            if seen[i] > 1 and len(self.known) < CACHED_WORDS:
-                self.known[words[i]] = held[i]
-        sizes = np.fromiter((len(h) for h in held), np.int64, len(held))
+        young, old = self.young, self.old
+        held = [young.get(w) or old.get(w) for w in words]
+        fresh = [w for w, h in zip(words, held, strict=True) if h is None]
+        got = iter(self._encode(fresh))
+        held = [next(got) if h is None else h for h in held]
+        young.update(zip(words, held, strict=True))
+        if len(young) > CACHED_WORDS:
+            self.young, self.old = {}, young
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate(held) if held else np.empty(0, np.uint32)
+        flat = np.frombuffer(b"".join(held), np.uint32)
         n = sizes[codes]
         before = np.concatenate([[0], np.cumsum(n)])
         take = np.repeat(starts[codes] - before[:-1], n) + np.arange(before[-1])
@@ -150,8 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
         words, first = _WORDS[tokenizer], TaskContext.get().partitionId() << 40
         tokens, held, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1, 8_000_000):
                 flat, bounds = words.ids(pc.fill_null(part.column(1), ""))
                 key = part.column(0)
                 for i in range(part.num_rows):
