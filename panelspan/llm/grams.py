@@ -55,3 +55,10 @@ def totals(texts: list[str], tables: np.ndarray, order: int, bits: int) -> np.nd
         last = np.maximum(bounds[1:] - GAP - order + 1, bounds[:-1])     # texts shorter than the order have none
         sums[:, k] = run[last] - run[bounds[:-1]]
     return sums
+
+
+def word_counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of words between ASCII white space (and the gaps) in each document."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13)) | (data == 0)
+    begins = ~blank & np.concatenate([[True], blank[:-1]])
+    return np.diff(np.concatenate([[0], np.cumsum(begins)])[bounds])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import quality, simhash, toxicity, vectors
+from . import lines, mixing, neighbours, quality, simhash, toxicity, vectors
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,28 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 def op2(spark, sf_dir):
     """Links of vectors of one label with a cosine of at least 0.93."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op7_nearest_neighbours")
+def op7(spark, sf_dir):
+    """Five nearest of every vector whose id is divisible by 50, among all others."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op8_line_dedup", lines.repeated_lines_sql(2))
+def op8(spark, sf_dir):
+    """Later repeats of two or more lines go; the digest is of the text that stays."""
+    kept = lines.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), window=2)
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+MIX = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+
+
+@query("op10_mixing")
+def op10(spark, sf_dir):
+    """Rates of all documents for fixed shares of four languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
+    shares = [F.round(F.get("posterior", F.lit(i)), 9).alias(f"p_{d}") for i, d in enumerate(MIX)]
+    return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
