@@ -166,3 +166,69 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
     roots = distinct.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(roots, "fp", "left")
     return out.select(id_column, "fp", F.when(F.col(id_column).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+# --- near copies by the similarity of their shingles, with fingerprints as the search ---------------------------
+
+SIMILAR, SHINGLE, SEARCH_RADIUS = 0.8, 5, 6
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = SEARCH_RADIUS,
+                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, component_id) of the documents whose component over links of shingle similarity has other members.
+
+    Copies (equal lower-case words) are linked through one representative each. Candidates for other links are pairs of
+    SimHash fingerprints of the set of words within ``radius`` bits: few changed words move few of its bits, while
+    five-word shingles would spread each change over five. A candidate is linked if the Jaccard similarity of its sets of
+    ``shingle``-word shingles is at least ``similarity``. Rows with a null id are left out; texts without words are copies
+    of each other.
+    """
+    small_batches(docs.sparkSession)
+    schema = arrow_schema("id long, content binary, fp long")
+
+    def prints(batch):
+        import hashlib
+        words = [lower_words(t) for t in strings(batch.column(1))]
+        content = [hashlib.md5(b" ".join(w)).digest() for w in words]
+        fps = np.array([fingerprint_of(sorted(set(w)), 1) for w in words], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(fps)], schema=schema)
+
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_column)
+    own = written(map_batches(rows, prints, "id long, content binary, fp long"))
+    copies = written(own.groupBy("content", "fp").agg(F.min("id").alias("rep")))
+    equal = own.join(copies, ["content", "fp"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    distinct = written(copies.groupBy("fp").agg(F.min("rep").alias("id")))
+    alike = copies.join(distinct, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    candidates = written(near_links(distinct, radius).unionByName(alike).distinct())
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def shingles(batch):
+        import xxhash
+        sets = []
+        for text in strings(batch.column(1)):
+            w = lower_words(text)
+            parts = [b" ".join(w[i:i + shingle]) for i in range(max(len(w) - shingle + 1, 1))] if w else []
+            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    sets = written(map_batches(rows.join(wanted, "id").select("id", text_column), shingles, "id long, s binary").groupBy("id").agg(F.first("s").alias("s")))
+    left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+
+    def linked(batch):
+        yes = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            yes.append(both >= similarity * (len(x) + len(y) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    near = map_batches(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), linked, "a long, b long")
+    return components(near.unionByName(equal)).select("id", F.col("component").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = SEARCH_RADIUS,
+                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without the documents that are similar to one of a smaller id; rows that repeat a kept id all stay."""
+    groups = written(similar_documents(docs, similarity, shingle, radius, id_column, text_column))
+    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone"))
+    return docs.join(gone, docs[id_column].cast("long") == gone["_gone"], "left_anti")
