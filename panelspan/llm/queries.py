@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import lines, mixing, neighbours, quality, simhash, toxicity, vectors
+from . import hmm, lines, mixing, neighbours, quality, simhash, toxicity, vectors
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op10(spark, sf_dir):
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
     shares = [F.round(F.get("posterior", F.lit(i)), 9).alias(f"p_{d}") for i, d in enumerate(MIX)]
     return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
+
+
+@query("op1_hmm_scores")
+def op1(spark, sf_dir):
+    """Scores of all documents by a model of those whose crc32(doc_id) mod 7 is not 2."""
+    return hmm.score(table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 7) == 2)
