@@ -97,8 +97,10 @@ def answer(asked: DataFrame, fn: Callable[[list[bytes]], tuple[list[bytes], byte
     return written(asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, payload binary"))
 
 
-def met(packed: DataFrame, answers: DataFrame, fn: Callable[[list, np.ndarray, np.ndarray, bytes, list[bytes]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """``fn`` gets a block and the answers of all buckets in their order; it gives batches of ``ddl``."""
+def met(packed: DataFrame, answers: DataFrame, fn: Callable[[list, np.ndarray, np.ndarray, bytes, list[bytes]], Iterator[pa.RecordBatch]], ddl: str,
+        number: str | None = None) -> DataFrame:
+    """``fn`` gets a block and the answers of all buckets in their order; it gives batches of ``ddl``. A column named
+    ``number`` is filled with the number of the block."""
     schema = arrow_schema(ddl)
     kinds = dict(packed.dtypes)
     both = packed.unionByName(answers.where("block >= 0").select("block", "bucket", F.lit(None).cast(kinds["ids"]).alias("ids"), F.lit(None).cast("array<boolean>").alias("flags"),
@@ -110,6 +112,10 @@ def met(packed: DataFrame, answers: DataFrame, fn: Callable[[list, np.ndarray, n
             return schema.empty_table()
         own = rows[0]
         out = fn(own["ids"], np.array(own["flags"], bool), np.array(own["ends"], np.int64), loosen(own["payload"]), [r["payload"] for r in rows[1:]])
-        return pa.Table.from_batches(out, schema=schema)
+        table = pa.Table.from_batches(out, schema=schema)
+        if number is not None:
+            at = schema.get_field_index(number)
+            table = table.set_column(at, schema.field(at), pa.array([own["block"]] * table.num_rows, schema.field(at).type))
+        return table
 
     return both.groupBy("block").applyInArrow(run, ddl)

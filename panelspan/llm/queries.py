@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import hmm, lines, mixing, neighbours, quality, simhash, toxicity, vectors
+from . import hmm, lines, mixing, neighbours, quality, simhash, suffixes, toxicity, vectors
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,11 @@ def op10(spark, sf_dir):
 def op1(spark, sf_dir):
     """Scores of all documents by a model of those whose crc32(doc_id) mod 7 is not 2."""
     return hmm.score(table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 7) == 2)
+
+
+@query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    """Bytes of 50-byte strings of documents with smaller ids go; the digest is of the bytes that the operator keeps."""
+    cleared = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["upto"] - s["from"])
+    return cleared.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
