@@ -16,15 +16,28 @@ from panelspan.llm.common import table, written
 from panelspan.llm.queries import MIX, tokenizer_path
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _inner(docs: DataFrame) -> DataFrame:
+    """The columns that the stages know, and any others out of the way in one."""
+    rest = [c for c in docs.columns if c not in OWN]
+    return docs.select(*OWN, *([F.struct(*[docs[c] for c in rest]).alias("_rest")] if rest else []))
+
+
+def _outer(inner: DataFrame, docs: DataFrame) -> DataFrame:
+    return inner.select(*[F.col(c) if c in OWN else F.col("_rest")[c].alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return _outer(quality.judge(_inner(docs), table(spark, sf_dir, "labels")).where("keep"), docs)
 
 
 def clear_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of two or more lines go, and documents of which only blanks are left; n_chars follows the text."""
-    cleared = lines.remove_repeated_runs(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return cleared.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cleared = lines.remove_repeated_runs(_inner(docs)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return _outer(cleared.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +46,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as its rate says; the budget lets every document come at least once."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
-    return mixed.where("copies > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """A document comes as often as its rate says, and at least once."""
+    mixed = mixing.mix(_inner(docs), table(spark, sf_dir, "labels"), MIX, least=1.0)
+    return _outer(mixed.where("copies > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

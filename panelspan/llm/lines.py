@@ -70,32 +70,30 @@ def remove_repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str =
     Lines end at a newline; blank lines never match, and go only inside a removed run. Documents with fewer lines than the
     window keep all. A null text stays null. Rows with equal id and text are one document and get one result; rows with an
     equal id and another text are ordered by a hash of the text. Ties in a fingerprint take the rightmost line. Columns of
-    ``docs`` with the added names raise. An empty table gives no rows.
+    ``docs`` with the added names are replaced. An empty table gives no rows.
     """
-    clash = {"n_lines", "n_removed", "n_runs"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    runs = written(repeated_runs(docs, window, id_column, text_column))
-    joined = docs.withColumn("_key", F.xxhash64(text_column)).join(
-        runs, docs[id_column].eqNullSafe(runs["_id"]) & (F.col("_key") == F.col("_text")), "left").drop("_id", "_text", "_key")
+    docs = docs.drop("n_lines", "n_removed", "n_runs")
+    runs = written(repeated_runs(docs, window, id_column, text_column)).toDF("_llm_id", "_llm_text", "_llm_runs")
+    joined = docs.withColumn("_llm_key", F.xxhash64(text_column))
+    joined = joined.join(runs, joined[id_column].eqNullSafe(runs["_llm_id"]) & (F.col("_llm_key") == F.col("_llm_text")), "left").drop("_llm_id", "_llm_text", "_llm_key")
     lines = _lines(F.col(text_column))
     full = F.filter(F.transform(lines, lambda x, i: F.when(_stripped(x) != "", i)), lambda i: i.isNotNull())
     # Runs in lines of the text: from the place of the first line up to that of the last one. What lies between them stays.
-    cut = F.transform("runs", lambda r: F.struct(F.get("_full", r["from"]).alias("a"), (F.get("_full", r["upto"] - 1) + 1).alias("b")))
-    row = joined.withColumn("_full", F.when(F.col("runs").isNotNull(), full)).withColumn("_lines", lines)
-    row = row.withColumn("_cut", F.coalesce(cut, F.array())).withColumn("n_lines", F.when(F.col(text_column).isNull(), 0).otherwise(F.size("_lines")))
-    parts = F.transform(F.sequence(F.lit(0), F.size("_cut")), lambda i: F.slice(
-        "_lines", _end(i) + 1, F.coalesce(F.get("_cut", i)["a"], F.size("_lines")) - _end(i)))
+    cut = F.transform("_llm_runs", lambda r: F.struct(F.get("_llm_full", r["from"]).alias("a"), (F.get("_llm_full", r["upto"] - 1) + 1).alias("b")))
+    row = joined.withColumn("_llm_full", F.when(F.col("_llm_runs").isNotNull(), full)).withColumn("_llm_lines", lines)
+    row = row.withColumn("_llm_cut", F.coalesce(cut, F.array())).withColumn("n_lines", F.when(F.col(text_column).isNull(), 0).otherwise(F.size("_llm_lines")))
+    parts = F.transform(F.sequence(F.lit(0), F.size("_llm_cut")), lambda i: F.slice(
+        "_llm_lines", _end(i) + 1, F.coalesce(F.get("_llm_cut", i)["a"], F.size("_llm_lines")) - _end(i)))
     kept = F.flatten(parts)
-    row = row.withColumn("_kept", F.when(F.size("_cut") > 0, kept).otherwise(F.col("_lines")))
-    row = row.withColumn("n_removed", F.when(F.col(text_column).isNull(), 0).otherwise(F.size("_lines") - F.size("_kept"))).withColumn("n_runs", F.size("_cut"))
-    text = F.when(F.size("_cut") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_column))
-    return row.withColumn(text_column, text).drop("_full", "_lines", "_cut", "_kept", "runs")
+    row = row.withColumn("_llm_kept", F.when(F.size("_llm_cut") > 0, kept).otherwise(F.col("_llm_lines")))
+    row = row.withColumn("n_removed", F.when(F.col(text_column).isNull(), 0).otherwise(F.size("_llm_lines") - F.size("_llm_kept"))).withColumn("n_runs", F.size("_llm_cut"))
+    text = F.when(F.size("_llm_cut") > 0, F.array_join("_llm_kept", "\n")).otherwise(F.col(text_column))
+    return row.withColumn(text_column, text).drop("_llm_full", "_llm_lines", "_llm_cut", "_llm_kept", "_llm_runs")
 
 
 def _end(i: Column) -> Column:
     """Where the run before number i ended, 0 before the first one."""
-    return F.when(i == 0, F.lit(0)).otherwise(F.get("_cut", i - 1)["b"])
+    return F.when(i == 0, F.lit(0)).otherwise(F.get("_llm_cut", i - 1)["b"])
 
 
 def repeated_lines_sql(window: int) -> str:

@@ -58,14 +58,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain_c
 
 
 def memberships(docs: DataFrame, model: np.ndarray, text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` with _p (posterior over domains) and _n (words). An empty text has the prior and no words.
+    """All columns of ``docs`` with _llm_p (posterior over domains) and _llm_n (words). An empty text has the prior and no words.
 
     The posterior weighs the mean log share of a text's trigrams as if there were at most ``EVIDENCE`` of them, so that long
     texts keep a soft membership.
     """
     small_batches(docs.sparkSession)
     at, k = docs.columns.index(text_column), model.shape[1]
-    out = T.StructType([*docs.schema.fields, T.StructField("_p", T.ArrayType(T.DoubleType())), T.StructField("_n", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField("_llm_p", T.ArrayType(T.DoubleType())), T.StructField("_llm_n", T.DoubleType())])
 
     def run(batch):
         ps, ns = [], []
@@ -79,21 +79,21 @@ def memberships(docs: DataFrame, model: np.ndarray, text_column: str = "text") -
             ns.append(grams.word_counts(data, bounds))
         p = np.concatenate(ps)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))
-        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.concatenate(ns).astype(float))], names=[*batch.schema.names, "_p", "_n"])
+        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.concatenate(ns).astype(float))], names=[*batch.schema.names, "_llm_p", "_llm_n"])
 
     return map_batches(docs, run, out)
 
 
-def replayed(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates before and after the last step; a step holds the gradient of each domain times its length."""
+def replayed(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rates before and after the last step, projected to ``least`` or more; a step holds the gradient of each domain times its length."""
     rate = before = np.ones(len(p))
     for s in steps:
-        before, rate = rate, np.maximum(0.0, rate - p @ s)
+        before, rate = rate, np.maximum(least, rate - p @ s)
     return before, rate
 
 
-def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, reached and wanted token totals. ``narrow`` is a written table of _p and _n."""
+def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | None, least: float = 0.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps, reached and wanted token totals. ``narrow`` is a written table of _llm_p and _llm_n."""
     schema = arrow_schema("cell int, v double")
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, float]:
@@ -101,12 +101,12 @@ def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | Non
             sums, moved = np.zeros(k), 0.0
             for batch in batches:
                 p, n = np.array(batch.column(0).flatten()).reshape(-1, k), np.array(batch.column(1))
-                before, rate = replayed(p, steps)
+                before, rate = replayed(p, steps, least)
                 sums += (n * rate) @ p
                 moved += float((n * (rate - before) ** 2).sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1, dtype=np.int32)), pa.array(np.append(sums, moved))], schema=schema)
 
-        got = {r.cell: r.v for r in narrow.select("_p", "_n").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()}
+        got = {r.cell: r.v for r in narrow.select("_llm_p", "_llm_n").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()}
         return np.array([got.get(i, 0.0) for i in range(k)]), got.get(k, 0.0)
 
     have, _ = totals([])
@@ -128,33 +128,31 @@ def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | Non
     return steps, reached, wanted
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], domain_column: str = "lang", budget: float | None = None, keep: Column | None = None,
-        fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], domain_column: str = "lang", budget: float | None = None, least: float = 0.0,
+        keep: Column | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns of ``docs`` with n_tokens (words), posterior (array in the order of ``targets``), rate and copies.
 
     ``targets`` are positive weights of domains; ``domain_column`` names the domain of labelled documents and is read nowhere
-    else. ``budget`` is the expected total of tokens; None takes the least at which no domain has to give any away, so no
-    document falls under rate 1. ``copies`` realises the rate: its whole part, and one more with the probability of the
+    else. ``budget`` is the expected total of tokens; None takes the least at which no domain has to give any away. Rates
+    are at least ``least`` (at most 1; with 1 every document stays). ``copies`` realises the rate: its whole part, and one more with the probability of the
     rest by a hash of id and text. A null or empty text has no tokens, the prior as posterior and a rate like any other.
-    Rows of equal id and text get equal copies. Columns of these names raise. An empty table gives no rows.
+    Rows of equal id and text get equal copies. Columns of these names are replaced. An empty table gives no rows.
     """
-    clash = {"n_tokens", "posterior", "rate", "copies", "_p", "_n"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
+    docs = docs.drop("n_tokens", "posterior", "rate", "copies")
     names = list(targets)
     shares = np.array([float(targets[d]) for d in names])
-    if not len(names) or (shares <= 0).any():
-        raise ValueError("targets need positive weights")
+    if not len(names) or (shares <= 0).any() or not 0 <= least <= 1:
+        raise ValueError("targets need positive weights, and least must lie in 0 to 1")
     model = fit_domains(docs, labels, names, domain_column, keep, fit_rows, id_column, text_column)
-    steps, _, _ = fit_rates(written(memberships(docs.select(text_column), model, text_column).select("_p", "_n")), len(names), shares / shares.sum(), budget)
+    steps, _, _ = fit_rates(written(memberships(docs.select(text_column), model, text_column).select("_llm_p", "_llm_n")), len(names), shares / shares.sum(), budget, least)
     rows = memberships(docs, model, text_column)
     out = T.StructType([*rows.schema.fields, T.StructField("rate", T.DoubleType())])
-    at = rows.columns.index("_p")
+    at = rows.columns.index("_llm_p")
 
     def run(batch):
-        rate = replayed(np.array(batch.column(at).flatten()).reshape(-1, len(names)), steps)[1]
+        rate = replayed(np.array(batch.column(at).flatten()).reshape(-1, len(names)), steps, least)[1]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
     chance = F.pmod(F.xxhash64(F.lit("copies"), id_column, text_column), F.lit(1 << 30)) / (1 << 30)
     rated = map_batches(rows, run, out)
-    return rated.withColumn("n_tokens", F.col("_n").cast("long")).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumnRenamed("_p", "posterior").drop("_n")
+    return rated.withColumn("n_tokens", F.col("_llm_n").cast("long")).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumnRenamed("_llm_p", "posterior").drop("_llm_n")

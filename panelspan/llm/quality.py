@@ -126,26 +126,24 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     Hosts and paths are compared as they are; a null host has no site evidence and is judged by its text and the global
     rate; a null path is a path of its host. Null or empty texts are judged as empty texts. Repeated ids are separate
-    documents (a repeated label counts as good if any says so). Columns of these names in ``docs`` raise. Without labels
+    documents (a repeated label counts as good if any says so). Columns of these names in ``docs`` are replaced. Without labels
     p_doc is 0.5 for all. Labels enter only the classifier's fit, on at most ``fit_rows`` labelled documents.
     """
     from .toxicity import labelled_sample
-    own = {"p_doc", "host_rate", "path_rate", "p_good", "keep", "path_n", "path_s", "host_n", "host_s"} & {c.lower() for c in docs.columns}
-    if own:
-        raise ValueError(f"rename the columns {sorted(own)} first")
+    docs = docs.drop("p_doc", "host_rate", "path_rate", "p_good", "keep")
     model = fit(docs, labelled_sample(labels, label, F.lit(True) if keep is None else keep, fit_rows, id_column), id_column, text_column)
     p = written(with_probability(docs.select(host, path, text_column), model, text_column).select(F.col(host).alias("host"), F.col(path).alias("path"), "p_doc"))
     sites, rate, a_host, a_path = site_rates(p, "host", "path")
-    sites = sites.withColumnsRenamed({"host": "_site_host", "path": "_site_path"})
+    sites = sites.toDF(*[f"_llm_{c}" for c in sites.columns])
     scored = with_probability(docs, model, text_column)
-    rows = scored.join(sites, (scored[host] == sites["_site_host"]) & scored[path].eqNullSafe(sites["_site_path"]), "left")
-    own_p, known = F.col("p_doc"), F.col("host_n").isNotNull()
-    rows = rows.withColumn("host_rate", F.when(known, (F.col("host_s") - own_p + a_host * rate) / (F.col("host_n") - 1 + a_host)).otherwise(rate))
-    rows = rows.withColumn("path_rate", F.when(known, (F.col("path_s") - own_p + a_path * F.col("host_rate")) / (F.col("path_n") - 1 + a_path)).otherwise(rate))
+    rows = scored.join(sites, (scored[host] == sites["_llm_host"]) & scored[path].eqNullSafe(sites["_llm_path"]), "left")
+    own_p, known = F.col("p_doc"), F.col("_llm_host_n").isNotNull()
+    rows = rows.withColumn("host_rate", F.when(known, (F.col("_llm_host_s") - own_p + a_host * rate) / (F.col("_llm_host_n") - 1 + a_host)).otherwise(rate))
+    rows = rows.withColumn("path_rate", F.when(known, (F.col("_llm_path_s") - own_p + a_path * F.col("host_rate")) / (F.col("_llm_path_n") - 1 + a_path)).otherwise(rate))
     odds = _logit(own_p) + _logit(F.col("path_rate")) - _logit(F.lit(rate))
     good = (1 / (1 + F.exp(-odds)))
     return (rows.withColumn("p_good", good).withColumn("keep", F.col("p_good") >= threshold)
-            .drop("_site_host", "_site_path", "path_n", "path_s", "host_n", "host_s"))
+            .drop(*sites.columns))
 
 
 def _logit(p: Column) -> Column:

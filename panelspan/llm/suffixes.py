@@ -150,7 +150,9 @@ def _repeats(strings: list[bytes], least: int):
     before = np.where(offset > 0, text[begin - 1].astype(np.int64), -1 - number)        # the start of a string differs from all
     rows = np.lib.stride_tricks.sliding_window_view(text, longest)[begin]
     rows[np.arange(longest)[None, :] >= size[:, None]] = 0
-    order = np.argsort(rows.view(f"S{longest}").ravel(), kind="stable")
+    # Rows are filled up with zeros, which the comparison ignores: of rows alike but for zeros the shorter comes first.
+    order = np.argsort(size, kind="stable")
+    order = order[np.argsort(rows.view(f"S{longest}").ravel()[order], kind="stable")]
     rows, number, offset, size, before = rows[order], number[order], offset[order], size[order], before[order]
     lcp = common_prefixes(rows, size)
     # Runs that share ``least`` bytes; one whose bytes before are all alike holds no maximal repeat, nor does any part of it.
