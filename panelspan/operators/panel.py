@@ -15,8 +15,7 @@ from ..functions.columns import clean_numeric, ratio
 from ..plans.scale import attach, group_agg, materialise
 from .regress import TINY_SD, cluster_scale, line_stats, regression_rows
 
-MAX_SWEEPS = 200
-TOLERANCE = 1e-10
+TOLERANCE = 1e-11       # of the normal equations' residual, against the spread of the group's cells
 
 
 def panel_cells(df: DataFrame, outcome: str, treatment: str, time: str, unit: str,
@@ -44,11 +43,11 @@ def panel_facts(cells: DataFrame, by: Sequence[str]) -> DataFrame:
                            & (F.col("_min") == F.col("_max")))
 
 
-def demean_cells(cells: DataFrame, facts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int, bool]:
-    """Cells with two-way demeaned means ``_dx`` and ``_dy``; also sweeps used and convergence.
+def demean_cells(cells: DataFrame, facts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Cells with two-way demeaned means ``_dx`` and ``_dy``, and per group ``_settled`` and ``_steps`` (None: closed form).
 
-    Balanced panels have a closed form. Otherwise unit and time effects are updated in turn; only
-    the effects (one row per period) are written between sweeps, never the cells.
+    If all panels are balanced there is a closed form. Otherwise the unit effects are eliminated and the time effects
+    solved for; only vectors with a row per period are written between steps, never the cells.
     """
     by = list(by)
     if not facts.where(~F.col("_even")).limit(1).count():
@@ -58,35 +57,74 @@ def demean_cells(cells: DataFrame, facts: DataFrame, by: Sequence[str]) -> tuple
                       facts.select(*by, "_gx", "_gy"), by)
         return (rows.withColumn("_dx", F.col("_mx") - F.col("_ux") - F.col("_tx") + F.col("_gx"))
                 .withColumn("_dy", F.col("_my") - F.col("_uy") - F.col("_ty") + F.col("_gy"))
-                .drop("_ux", "_uy", "_tx", "_ty", "_gx", "_gy"), 1, True)
-
-    spread = cells.agg(F.stddev_pop("_mx"), F.stddev_pop("_my")).first()
-    sx, sy = (float(v or 0.0) or 1.0 for v in spread)
-    time = materialise(cells.groupBy(*by, "_time").agg(F.lit(0.0).alias("_tx"), F.lit(0.0).alias("_ty")))
-    sweeps, settled = 0, False
-    while sweeps < MAX_SWEEPS and not settled:
-        unit = _unit_effects(cells, time, by)
-        old = time.select(*by, "_time", F.col("_tx").alias("_ox"), F.col("_ty").alias("_oy"))
-        fresh = (cells.join(unit, [*by, "_unit"]).groupBy(*by, "_time")
-                 .agg(_weighted("x", F.col("_mx") - F.col("_ux"), "_tx"),
-                      _weighted("y", F.col("_my") - F.col("_uy"), "_ty")).join(old, [*by, "_time"]))
-        fresh = materialise(fresh)
-        moved = fresh.agg(F.max(F.greatest(F.abs(F.col("_tx") - F.col("_ox")) / sx,
-                                           F.abs(F.col("_ty") - F.col("_oy")) / sy))).first()[0]
-        time = fresh.drop("_ox", "_oy")
-        sweeps += 1
-        settled = moved is None or moved < TOLERANCE
-    unit = _unit_effects(cells, time, by)
-    rows = cells.join(unit, [*by, "_unit"]).join(time, [*by, "_time"])
+                .drop("_ux", "_uy", "_tx", "_ty", "_gx", "_gy"), None)
+
+    time = _time_effects(cells, by)
+    unit = (cells.join(time, [*by, "_time"]).groupBy(*by, "_unit")
+            .agg(_weighted("x", F.col("_mx") - F.col("_tx"), "_ux"), _weighted("y", F.col("_my") - F.col("_ty"), "_uy")))
+    rows = cells.join(unit, [*by, "_unit"]).join(time.drop("_settled", "_steps"), [*by, "_time"])
+    how = group_agg(time, by, F.min("_settled").alias("_settled"), F.max("_steps").alias("_steps"))
     return (rows.withColumn("_dx", F.col("_mx") - F.col("_ux") - F.col("_tx"))
             .withColumn("_dy", F.col("_my") - F.col("_uy") - F.col("_ty"))
-            .drop("_ux", "_uy", "_tx", "_ty"), sweeps, settled)
+            .drop("_ux", "_uy", "_tx", "_ty"), materialise(how))
+
+
+def _normal(cells: DataFrame, vector: DataFrame, by: list[str], x, y) -> DataFrame:
+    """Per time: sums of n * (value - unit mean of the value), the time equations with the unit effects eliminated.
 
+    ``x`` and ``y`` are the values, in columns of the cells and of ``vector`` (one row per time).
+    """
+    valued = cells.join(vector, [*by, "_time"]).select(*by, "_unit", "_time", "_n", x.alias("_vx"), y.alias("_vy"))
+    unit = valued.groupBy(*by, "_unit").agg(_weighted("x", F.col("_vx"), "_ux"), _weighted("y", F.col("_vy"), "_uy"))
+    n = F.col("_n")
+    return (valued.join(unit, [*by, "_unit"]).groupBy(*by, "_time")
+            .agg(F.sum(n * (F.col("_vx") - F.col("_ux"))).alias("_qx"), F.sum(n * (F.col("_vy") - F.col("_uy"))).alias("_qy")))
 
-def _unit_effects(cells: DataFrame, time: DataFrame, by: list[str]) -> DataFrame:
-    return (cells.join(time, [*by, "_time"]).groupBy(*by, "_unit")
-            .agg(_weighted("x", F.col("_mx") - F.col("_tx"), "_ux"),
-                 _weighted("y", F.col("_my") - F.col("_ty"), "_uy")))
+
+def _time_effects(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Time effects of both columns by preconditioned conjugate gradients, every group with its own steps.
+
+    A group is settled when the residual of its normal equations is below ``TOLERANCE`` of the spread of its cells; settled
+    groups take no more steps. There are at most as many independent equations as periods, so the steps are bounded by that
+    number with room for rounding, and a group still open then is marked as not settled.
+    """
+    zero = F.lit(0.0)
+    size = materialise(cells.groupBy(*by, "_time").agg(F.sum("_n").cast("double").alias("_d")))
+    means = group_agg(cells, by, _weighted("x", F.col("_mx"), "_gx"), _weighted("y", F.col("_my"), "_gy"))
+    n = F.col("_n")
+    scale = materialise(group_agg(attach(cells, materialise(means), by), by, F.sum(n * F.pow(F.col("_mx") - F.col("_gx"), 2)).alias("_scx"),
+                                  F.sum(n * F.pow(F.col("_my") - F.col("_gy"), 2)).alias("_scy")))
+    r = size.join(_normal(cells, size, by, F.col("_mx"), F.col("_my")), [*by, "_time"])
+    state = materialise(r.select(*by, "_time", "_d", *[c for v in "xy" for c in (
+        zero.alias(f"_t{v}"), F.col(f"_q{v}").alias(f"_r{v}"), (F.col(f"_q{v}") / F.col("_d")).alias(f"_p{v}"))], F.lit(0).alias("_steps")))
+
+    def energy(rows: DataFrame) -> DataFrame:
+        return group_agg(rows, by, *[F.sum(F.col(f"_r{v}") * F.col(f"_r{v}") / F.col("_d")).alias(f"_e{v}") for v in "xy"])
+
+    def is_open(v: str):
+        return F.col(f"_e{v}") > TOLERANCE * TOLERANCE * F.col(f"_sc{v}")
+
+    had = materialise(attach(energy(state), scale, by).withColumn("_open", is_open("x") | is_open("y")))
+    periods = int(group_agg(size, by, F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0)
+    for _ in range(2 * periods + 20):
+        if not had.where("_open").limit(1).count():
+            break
+        q = materialise(state.join(_normal(cells, state.select(*by, "_time", "_px", "_py"), by, F.col("_px"), F.col("_py")), [*by, "_time"]))
+        along = group_agg(q, by, *[F.sum(F.col(f"_p{v}") * F.col(f"_q{v}")).alias(f"_a{v}") for v in "xy"])
+        step = materialise(attach(along, had, by))
+        length = {v: F.when(is_open(v) & (F.col(f"_a{v}") > 0), F.col(f"_e{v}") / F.col(f"_a{v}")).otherwise(zero) for v in "xy"}
+        lengths = step.select(*by, *[length[v].alias(f"_l{v}") for v in "xy"], F.col("_open").cast("int").alias("_one"))
+        moved = materialise(attach(q, lengths, by).select(*by, "_time", "_d", *[c for v in "xy" for c in (
+            (F.col(f"_t{v}") + F.col(f"_l{v}") * F.col(f"_p{v}")).alias(f"_t{v}"), (F.col(f"_r{v}") - F.col(f"_l{v}") * F.col(f"_q{v}")).alias(f"_r{v}"),
+            F.col(f"_p{v}"))], (F.col("_steps") + F.col("_one")).alias("_steps")))
+        now = materialise(attach(attach(energy(moved), had.select(*by, *[F.col(f"_e{v}").alias(f"_b{v}") for v in "xy"]), by), scale, by)
+                          .withColumn("_open", is_open("x") | is_open("y")))
+        turn = now.select(*by, *[F.when(F.col(f"_b{v}") > 0, F.col(f"_e{v}") / F.col(f"_b{v}")).otherwise(zero).alias(f"_w{v}") for v in "xy"])
+        state = materialise(attach(moved, turn, by).select(*by, "_time", "_d", *[c for v in "xy" for c in (
+            F.col(f"_t{v}"), F.col(f"_r{v}"), (F.col(f"_r{v}") / F.col("_d") + F.col(f"_w{v}") * F.col(f"_p{v}")).alias(f"_p{v}"))], "_steps"))
+        had = now.drop("_bx", "_by")
+    settled = had.select(*by, (~F.col("_open")).alias("_settled"))
+    return materialise(attach(state.select(*by, "_time", "_tx", "_ty", "_steps"), settled, by))
 
 
 def panel_ols(df: DataFrame, outcome: str, treatment: str, time: str, unit: str,
@@ -95,7 +133,11 @@ def panel_ols(df: DataFrame, outcome: str, treatment: str, time: str, unit: str,
     by = list(by)
     cells = materialise(panel_cells(df, outcome, treatment, time, unit, by))
     facts = materialise(panel_facts(cells, by))
-    rows, sweeps, settled = demean_cells(cells, facts, by)
+    rows, how = demean_cells(cells, facts, by)
+    if how is None:
+        facts = facts.withColumn("_settled", F.lit(True)).withColumn("_steps", F.lit(1))
+    else:
+        facts = attach(facts, how, by)
     n = F.col("_n")
     per_unit = materialise(rows.groupBy(*by, "_unit").agg(
         F.sum(F.col("_sxx") + n * F.col("_dx") * F.col("_dx")).alias("_sxx"),
@@ -109,17 +151,18 @@ def panel_ols(df: DataFrame, outcome: str, treatment: str, time: str, unit: str,
     fit = attach(attach(facts, total, by), meat, by)
     g, count = F.col("_units"), F.coalesce(n, F.lit(0))
     # Below the rounding error of the demeaned predictor there is nothing left to identify b.
-    error = (F.when(count < 10, F.concat(F.lit("Too few observations ("), count.cast("string"), F.lit(")")))
-             .when(g < 2, "Need >= 2 units for TWFE").when(F.col("_periods") < 2, "Need >= 2 time periods for TWFE")
+    error = (F.when(count < 10, F.concat(F.lit("a two-way fit takes 10 rows, there are "), count.cast("string")))
+             .when(g < 2, "only one unit: unit effects need two").when(F.col("_periods") < 2, "only one period: time effects need two")
+             .when(~F.col("_settled"), "the effects did not settle")
              .when(~(F.sqrt(F.col("_sxx") / n) >= F.greatest(F.lit(TINY_SD), F.abs("_gx") * 1e-9)),
-                   "No within-variation in treatment after absorbing FEs"))
+                   "unit and time effects explain the predictor wholly"))
     return regression_rows(fit, by, model, outcome, treatment, error, dict(
         estimate=F.col("_b"), intercept=F.col("_gy") - F.col("_b") * F.col("_gx"),
         se=cluster_scale("_meat", "_sxx", g), df=g - 1,
         r_squared=F.coalesce(F.col("_b") * ratio(F.col("_sxy"), F.col("_syy")), F.lit(0.0)),
         n_obs=n, n_units=g, n_periods=F.col("_periods"), x_mean=F.col("_gx"),
         se_type=F.lit("clustered (unit level)"), fe_type=F.lit("Two-way fixed effects (unit + time)"),
-        converged=F.lit(settled), n_iter=F.lit(sweeps)))
+        converged=F.col("_settled"), n_iter=F.col("_steps")))
 
 
 def diff_in_diff(df, outcome, treatment, time, unit, by=()):
