@@ -73,11 +73,11 @@ def wide(spark, sf_dir) -> DataFrame:
     """Country rows with an indicator and one column per year."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
-    years = [str(y) for y in range(1995, 2002)]
+    years = [str(r[0]) for r in o.select(F.year("o_orderdate")).where("o_orderdate is not null").distinct().collect()]
     cells = rows.select(F.col("n_name").alias("country"), F.year("o_orderdate").cast("string").alias("yr"), F.explode(F.array(
         F.struct(F.lit("Average order price").alias("i"), F.col("o_totalprice").alias("v")),
         F.struct(F.lit("Share of urgent orders").alias("i"), F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0).alias("v")))).alias("c"))
-    return (cells.groupBy("country", F.col("c.i").alias("indicator")).pivot("yr", years).agg(F.avg("c.v")))
+    return (cells.groupBy("country", F.col("c.i").alias("indicator")).pivot("yr", sorted(years)).agg(F.avg("c.v")))
 
 
 def monthly(spark, sf_dir) -> DataFrame:

@@ -172,6 +172,16 @@ def _(spark, d):
     return shown(D.breusch_pagan(r, ["l_returnflag"]), "l_returnflag", "check_id", statistic=6)
 
 
+@query("jarque_bera", f"""WITH {line_ctes("SELECT l_returnflag AS g, l_extendedprice AS y, l_quantity AS x FROM lineitem")},
+  e AS (SELECT g, (l_extendedprice-my)-b*(l_quantity-mx) AS e FROM lineitem JOIN fit ON g = l_returnflag), c AS (SELECT g, avg(e) AS m FROM e GROUP BY g),
+  k AS (SELECT g, count(*) AS n, avg(power(e-m, 2)) AS m2, avg(power(e-m, 3)) AS m3, avg(power(e-m, 4)) AS m4 FROM e JOIN c USING (g) GROUP BY g)
+SELECT g AS l_returnflag, 'jarque_bera' AS check_id, CASE WHEN exp(-j/2) < 0.05 THEN 'violated' ELSE 'ok' END AS status, round(j, 4) AS statistic FROM (
+  SELECT g, n/6.0*(power(m3/power(m2, 1.5), 2) + power(m4/(m2*m2) - 3, 2)/4) AS j FROM k)""")
+def _(spark, d):
+    r = D.ols_residuals(table(spark, d, "lineitem"), Y, X, ["l_returnflag"])
+    return shown(D.jarque_bera(r, ["l_returnflag"]), "l_returnflag", "check_id", "status", statistic=4)
+
+
 @query("shapiro_wilk")
 def _(spark, d):
     r = D.ols_residuals(table(spark, d, "lineitem"), Y, X, ["l_returnflag"], ["l_orderkey", "l_linenumber"])

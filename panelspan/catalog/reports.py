@@ -63,7 +63,7 @@ def _(spark, d):
     return rounded(r, shock=3, time=3, forecast=3, shocked_last=3)
 
 
-@query("whatif_dispatch", f"""WITH {line_ctes(LINE_BY)} SELECT 40.0::DOUBLE AS x, 'ols' AS model, round(a+b*40, 4) AS predicted, round(a+b*40 - 1.96*se*abs(40-mx), 4) AS pred_lower,
+@query("whatif_dispatch", f"""WITH {line_ctes(LINE_BY)} SELECT g AS l_returnflag, 40.0::DOUBLE AS x, 'ols' AS model, round(a+b*40, 4) AS predicted, round(a+b*40 - 1.96*se*abs(40-mx), 4) AS pred_lower,
   round(a+b*40 + 1.96*se*abs(40-mx), 4) AS pred_upper, round(b*(40-mx), 5) AS delta_vs_baseline FROM fit""")
 def _(spark, d):
     r = PO.whatif(R.ols(table(spark, d, "lineitem"), Y, X, ["l_returnflag"]), {"x": 40})
@@ -361,18 +361,18 @@ def _law_hit(ys, xs) -> str:
     return f"CASE WHEN {_words(ys, 'o')} THEN {_words(xs, 'tr')} ELSE {_words(ys, 'tr')} AND {_words(xs, 'o')} END"
 
 
-@query("known_law", f"""WITH l AS (SELECT doc_id, lower(text) AS o, lower(coalesce(string_agg(b.text, ' '), '')) AS tr FROM documents LEFT JOIN (SELECT item_id, text FROM benchmark) b ON b.item_id = doc_id % 40 GROUP BY doc_id, documents.text)
+@query("known_law", f"""WITH l AS (SELECT doc_id, lower(text) AS o, lower(coalesce(string_agg(b.text, ' '), '')) AS tr FROM documents LEFT JOIN (SELECT item_id, text FROM benchmark) b ON b.item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark) GROUP BY doc_id, documents.text)
 SELECT doc_id, {_case([(_law_hit(ys, xs), n.replace(chr(39), chr(39) * 2)) for n, ys, xs, _ in T.LAWS])} AS law FROM l""".replace("lower(text) AS o", "lower(documents.text) AS o"))
 def _(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("other"))
-    docs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 40).join(b, "k", "left")
+    items = b.agg(F.max("k")).first()[0] + 1        # every item meets documents
+    docs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % items).join(b, "k", "left")
     return docs.select("doc_id", T.known_law(F.col("text"), F.col("other"))["law"].alias("law"))
 
 
-@query("r2_context", f"""WITH {RESULTS}, x AS (SELECT l_suppkey, r2, printf('%.1f', r2*100) AS pct FROM results)
-SELECT l_suppkey, 'R² = ' || pct || '% is ' || CASE WHEN r2 < 0.02 THEN 'below the typical range' WHEN r2 > 0.15 THEN 'above the typical range — unusually high' ELSE 'within the typical range' END
-  || ' for finance (asset pricing models explain 2–15% — markets are mostly noise; typical 2–15%).' AS for_finance,
-  'R² = ' || pct || '% — ' || CASE WHEN r2 < 0.05 THEN 'very low' WHEN r2 < 0.2 THEN 'modest' WHEN r2 < 0.5 THEN 'moderate' ELSE 'high' END || ' explanatory power.' AS general FROM x""")
+@query("r2_context", f"""WITH {RESULTS}, x AS (SELECT l_suppkey, r2, printf('%.1f', r2*100) || '% of the variance is explained' AS head FROM results)
+SELECT l_suppkey, head || '; finance usually has 2 to 15%, so this is ' || CASE WHEN r2 < 0.02 THEN 'below' WHEN r2 > 0.15 THEN 'above' ELSE 'inside' END || ' its range' AS for_finance,
+  head || ': ' || CASE WHEN r2 < 0.05 THEN 'next to nothing' WHEN r2 < 0.2 THEN 'little' WHEN r2 < 0.5 THEN 'a good part' ELSE 'most of it' END AS general FROM x""")
 def _(spark, d):
     return results(spark, d).select("l_suppkey", T.r2_context(F.col("r_squared"), F.lit("finance")).alias("for_finance"),
                                     T.r2_context(F.col("r_squared"), F.lit("")).alias("general"))
@@ -380,41 +380,39 @@ def _(spark, d):
 
 @query("sanity_notes", f"""WITH {RESULTS}, m AS (SELECT l_suppkey, avg(l_extendedprice) AS ym FROM lineitem GROUP BY 1),
   a AS (SELECT l_suppkey, list_filter([
-    CASE WHEN abs(b)/abs(ym) > 1 THEN 'Effect size (' || printf('%.6g', b) || ') is as large as the mean `l_extendedprice` (' || printf('%.4g', ym) || ') — unusually large; check units and reverse causality.'
-      WHEN abs(b)/abs(ym) < 0.001 THEN 'Effect (' || printf('%.6g', b) || ') is tiny vs mean `l_extendedprice` (' || printf('%.4g', ym) || ') — statistically detectable but economically negligible.' END,
-    CASE WHEN n < 30 THEN 'Sample size is small (' || n || ' observations); standard errors are wide and the estimate could swing if you added more data.' END,
-    CASE WHEN lo <= 0 AND hi >= 0 THEN 'The 95% confidence interval crosses zero — we can''t rule out no effect.' END,
-    CASE WHEN p > 0.1 THEN 'p-value of ' || printf('%.3f', p) || ' is weak evidence — treat the sign as suggestive at best.' END,
-    CASE WHEN r2 < 0.05 THEN 'R² is only ' || printf('%.3f', r2) || ', so this predictor alone explains very little of the variation in `l_extendedprice` — there are likely other important drivers.' END],
+    CASE WHEN abs(b)/abs(ym) > 1 THEN 'size: ' || printf('%.6g', b) || ' against a mean of ' || printf('%.4g', ym) || ' for l_extendedprice; look at the units, and at which causes which'
+      WHEN abs(b)/abs(ym) < 0.001 THEN 'size: ' || printf('%.6g', b) || ' against a mean of ' || printf('%.4g', ym) || ' for l_extendedprice, under a thousandth of it' END,
+    CASE WHEN n < 30 THEN 'rows: only ' || n || ', so the interval is wide' END,
+    CASE WHEN lo <= 0 AND hi >= 0 THEN 'interval: it holds zero, so the sign is open' END,
+    CASE WHEN p > 0.1 THEN 'p-value: ' || printf('%.3f', p) || ' leaves the sign a guess' END,
+    CASE WHEN r2 < 0.05 THEN 'fit: R² ' || printf('%.3f', r2) || ', most of l_extendedprice has other sources' END],
     lambda c: c IS NOT NULL) AS notes FROM results JOIN m USING (l_suppkey))
-SELECT l_suppkey, 'entity_fe' AS model, array_to_string(CASE WHEN len(notes) > 0 THEN notes ELSE ['Sign and magnitude are plausible. Usual caveat: omitted variables correlated with both `l_quantity` and `l_extendedprice` could still bias the estimate.'] END, chr(10)) AS notes,
+SELECT l_suppkey, 'entity_fe' AS model, array_to_string(CASE WHEN len(notes) > 0 THEN notes ELSE ['nothing stands out; whatever moves both l_quantity and l_extendedprice would still bias this'] END, chr(10)) AS notes,
   CAST(greatest(len(notes), 1) AS INTEGER) AS n_notes FROM a""")
 def _(spark, d):
     return TB.sanity(results(spark, d), table(spark, d, "lineitem"), Y, KEY)
 
 
-@query("verdict", f"""WITH {RESULTS}, h AS (SELECT *, 'A 1-unit increase in l_quantity is associated with a **' || CASE WHEN b > 0 THEN 'rises' ELSE 'falls' END || ' of ' || printf('%.3g', abs(b)) || '** in l_extendedprice' AS head FROM results)
-SELECT l_suppkey, CASE WHEN p < 0.05 AND (lo > 0 OR hi < 0) THEN head || ' — the evidence supports this direction.' WHEN p < 0.05 THEN head || ' (p=' || printf('%.3f', p) || ').'
-  ELSE 'No clear evidence that l_quantity affects l_extendedprice in this dataset — the estimated change of ' || printf('%+.3g', b) || ' could easily be chance (p=' || printf('%.3f', p) || ').' END AS verdict FROM h""")
+@query("verdict", f"""WITH {RESULTS}, h AS (SELECT *, 'l_extendedprice' || CASE WHEN b > 0 THEN ' rises by ' ELSE ' falls by ' END || printf('%.3g', abs(b)) || ' per unit of l_quantity' AS head FROM results)
+SELECT l_suppkey, CASE WHEN p < 0.05 AND (lo > 0 OR hi < 0) THEN head || '; zero lies outside the interval' WHEN p < 0.05 THEN head || '; p = ' || printf('%.3f', p)
+  ELSE 'how l_quantity moves l_extendedprice is not settled: ' || printf('%+.3g', b) || ' per unit, p = ' || printf('%.3f', p) END AS verdict FROM h""")
 def _(spark, d):
     return TB.result_texts(results(spark, d), KEY).select("l_suppkey", "verdict")
 
 
 @query("plain_english", f"""WITH {RESULTS}, h AS (SELECT *, CAST(least(99, floor(p*100)) AS INTEGER) AS ch FROM results)
-SELECT l_suppkey, '- On average, a 1-unit change is associated with a ' || CASE WHEN b > 0 THEN 'increase' ELSE 'decrease' END || ' of roughly ' || printf('%.3g', abs(b)) || '.' || chr(10)
-  || CASE WHEN p < 0.05 THEN '- We''re about ' || (100-ch) || '% confident this isn''t just random noise (' || ch || '% chance it''s coincidence).'
-     ELSE '- There''s a ' || ch || '% chance a gap this large would appear even if there were truly no relationship — so we can''t confirm it.' END
-  || CASE WHEN lo < 0 AND hi > 0 THEN ' The range of plausible values spans both directions.' ELSE '' END || chr(10)
-  || '- This relationship accounts for ' || printf('%.1f', r2*100) || '% of the variation in the outcome'
-  || CASE WHEN r2 < 0.1 THEN ' — other factors matter much more.' WHEN r2 < 0.3 THEN ' — a modest but partial explanation.' ELSE ' — a substantial portion of what drives the outcome.' END AS plain_english FROM h""")
+SELECT l_suppkey, 'One unit more goes with ' || printf('%.3g', abs(b)) || CASE WHEN b > 0 THEN ' more.' ELSE ' less.' END || chr(10)
+  || 'Without any relation, ' || ch || ' of 100 samples would show as much; we ' || CASE WHEN p < 0.05 THEN 'take it as real.' ELSE 'leave it open.' END
+  || CASE WHEN lo < 0 AND hi > 0 THEN ' Either sign is possible.' ELSE '' END || chr(10)
+  || 'Of 100 parts of the outcome''s variation it covers ' || printf('%.1f', r2*100) || CASE WHEN r2 < 0.1 THEN ', a small part.' WHEN r2 < 0.3 THEN ', a part.' ELSE ', a large part.' END AS plain_english FROM h""")
 def _(spark, d):
     return TB.result_texts(results(spark, d), KEY).select("l_suppkey", "plain_english")
 
 
-@query("regression_summary", f"""WITH {RESULTS} SELECT l_suppkey, '- Estimate: Entity fixed effects finds a ' || CASE WHEN b > 0 THEN 'positive' WHEN b < 0 THEN 'negative' ELSE 'near-zero' END
-  || ' statistical relationship of l_quantity on l_extendedprice, magnitude ' || format('{{:,.4f}}', b) || '.' || chr(10) || '- Significance: ' || CASE WHEN p < 0.05 THEN 'statistically significant' ELSE 'not statistically significant' END
-  || ' at the 5% level (p=' || printf('%.4f', p) || '); ' || CASE WHEN lo <= 0 AND hi >= 0 THEN 'the 95% confidence interval crosses zero, so we can''t rule out ''no effect''' ELSE 'the 95% confidence interval excludes zero, so the sign is well-determined' END
-  || ' (95% CI [' || format('{{:,.4f}}', lo) || ', ' || format('{{:,.4f}}', hi) || ']).' || chr(10) || '- Fit: R² = ' || printf('%.4f', r2) || ' on ' || n || ' observations.' AS summary FROM results""")
+@query("regression_summary", f"""WITH {RESULTS} SELECT l_suppkey, 'Entity fixed effects: ' || CASE WHEN b > 0 THEN 'positive' WHEN b < 0 THEN 'negative' ELSE 'no' END
+  || ' relation, ' || format('{{:,.4f}}', b) || ' of l_extendedprice per unit of l_quantity' || chr(10) || 'p = ' || printf('%.4f', p) || CASE WHEN p < 0.05 THEN ', under 0.05' ELSE ', not under 0.05' END
+  || '; 95% from ' || format('{{:,.4f}}', lo) || ' to ' || format('{{:,.4f}}', hi) || CASE WHEN lo <= 0 AND hi >= 0 THEN ', zero inside' ELSE ', zero outside' END
+  || chr(10) || 'R² ' || printf('%.4f', r2) || ' over ' || n || ' rows' AS summary FROM results""")
 def _(spark, d):
     return TB.result_texts(results(spark, d), KEY).select("l_suppkey", "summary")
 
@@ -427,11 +425,10 @@ def _(spark, d):
 
 @query("forecast_summary", f"""WITH {AR}, p AS (SELECT g, yl, rmse, h, a*(1-power(phi,h))/(1-phi) + power(phi,h)*yl AS fc FROM z, (SELECT unnest(generate_series(1, 10)) AS h)),
   fs AS (SELECT g, any_value(yl) AS yl, any_value(rmse) AS rmse, max(CASE WHEN h = 1 THEN fc END) AS nx, avg(fc) AS av FROM p GROUP BY g)
-SELECT g AS o_orderpriority, CASE WHEN nx > yl THEN 'increase' WHEN nx < yl THEN 'decrease' ELSE 'stay roughly flat' END AS direction, round((nx-yl)*100/yl, 6) AS pct_change, round(nx, 4) AS next_value,
+SELECT g AS o_orderpriority, CASE WHEN nx > yl THEN 'up' WHEN nx < yl THEN 'down' ELSE 'level' END AS direction, round((nx-yl)*100/yl, 6) AS pct_change, round(nx, 4) AS next_value,
   round(av, 4) AS mean_forecast, CAST(10 AS BIGINT) AS periods,
-  '- Direction: the outcome is expected to ' || CASE WHEN nx > yl THEN 'increase' WHEN nx < yl THEN 'decrease' ELSE 'stay roughly flat' END || ' from ' || format('{{:,.4f}}', yl) || ' to ' || format('{{:,.4f}}', nx)
-  || ' next period (' || printf('%+.2f', (nx-yl)*100/yl) || '%).' || chr(10) || '- Horizon: average forecast over 10 periods is ' || format('{{:,.4f}}', av) || '.' || chr(10)
-  || '- Uncertainty: model RMSE is ' || format('{{:,.4f}}', rmse) || '; treat the point forecast as a central estimate, not a guarantee, especially further out.' AS summary FROM fs""")
+  'next ' || format('{{:,.4f}}', nx) || ' after ' || format('{{:,.4f}}', yl) || ': ' || CASE WHEN nx > yl THEN 'up' WHEN nx < yl THEN 'down' ELSE 'level' END || ', ' || printf('%+.2f', (nx-yl)*100/yl) || '%'
+  || chr(10) || 'mean of 10 steps ' || format('{{:,.4f}}', av) || chr(10) || 'one-step error ' || format('{{:,.4f}}', rmse) AS summary FROM fs""")
 def _(spark, d):
     by = ["o_orderpriority"]
     r = TB.forecast_summary(FC.forecast_ar1(monthly(spark, d), "o_totalprice", "m", 10, by), by)
@@ -441,16 +438,15 @@ def _(spark, d):
 @query("diagnostics_summary", f"""WITH {line_ctes("SELECT l_suppkey AS g, l_extendedprice AS y, l_quantity AS x FROM lineitem")},
   rd AS (SELECT g, l_linenumber AS ln, l_orderkey AS ok, (l_extendedprice-my)-b*(l_quantity-mx) AS e FROM lineitem JOIN fit ON g = l_suppkey),
   dl AS (SELECT g, e, e - lag(e) OVER (PARTITION BY g ORDER BY ok, ln, e) AS de FROM rd), dw AS (SELECT g, sum(de*de)/sum(e*e) AS dw FROM dl GROUP BY g)
-SELECT g AS l_suppkey, CASE WHEN abs(dw-2) > 0.5 THEN '   [FAIL] Autocorrelation detected (DW=' || printf('%.3f', dw) || ')' || chr(10) || chr(10) || 'VIOLATIONS DETECTED:' || chr(10) || '   - Durbin-Watson' || chr(10) || chr(10)
-    || 'CORRECTIONS APPLIED:' || chr(10) || '   - Consider ARIMA or robust standard errors'
-  ELSE '   [OK]   No significant autocorrelation (DW=' || printf('%.3f', dw) || ')' || chr(10) || chr(10) || '[OK] All diagnostic checks passed.' END AS summary FROM dw""")
+SELECT g AS l_suppkey, CASE WHEN abs(dw-2) > 0.5 THEN 'failed: DW ' || printf('%.3f', dw) || ' is more than 0.5 away from 2: neighbours in time are related' || chr(10) || chr(10) || 'failed checks:' || chr(10)
+    || '- Durbin-Watson' || chr(10) || chr(10) || 'what to do:' || chr(10) || '- model the time order, or use errors that allow for it'
+  ELSE 'passed: DW ' || printf('%.3f', dw) || ' is within 0.5 of 2' || chr(10) || chr(10) || 'no check failed' END AS summary FROM dw""")
 def _(spark, d):
     resid = D.ols_residuals(table(spark, d, "lineitem"), Y, X, KEY, ["l_orderkey", "l_linenumber"])
     checks = D.durbin_watson(resid, ["l_orderkey", "l_linenumber", "_e"], [], KEY)
     return TB.diagnostics_summary(checks, KEY).select("l_suppkey", "summary")
 
 
-@query("followups", f"""WITH {RESULTS} SELECT l_suppkey, array_to_string(['Robustness check: try a different model for l_extendedprice.', 'Subset the data (year range, unit) and re-run.', 'What if l_quantity changed by 10%?',
-  'Add a control variable to absorb confounders.'], chr(10)) AS followups FROM results""")
+@query("followups", f"""WITH {RESULTS} SELECT l_suppkey, array_to_string(['another model for l_extendedprice', 'a part of the rows', 'l_quantity changed by a tenth', 'one more predictor'], chr(10)) AS followups FROM results""")
 def _(spark, d):
     return results(spark, d).select("l_suppkey", F.array_join(T.followups(F.col("model"), F.col("outcome"), F.col("treatment")), "\n").alias("followups"))

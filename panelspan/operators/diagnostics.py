@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHAPIRO_ROWS = 5000
 ADF_LAG_LIMIT = 60      # lag columns kept for the longest series
-NOTHING = "No correction needed"
+NOTHING = "none"
 
 # MacKinnon (1994) response surface for the p-value of the constant-only unit root test.
 TAU_SMALL = (2.1659, 1.4412, 0.038269)
@@ -81,7 +81,7 @@ def panel_residuals(df: DataFrame, outcome: str, treatment: str, time: str, unit
     by = list(by)
     cells = materialise(panel_cells(df, outcome, treatment, time, unit, by))
     facts = materialise(panel_facts(cells, by))
-    rows, _, _ = demean_cells(cells, facts, by)
+    rows, _ = demean_cells(cells, facts, by)
     n = F.col("_n")
     slope = group_agg(rows, by, F.coalesce(ratio(F.sum(F.col("_sxy") + n * F.col("_dx") * F.col("_dy")),
                                                  F.sum(F.col("_sxx") + n * F.col("_dx") * F.col("_dx"))),
@@ -109,9 +109,9 @@ def breusch_pagan(resid: DataFrame, by: Sequence[str] = (), suite: str = "") ->
     s = s.withColumn("_p", chi2_sf_udf(F.coalesce("_lm", F.lit(0.0)), F.lit(1.0)))
     return check_rows(s, by, suite, "breusch_pagan", "Breusch-Pagan", F.col("_lm"), F.col("_p"), F.col("_p") < 0.05,
                       F.when(~(F.coalesce("_sf", F.lit(0.0)) >= 1e-15),
-                             "Unable to compute (zero variance in fitted values)"),
-                      _text("Heteroscedasticity detected (p=%.4f)", F.col("_p")),
-                      _text("Homoscedastic (p=%.4f)", F.col("_p")), "Robust (HC1) standard errors applied",
+                             "the fitted values do not vary"),
+                      _text("squared residuals move with the fit (p=%.4f)", F.col("_p")),
+                      _text("squared residuals do not move with the fit (p=%.4f)", F.col("_p")), "read the HC1 errors",
                       detail=F.create_map(F.lit("lm_compat"), ratio(F.col("_su"), F.col("_sf")) * F.col("_n") / 2))
 
 
@@ -123,9 +123,9 @@ def durbin_watson(resid: DataFrame, order: Sequence[str] | str, unit: Sequence[s
     a = group_agg(s, by, F.count(F.lit(1)).alias("_n"), ratio(F.sum(d * d), F.sum(F.col("_e") * F.col("_e"))).alias("_dw"))
     dw = F.col("_dw")
     return check_rows(a, by, suite, "durbin_watson", "Durbin-Watson", dw, None, F.abs(dw - 2) > 0.5,
-                      F.when((F.col("_n") < 3) | dw.isNull(), "Insufficient data"),
-                      _text("Autocorrelation detected (DW=%.3f)", dw), _text("No significant autocorrelation (DW=%.3f)", dw),
-                      "Consider ARIMA or robust standard errors")
+                      F.when((F.col("_n") < 3) | dw.isNull(), "fewer than three residuals, or all zero"),
+                      _text("DW %.3f is more than 0.5 away from 2: neighbours in time are related", dw), _text("DW %.3f is within 0.5 of 2", dw),
+                      "model the time order, or use errors that allow for it")
 
 
 def ljung_box(series: DataFrame, order: str, by: Sequence[str] = (), lags: int = 10, suite: str = "",
@@ -143,10 +143,10 @@ def ljung_box(series: DataFrame, order: str, by: Sequence[str] = (), lags: int =
     a = a.withColumn("_q", q).withColumn("_p", chi2_sf_udf(F.coalesce("_q", F.lit(0.0)), F.lit(float(lags))))
     p = F.col("_p")
     return check_rows(a, by, suite, "ljung_box", f"Ljung-Box (lag={lags})", F.col("_q"), p, p < 0.05,
-                      F.when((n < lags + 2) | F.col("_q").isNull(), f"Insufficient data for Ljung-Box (need > {lags + 1} obs)"),
-                      _text("Residual autocorrelation detected (LB p=%.4f)", p),
-                      _text("No significant residual autocorrelation (LB p=%.4f)", p),
-                      "Increase ARIMA order (more AR/MA terms)")
+                      F.when((n < lags + 2) | F.col("_q").isNull(), f"{lags} lags need at least {lags + 2} points that vary"),
+                      _text("the first lags are jointly related (p=%.4f)", p),
+                      _text("the first lags show no joint relation (p=%.4f)", p),
+                      "add AR or MA terms")
 
 
 def _shapiro(values: np.ndarray) -> tuple[float, float]:
@@ -196,16 +196,19 @@ def _shapiro_udf(values: pd.Series) -> pd.DataFrame:
 
 def shapiro_wilk(resid: DataFrame, by: Sequence[str] = (), key: Sequence[str] = (), suite: str = "",
                  limit: int = SHAPIRO_ROWS) -> DataFrame:
-    """Normality of at most ``limit`` residuals per group: those whose key has the smallest hash.
+    """W of at most ``limit`` residuals per group, a named sample: those whose ``key`` has the smallest hash.
 
-    Large groups are thinned by the hash before the ranking, so a hot group ranks a few thousand
+    ``jarque_bera`` takes all residuals. ``key`` names columns that identify a row, so that the sample does not hang on the last
+    digit of a residual; groups beyond the limit need it. Large groups are thinned by the hash before the ranking, so a hot group ranks a few thousand
     rows and never all of them.
     """
     by = list(by)
     size = group_agg(resid, by, F.count(F.lit(1)).alias("_n"))
     if by:
         size = materialise(size)
-    h = F.xxhash64(*(key or ["_e", "_fit"]))
+    if not key and size.where(F.col("_n") > limit).limit(1).count():
+        raise ValueError("a sample of residuals needs the columns that identify a row")
+    h = F.xxhash64(*(key or ["_e"]))
     share = (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
     thin = attach(resid.select(*by, "_e", share.alias("_h")), size, by).where(
         (F.col("_n") <= limit) | (F.col("_h") < 2.0 * limit / F.col("_n")))
@@ -217,11 +220,24 @@ def shapiro_wilk(resid: DataFrame, by: Sequence[str] = (), key: Sequence[str] =
     w = w.withColumn("_w", _shapiro_udf("_es"))
     p = F.col("_w.p")
     return check_rows(w, by, suite, "shapiro_wilk", "Shapiro-Wilk", F.col("_w.w"), p, p < 0.05,
-                      F.when(p.isNull(), "Insufficient data"), _text("Non-normal residuals (p=%.4f)", p),
-                      _text("Residuals consistent with normality (p=%.4f)", p), "Consider robust SEs or bootstrap CIs",
+                      F.when(p.isNull(), "fewer than three residuals, or all alike"), _text("W speaks against a normal law (p=%.4f)", p),
+                      _text("W fits a normal law (p=%.4f)", p), "use robust or bootstrap errors",
                       detail=F.create_map(F.lit("n_used"), F.size("_es").cast("double")))
 
 
+def jarque_bera(resid: DataFrame, by: Sequence[str] = (), suite: str = "") -> DataFrame:
+    """Normality of all residuals from their skewness and kurtosis: n / 6 (S^2 + (K - 3)^2 / 4), chi-square(2). One aggregate."""
+    s = group_agg(resid, by, F.count("_e").alias("_n"), F.skewness("_e").alias("_s"), F.kurtosis("_e").alias("_k"))
+    stat = F.col("_n") / 6 * (F.col("_s") * F.col("_s") + F.col("_k") * F.col("_k") / 4)
+    s = s.withColumn("_jb", F.when(~F.isnan(stat), stat))
+    p = F.exp(-F.col("_jb") / 2)
+    return check_rows(s, by, suite, "jarque_bera", "Jarque-Bera", F.col("_jb"), p, p < 0.05,
+                      F.when((F.col("_n") < 3) | F.col("_jb").isNull(), "fewer than three residuals, or all alike"),
+                      _text("skewness %.3f and excess kurtosis %.3f are not those of a normal law (p=%.4f)", F.col("_s"), F.col("_k"), p),
+                      _text("skewness %.3f and excess kurtosis %.3f fit a normal law (p=%.4f)", F.col("_s"), F.col("_k"), p), "use robust or bootstrap errors",
+                      detail=F.create_map(F.lit("skewness"), F.col("_s"), F.lit("excess_kurtosis"), F.col("_k"), F.lit("n_used"), F.col("_n").cast("double")))
+
+
 def vif(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Variance inflation of each column given the others (with intercept), plus the form without
     intercept and with centred total sum of squares (``vif_compat``). One aggregate per table."""
@@ -240,15 +256,19 @@ def vif(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFr
             full, plain = np.zeros((k, k)), np.zeros((k, k))
             full[at], plain[at] = cv, rw
             full, plain = full + np.triu(full, 1).T, plain + np.triu(plain, 1).T
-            sd = np.sqrt(np.diag(full))
-            centred = np.diag(np.linalg.pinv(full / np.outer(sd, sd)))
-            compat = []
-            for i in range(k):
-                rest = [j for j in range(k) if j != i]
+            sd = np.sqrt(np.maximum(np.diag(full), 0))
+            good = np.flatnonzero(np.isfinite(sd) & (sd > 0))       # a constant column or an empty table has no inflation
+            centred, compat = [None] * k, [None] * k
+            if len(good):
+                found = np.diag(np.linalg.pinv((full / np.outer(np.maximum(sd, 1e-300), np.maximum(sd, 1e-300)))[np.ix_(good, good)]))
+                for i, v in zip(good, found):
+                    centred[i] = float(v)
+            for i in good:
+                rest = [j for j in good if j != i]
                 fit = np.linalg.lstsq(plain[np.ix_(rest, rest)], plain[rest, i], rcond=None)[0]
                 r2 = 1 - (plain[i, i] - fit @ plain[rest, i]) / full[i, i]
-                compat.append(1 / (1 - r2) if r2 < 1 else np.inf)
-            out.append((list(centred), compat))
+                compat[i] = float(1 / (1 - r2)) if r2 < 1 else np.inf
+            out.append((centred, compat))
         return pd.DataFrame(out, columns=["vif", "compat"])
 
     done = s.withColumn("_v", F.pandas_udf(inflate, "vif array<double>, compat array<double>")("_cov", "_raw"))
@@ -334,9 +354,9 @@ def adf_test(series: DataFrame, by: Sequence[str] = (), auto_lag: bool = True, s
     p, size = F.col("_p"), F.col("n")
     crit = F.lit(TAU_CRIT_5[0]) + TAU_CRIT_5[1] / size + TAU_CRIT_5[2] / (size * size) + TAU_CRIT_5[3] / (size * size * size)
     return check_rows(out, by, suite, "adf", "ADF (Augmented Dickey-Fuller)", F.col("t"), p, p >= 0.05,
-                      F.when((n < 4) | F.col("t").isNull(), "Insufficient data for ADF test (need >= 4 obs)"),
-                      _text("NON-STATIONARY (ADF p=%.4f) — differencing may be needed", p),
-                      _text("STATIONARY (ADF p=%.4f)", p), "Apply first differencing (d=1)", name,
+                      F.when((n < 4) | F.col("t").isNull(), "a unit root test takes four points at least"),
+                      _text("a unit root is not ruled out (p=%.4f)", p),
+                      _text("a unit root is ruled out (p=%.4f)", p), "work with first differences", name,
                       F.create_map(F.lit("lag"), F.col("lag"), F.lit("n_used"), size, F.lit("crit_5"), crit))
 
 
@@ -392,9 +412,9 @@ def kpss_test(series: DataFrame, by: Sequence[str] = (), lag: int | None = None,
     out = out.withColumn("_p", p)
     p = F.col("_p")
     return check_rows(out, by, suite, "kpss", "KPSS", stat, p, p < 0.05,
-                      F.when((n < 5) | stat.isNull(), "Insufficient data for KPSS"),
-                      _text("KPSS: NON-STATIONARY (p=%.4f)", p), _text("KPSS: STATIONARY (p=%.4f)", p),
-                      "Apply differencing", name, F.create_map(F.lit("lag"), F.col("_lag").cast("double")))
+                      F.when((n < 5) | stat.isNull(), "a level test takes five points that vary"),
+                      _text("the level wanders (p=%.4f)", p), _text("the level holds (p=%.4f)", p),
+                      "work with differences", name, F.create_map(F.lit("lag"), F.col("_lag").cast("double")))
 
 
 # --- difference in differences --------------------------------------------------------------------------
@@ -436,15 +456,14 @@ def parallel_trends(df: DataFrame, outcome: str, treatment: str, time: str, unit
     out = out.withColumn("_t", F.when(F.col("_se") > 0, F.col("_d") / F.col("_se")).otherwise(0.0))
     out = out.withColumn("_p", t_tail_udf(F.coalesce("_t", F.lit(0.0)), F.greatest(n - 4, F.lit(1)).cast("double"))["pvalue"])
     p = F.col("_p")
-    why = (F.when(F.col("_start").isNull(), F.lit("No treated units identified for parallel trends test"))
+    why = (F.when(F.col("_start").isNull(), F.lit("no unit is ever treated"))
            .when((n < 10) | ~F.coalesce("_two", F.lit(False)),
-                 _text("Too few pre-treatment observations (%d) to test parallel trends (need >= 10 with >= 2 periods)", n))
-           .when(F.col("_d").isNull() | F.col("_se").isNull(), F.lit("Could not compute parallel trends test (singular matrix)")))
+                 _text("%d rows before treatment; ten over two periods are needed", n))
+           .when(F.col("_d").isNull() | F.col("_se").isNull(), F.lit("the slopes before treatment cannot be told apart")))
     return check_rows(out, by, suite, "parallel_trends", "Parallel Trends (pre-trend regression)", F.col("_d"), p, p < 0.10, why,
-                      _text("Pre-trends VIOLATED (interact p=%.3f<0.10): treated and control groups had different trends "
-                            "before treatment", p),
-                      _text("Parallel trends plausible (interact p=%.3f>=0.10)", p),
-                      "Interpret DiD with caution; consider synthetic control or matching",
+                      _text("before treatment the slopes of both groups differ (p=%.3f)", p),
+                      _text("before treatment the slopes of both groups agree (p=%.3f)", p),
+                      "do not read the effect as causal; match units first",
                       detail=F.create_map(F.lit("interaction_se"), F.col("_se"), F.lit("first_treatment_period"), F.col("_start"),
                                           F.lit("n_pre"), n.cast("double")))
 
@@ -459,7 +478,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def arima_diagnostics(df: DataFrame, outcome: str, time: str, by: Sequence[str] = ()) -> DataFrame:
-    """ADF, ADF of the first difference (where the level fails), KPSS, and Ljung-Box and Shapiro-Wilk on
+    """ADF, ADF of the first difference (where the level fails), KPSS, and Ljung-Box and Jarque-Bera on
     AR(1) residuals, on series with one row per period."""
     by, suite = list(by), "arima"
     s = series_prepare(df, outcome, time, by)
@@ -479,22 +498,22 @@ def arima_diagnostics(df: DataFrame, outcome: str, time: str, by: Sequence[str]
     fit = F.col("_mean") + F.col("_b") * (F.col("_y1") - F.col("_mean1"))
     resid = attach(lagged, ar, by).select(*by, "_t", (F.col("_y") - fit).alias("_e"), fit.alias("_fit"))
     return _union([level, change, kpss_test(s, by, suite=suite, name=outcome), ljung_box(resid, "_t", by, suite=suite),
-                   shapiro_wilk(resid, by, ["_t"], suite)])
+                   jarque_bera(resid, by, suite)])
 
 
 def did_diagnostics(df: DataFrame, outcome: str, treatment: str, time: str, unit: str, by: Sequence[str] = ()) -> DataFrame:
-    """Parallel trends, and Breusch-Pagan, Durbin-Watson and Shapiro-Wilk on two-way residuals."""
+    """Parallel trends, and Breusch-Pagan, Durbin-Watson and Jarque-Bera on two-way residuals."""
     by, suite = list(by), "did"
     resid = materialise(panel_residuals(df, outcome, treatment, time, unit, by))
     cells = resid.groupBy(*by, "_unit", "_time").agg(F.avg("_e").alias("_e"))
     return _union([parallel_trends(df, outcome, treatment, time, unit, by, suite), breusch_pagan(resid, by, suite),
-                   durbin_watson(cells, "_time", ["_unit"], by, suite), shapiro_wilk(resid, by, ["_unit", "_time", "_e"], suite)])
+                   durbin_watson(cells, "_time", ["_unit"], by, suite), jarque_bera(resid, by, suite)])
 
 
 def ols_diagnostics(df: DataFrame, outcome: str, treatment: str, by: Sequence[str] = ()) -> DataFrame:
-    """Breusch-Pagan and Shapiro-Wilk on least-squares residuals."""
+    """Breusch-Pagan and Jarque-Bera on least-squares residuals."""
     resid = ols_residuals(df, outcome, treatment, by)
-    return _union([breusch_pagan(resid, by, "ols"), shapiro_wilk(resid, by, (), "ols")])
+    return _union([breusch_pagan(resid, by, "ols"), jarque_bera(resid, by, "ols")])
 
 
 FORECAST_MODELS = ("arima", "linear_trend", "exp_smoothing", "random_walk")

@@ -293,7 +293,7 @@ def _fit_batch(w, sizes, p, q, with_const, skip):
                 break
             ridge = normal[todo].copy()
             ridge[:, range(ORDER), range(ORDER)] += damp[who[todo], None] * size_of[todo]
-            trial = _admissible(theta[who[todo]] - np.linalg.solve(ridge, slope[todo][:, :, None])[:, :, 0])
+            trial = _admissible(theta[who[todo]] - _solved(ridge, slope[todo]))
             fresh = errors(trial, who[todo])
             value = np.einsum("rt,rt->r", fresh, fresh)
             good = value < best[who[todo]]
@@ -307,6 +307,17 @@ def _fit_batch(w, sizes, p, q, with_const, skip):
     return theta, e, best, used.sum(axis=1)
 
 
+def _solved(a, b):
+    """Solutions of many small symmetric systems; a singular one gets its least-squares step, one that is not finite none."""
+    fine = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    a = np.where(fine[:, None, None], a, np.eye(a.shape[1]))
+    b = np.where(fine[:, None], b, 0.0)[:, :, None]
+    try:
+        return np.linalg.solve(a, b)[:, :, 0]
+    except np.linalg.LinAlgError:
+        return (np.linalg.pinv(a, hermitian=True) @ b)[:, :, 0]
+
+
 def _psi_weights(ar, ma, d, horizon):
     """Moving-average weights of the (integrated) process, for forecast variances."""
     poly = np.concatenate([[1.0], -np.asarray(ar)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DATELIKE, as_double, clean_numeric, dtype_of, finite, is_numeric, ratio
 from ..functions.dist import norm_ppf_udf
 from ..plans.scale import Series, attach, exact_quantile, group_agg, materialise
+from ..spec import FORECAST_SCHEMA, REGRESSION_SCHEMA
 from . import panel, regress
 from .forecast import series_prepare
 from .regress import Z95
@@ -60,58 +61,83 @@ def _on_scale(model: Column, x: Column) -> Column:
     return F.when(model == "log_log", F.ln(x)).otherwise(x)
 
 
+def single(models: DataFrame) -> DataFrame:
+    """The one row that results without keys must have; several models need keys."""
+    if len(models.limit(2).collect()) > 1:
+        raise ValueError("several models and no keys: name the columns that tell them apart")
+    return models
+
+
 def whatif_regression(models: DataFrame, scenarios: DataFrame, on: Sequence[str] = (), x: str = "x") -> DataFrame:
     """Predicted outcome at ``x`` for every scenario, with interval and change against the mean of x.
 
-    ``models`` are ``regression_result`` rows, keyed by ``on``. Without keys there is one model.
+    ``models`` are ``regression_result`` rows, keyed by ``on``. Without keys there must be one model.
     """
     on = list(on)
-    cols = [*on, "model", "intercept", "estimate", "se", "x_mean"]
-    m = models.where(F.col("status") == "ok").select(*cols)
-    if "extra" in models.columns:
-        m = models.where(F.col("status") == "ok").select(*cols, F.try_element_at("extra", F.lit("quadratic_term")).alias("_c"))
-    rows = attach(scenarios, m, on)
+    m = _line_parts(models, on)
+    return _predicted(attach(scenarios, m if on else single(m), on), scenarios.columns, x)
+
+
+def _line_parts(models: DataFrame, keep: Sequence[str]) -> DataFrame:
+    bend = F.try_element_at("extra", F.lit("quadratic_term")) if "extra" in models.columns else F.lit(0.0)
+    return models.where(F.col("status") == "ok").select(*keep, "model", "intercept", "estimate", "se", "x_mean", F.coalesce(bend, F.lit(0.0)).alias("_c"))
+
+
+def _predicted(rows: DataFrame, keep: Sequence[str], x: str) -> DataFrame:
     at = _on_scale(F.col("model"), F.col(x))
-    base = F.coalesce("x_mean", F.lit(0.0))
-    bend = F.coalesce(F.col("_c"), F.lit(0.0)) if "_c" in m.columns else F.lit(0.0)
-    start = F.coalesce("intercept", F.lit(0.0))
+    base, bend, start = F.coalesce("x_mean", F.lit(0.0)), F.col("_c"), F.coalesce("intercept", F.lit(0.0))
     # the slope of a quadratic is reported at the mean: move back to its linear term
     linear = F.col("estimate") - 2 * bend * base
     line = start + linear * at + bend * at * at
     calm = start + linear * base + bend * base * base
     half = Z95 * F.col("se") * F.abs(at - base)
     m_ = F.col("model")
-    return rows.select(*scenarios.columns, "model", _back(m_, line).alias("predicted"),
+    return rows.select(*keep, "model", _back(m_, line).alias("predicted"),
                        _back(m_, line - half).alias("pred_lower"), _back(m_, line + half).alias("pred_upper"),
                        (_back(m_, line) - _back(m_, calm)).alias("delta_vs_baseline"))
 
 
 def whatif_shock(forecasts: DataFrame, shocks: DataFrame, on: Sequence[str] = (), shock: str = "shock") -> DataFrame:
-    """Forecast paths after a one-period shock to the last value, fading by the AR(1) coefficient."""
+    """Forecast paths after a one-period shock to the last value, fading by the AR(1) coefficient.
+
+    Without keys there must be one series: its path, a few steps long, travels with every shock.
+    """
     on = list(on)
-    f = forecasts.where(F.col("status") == "ok").select(*on, "model", "h", "time", "forecast", "last_value",
-                                                         F.coalesce("ar1", F.lit(0.0)).alias("_phi"))
+    f = _shock_parts(forecasts, on)
     if on:
         rows = f.join(shocks, on)
-    else:       # one forecast path, a few steps long: it travels with every shock
+    else:
+        if f.groupBy("model", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() or len(f.select("model").distinct().limit(2).collect()) > 1:
+            raise ValueError("several series and no keys: name the columns that tell them apart")
         path = f.agg(F.collect_list(F.struct(*f.columns)).alias("_path"))
         rows = attach(shocks.select(shock), path, []).select(shock, F.explode("_path").alias("_p")).select(shock, "_p.*")
+    return _shocked(rows, on, shock)
+
+
+def _shock_parts(forecasts: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return forecasts.where(F.col("status") == "ok").select(*keep, "model", "h", "time", "forecast", "last_value", F.coalesce("ar1", F.lit(0.0)).alias("_phi"))
+
+
+def _shocked(rows: DataFrame, keep: Sequence[str], shock: str) -> DataFrame:
     phi = F.col("_phi")
     fade = F.when(F.col("h") == 1, 1.0).when(F.abs(phi) < 1, F.pow(phi, F.col("h") - 1)).otherwise(0.0)
-    return rows.select(*on, "model", shock, "h", "time", (F.col("forecast") + F.col(shock) * fade).alias("forecast"),
+    return rows.select(*keep, "model", shock, "h", "time", (F.col("forecast") + F.col(shock) * fade).alias("forecast"),
                        (F.col("last_value") + F.col(shock)).alias("shocked_last"))
 
 
 def whatif(result: DataFrame, scenario: dict) -> DataFrame:
-    """One scenario for every result row: ``{"shock": v}`` or ``{"x": v}`` / ``{"treatment_value": v}``."""
+    """One scenario for every result row: ``{"shock": v}`` or ``{"x": v}`` / ``{"treatment_value": v}``.
+
+    All columns of ``result`` that are no result columns (the keys of its groups) stay.
+    """
     if "shock" in scenario:
-        one = result.sparkSession.range(1).select(F.lit(float(scenario["shock"])).alias("shock"))
-        return whatif_shock(result, one)
+        keys = [c for c in result.columns if c not in dict(FORECAST_SCHEMA)]
+        return _shocked(_shock_parts(result, keys).withColumn("shock", F.lit(float(scenario["shock"]))), keys, "shock")
     if "x" in scenario or "treatment_value" in scenario:
+        keys = [c for c in result.columns if c not in dict(REGRESSION_SCHEMA)]
         value = float(scenario.get("x", scenario.get("treatment_value")))
-        keyed = result.withColumn("_row", F.monotonically_increasing_id())
-        return whatif_regression(keyed, keyed.select("_row", F.lit(value).alias("x")), ["_row"]).drop("_row")
-    raise ValueError("Unrecognized scenario; expected one of {x, treatment_value, shock}")
+        return _predicted(_line_parts(result, keys).withColumn("x", F.lit(value)), [*keys, "x"], "x")
+    raise ValueError(f"a scenario names x, treatment_value or shock, not {sorted(scenario)}")
 
 
 def whatif_slider(models: DataFrame, by: Sequence[str] = (), steps: int = 200) -> DataFrame:
@@ -269,7 +295,7 @@ def _curve(df, results, outcome, treatment, by, steps, half: Callable[[], Column
     a = group_agg(_xy(df, outcome, treatment, by), by, F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
                   F.max("_x").alias("_hi"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), F.stddev_pop("_x").alias("_sd"))
     est = results.where(F.col("status") == "ok").select(*by, "estimate", "se")
-    c = attach(a, est if by else est.agg(F.max("estimate").alias("estimate"), F.max("se").alias("se")), by)
+    c = attach(a, est if by else single(est), by)
     c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
     c = c.withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("step") / steps)
     line = F.col("_my") + F.col("estimate") * (F.col("x") - F.col("_mx"))
@@ -296,7 +322,7 @@ def centroid_residuals(df: DataFrame, results: DataFrame, outcome: str, treatmen
     f = _xy(df, outcome, treatment, by, keep)
     centre = group_agg(f, by, F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
     est = results.where(F.col("status") == "ok").select(*by, F.col("estimate").alias("_b"))
-    c = attach(centre, est if by else est.agg(F.max("_b").alias("_b")), by)
+    c = attach(centre, est if by else single(est), by)
     c = materialise(c) if by else c
     rows = attach(f, c, by)
     fit = F.col("_my") + F.col("_b") * (F.col("_x") - F.col("_mx"))
@@ -438,7 +464,7 @@ def scale_mismatch(df: DataFrame, results: DataFrame, outcome: str, treatment: s
     a = group_agg(f, by, F.avg(F.when(finite("_x"), F.col("_x"))).alias("x_mean"), F.avg(F.when(finite("_y"), F.col("_y"))).alias("y_mean"),
                   F.count_if(finite("_x")).alias("_nx"), F.count_if(finite("_y")).alias("_ny"))
     est = results.where(F.col("status") == "ok").select(*by, "estimate")
-    out = attach(a, est if by else est.agg(F.max("estimate").alias("estimate")), by)
+    out = attach(a, est if by else single(est), by)
     scale = F.abs("x_mean") / F.when(F.abs("y_mean") > 0, F.abs("y_mean")).otherwise(1.0)
     flag = (F.col("_nx") >= 5) & (F.col("_ny") >= 5) & (scale > 1000) & (F.abs("estimate") < 1e-3)
     return out.select(*by, "x_mean", "y_mean", scale.alias("scale_ratio"), F.coalesce(flag, F.lit(False)).alias("mismatch"))
@@ -459,7 +485,7 @@ def mixed_frequency(df: DataFrame, results: DataFrame, time: str, by: Sequence[s
     mid = exact_quantile(gaps, "_gap", 0.5, by, "median_gap_days")
     out = attach(total, mid, by)
     r2 = results.where(F.col("status") == "ok").select(*by, "r_squared")
-    out = attach(out, r2 if by else r2.agg(F.max("r_squared").alias("r_squared")), by)
+    out = attach(out, r2 if by else single(r2), by)
     macro = any(w in c.lower() for c in df.columns for w in MACRO_WORDS)
     flag = (F.col("n_stamps") > 50) & (F.col("median_gap_days") <= 5) & F.lit(macro) & (F.col("r_squared") < 0.01)
     return out.select(*by, "n_stamps", "n_distinct", "median_gap_days", F.lit(macro).alias("has_macro_column"),

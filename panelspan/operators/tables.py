@@ -75,30 +75,27 @@ def forecast_summary(forecasts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     a = group_agg(ok, [*by, "model"], F.min_by("forecast", "h").alias("next_value"), F.max("last_value").alias("last_value"),
                   F.avg("forecast").alias("mean_forecast"), F.count(F.lit(1)).alias("periods"), F.max("rmse").alias("rmse"))
     change = F.col("next_value") - F.col("last_value")
-    way = F.when(change > 0, "increase").when(change < 0, "decrease").otherwise("stay roughly flat")
+    way = F.when(change > 0, "up").when(change < 0, "down").otherwise("level")
     pct = F.coalesce(F.try_divide(change * 100, F.col("last_value")), F.lit(0.0))
-    text = F.concat(F.format_string("- Direction: the outcome is expected to %s from %,.4f to %,.4f next period (%+.2f%%).\n", way, "last_value",
-                                    "next_value", pct),
-                    F.format_string("- Horizon: average forecast over %d periods is %,.4f.\n", "periods", "mean_forecast"),
-                    F.format_string("- Uncertainty: model RMSE is %,.4f; treat the point forecast as a central estimate, not a guarantee, "
-                                    "especially further out.", "rmse"))
+    text = F.concat(F.format_string("next %,.4f after %,.4f: %s, %+.2f%%\n", "next_value", "last_value", way, pct),
+                    F.format_string("mean of %d steps %,.4f\n", "periods", "mean_forecast"), F.format_string("one-step error %,.4f", "rmse"))
     return a.select(*by, "model", way.alias("direction"), pct.alias("pct_change"), "next_value", "last_value", "mean_forecast", "periods",
                     "rmse", text.alias("summary"))
 
 
 def diagnostics_summary(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """OK / FAIL lines, then violations and corrections: one text per group."""
-    line = F.concat(F.when(F.col("status") == "violated", "   [FAIL] ").otherwise("   [OK]   "), F.col("interpretation"))
+    """A line per check, then the failed ones and what to do: one text per group."""
+    line = F.concat(F.when(F.col("status") == "violated", "failed: ").when(F.col("status") == "ok", "passed: ").otherwise("not run: "), F.col("interpretation"))
     bad = F.col("status") == "violated"
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda s: s["v"])      # noqa: E731
     place = F.struct(F.col("check_id").alias("k"), F.coalesce("series_name", F.lit("")).alias("n"))
     a = group_agg(checks, by, ordered(F.struct(place.alias("k"), line.alias("v"))).alias("_l"),
-                  ordered(F.when(bad, F.struct(place.alias("k"), F.concat(F.lit("   - "), F.col("test")).alias("v")))).alias("_v"),
-                  ordered(F.when(bad, F.struct(place.alias("k"), F.concat(F.lit("   - "), F.col("correction")).alias("v")))).alias("_c"),
+                  ordered(F.when(bad, F.struct(place.alias("k"), F.concat(F.lit("- "), F.col("test")).alias("v")))).alias("_v"),
+                  ordered(F.when(bad, F.struct(place.alias("k"), F.concat(F.lit("- "), F.col("correction")).alias("v")))).alias("_c"),
                   F.count_if(bad).alias("n_violated"), F.count_if(F.col("status") == "ok").alias("n_ok"),
                   F.count_if(F.col("status") == "not_run").alias("n_not_run"))
-    tail = F.when(F.size("_v") > 0, F.concat(F.lit("\n\nVIOLATIONS DETECTED:\n"), F.array_join("_v", "\n"), F.lit("\n\nCORRECTIONS APPLIED:\n"),
-                                             F.array_join("_c", "\n"))).otherwise(F.lit("\n\n[OK] All diagnostic checks passed."))
+    tail = F.when(F.size("_v") > 0, F.concat(F.lit("\n\nfailed checks:\n"), F.array_join("_v", "\n"), F.lit("\n\nwhat to do:\n"),
+                                             F.array_join("_c", "\n"))).otherwise(F.lit("\n\nno check failed"))
     return a.select(*by, "n_ok", "n_violated", "n_not_run", F.concat(F.array_join("_l", "\n"), tail).alias("summary"))
 
 
