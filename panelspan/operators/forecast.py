@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20))    # 0.05 .. 0.95
 CHUNK = 20_000              # points of one series folded in one array
+ORDER_PARTS = 6
 ARIMA_ROWS = 5_000          # longest series fitted by one Python task
 MAX_P = MAX_Q = 3
 MAX_D = 1
@@ -393,8 +394,6 @@ def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by
     lagged, facts = _frame(df, outcome, time, by, max_series_rows)
     facts = materialise(facts)
     sizes = facts.select(*by, "_n")
-    short = forecast_ar1(df, outcome, time, periods, by, max_series_rows).withColumn("model", F.lit("arima"))
-    short = short.where(F.col("n_obs") < ARIMA_LEAST)
     fits = []
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(facts.count() / SERIES_PER_TASK))
     fits.append(_task_fits(attach(lagged, sizes, by).where(
@@ -413,7 +412,10 @@ def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by
     rows = forecast_rows(long, by, "arima", periods,
                          F.when(F.col("_f").isNull(), "No order could be fitted"), path, band,
                          **{k: F.col(f"_f.{k}") for k in ("aic", "rmse", "ar1", "p", "d", "q", "engine")})
-    return short.unionByName(rows)
+    if not facts.where(F.coalesce("_n", F.lit(0)) < ARIMA_LEAST).limit(1).count():
+        return rows
+    short = forecast_ar1(df, outcome, time, periods, by, max_series_rows).withColumn("model", F.lit("arima"))
+    return short.where(F.col("n_obs") < ARIMA_LEAST).unionByName(rows)
 
 
 def _order_grid(n: Column) -> Column:
@@ -429,8 +431,9 @@ def _task_fits(rows: DataFrame, by: list[str], periods: int, tasks: int) -> Data
     arrays = group_agg(rows, by, F.transform(F.sort_array(F.collect_list(F.struct("_t", "_y"))),
                                              lambda r: r["_y"]).alias("_ys"))
     # The fits cost far more than their few bytes suggest, so the number of tasks is set by hand.
-    jobs = (arrays.repartition(tasks, *by) if by else arrays)
-    jobs = (jobs.withColumn("_o", F.explode(_order_grid(F.size("_ys"))))
+    # The orders of a series are dealt in ORDER_PARTS, so that one series alone is several tasks too.
+    jobs = (arrays.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ORDER_PARTS - 1)))).repartition(tasks, *by, "_part")
+            .withColumn("_o", F.explode(F.filter(_order_grid(F.size("_ys")), lambda o, i: i % ORDER_PARTS == F.col("_part"))))
             .select(*by, "_ys", "_o.p", "_o.d", "_o.q"))
     fitted = jobs.withColumn("_f", _arima_udf(periods)("_ys", "p", "d", "q"))
     return fitted.select(*by, "p", "d", "q", "_f.*", F.lit("css").alias("engine"))

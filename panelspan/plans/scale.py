@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
 import uuid
@@ -27,29 +28,38 @@ QUANTILE_BINS = 1024
 QUANTILE_PICK = 2_000       # rows of the final bin that are sorted in an array
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: the one the cluster names, a temporary one if none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for written intermediate tables: the one that ``spark.checkpoint.dir`` names; in local mode without it, one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    set_before = spark.sparkContext.getCheckpointDir()
-    if set_before:
-        return set_before
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="panelspan-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="panelspan-"))
+    return _LOCAL[0]
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written table."""
+    """Write ``df`` once to the shared folder and continue from the written table, which goes when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/panelspan/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:       # the session is over: the cluster's own cleaning takes the folder
+        return
+
+
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the columns of ``stats`` (one row per ``by`` group) to every row of ``df``.
 
@@ -226,7 +236,8 @@ def _narrow(src: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
         goals = open_goals.agg(F.collect_list(F.struct(*open_goals.columns))).scalar()
         hits = src.select("_v", F.explode(goals).alias("_o")).select("_v", "_o.*")
     hits = hits.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    # Halves, so that the width of a range of very large numbers stays finite.
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     bin_of = F.least(F.lit(QUANTILE_BINS - 1), F.floor(share * QUANTILE_BINS)).cast("int")
     keys = [*by, "_t"]
     bins = (hits.withColumn("_bin", bin_of).groupBy(*keys, "_bin")

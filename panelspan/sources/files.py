@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Sequence
 
@@ -61,8 +60,7 @@ def read_parquet(spark: SparkSession, path, **options) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path) or bool(glob.glob(path))
+    """By the file system that Spark reads the path from, also without a scheme."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
@@ -72,10 +70,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read by suffix: .csv, .tsv, .tab, .parquet, .pq; files, folders and patterns."""
     if not _exists(spark, path):
-        raise ValueError(f"File not found: {path}")
+        raise ValueError(f"nothing to read at {path}")
     kind = detect_format(path)
     if kind == "unknown":
-        raise ValueError(f"Unsupported file type '{os.path.splitext(path)[1].lower()}'. Supported: .csv, .tsv, .parquet")
+        raise ValueError(f"no reader for '{os.path.splitext(path)[1].lower()}' files; there are readers for .csv, .tsv and .parquet")
     return {"csv": read_csv, "tsv": read_tsv, "parquet": read_parquet}[kind](spark, path, **options)
 
 

@@ -157,3 +157,27 @@ def test_suite_drops_the_difference_check_when_the_level_is_fine(spark):
     y = np.random.default_rng(3).normal(size=80)
     ids = [r["check_id"] for r in D.arima_diagnostics(series(spark, y), "y", "t").collect()]
     assert ids == ["adf", "kpss", "ljung_box", "jarque_bera"]
+
+
+def test_degenerate_series_do_not_stop_the_others(spark):
+    """A straight line, a constant and one jump beside a noisy series: every series gets its rows."""
+    rng = np.random.default_rng(5)
+    values = {"line": np.arange(40.0), "flat": np.full(40, 3.0), "jump": np.r_[np.zeros(20), np.ones(20)], "noise": rng.normal(size=40).cumsum(), "short": np.arange(5.0)}
+    df = spark.createDataFrame([(k, t, float(v)) for k, ys in values.items() for t, v in enumerate(ys)], "g string, t int, y double")
+    got = FC.forecast_arima(df, "y", "t", 3, ["g"]).groupBy("g").count().collect()
+    assert {r["g"] for r in got} == set(values)
+
+
+def test_inflation_of_constant_columns_is_null(spark):
+    df = spark.createDataFrame([(float(i), 1.0, float(i * i)) for i in range(20)], "a double, b double, c double")
+    got = {r["column"]: r["vif"] for r in D.vif(df, ["a", "b", "c"]).collect()}
+    assert got["b"] is None and got["a"] > 5 and got["c"] > 5
+    assert all(r["vif"] is None for r in D.vif(df.limit(0), ["a", "b"]).collect())
+
+
+def test_normality_is_the_same_for_any_partitions(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(v),) for v in rng.exponential(size=500)], "_e double")
+    one, many = (D.jarque_bera(df.repartition(n)).first() for n in (1, 7))
+    assert one["status"] == many["status"] == "violated" and one["statistic"] == pytest.approx(many["statistic"], rel=1e-9)
+    assert D.jarque_bera(df.limit(0)).first()["status"] == "not_run"
