@@ -87,6 +87,39 @@ def word_counts(packed: DataFrame, buckets: int) -> DataFrame:
     return B.answer(B.ask(packed, asking, buckets), answering)
 
 
+def class_totals(answers: DataFrame) -> np.ndarray:
+    """Tokens and distinct words of each class by suffix, summed over the summaries of all buckets."""
+    schema = arrow_schema("cell int, n long, v long")
+
+    def run(batches):
+        sums = np.zeros((2, CLASSES), np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                sums += np.frombuffer(B.loosen(raw)[:16 * CLASSES], np.int64).reshape(2, CLASSES)
+        at = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], schema=schema)
+
+    rows = answers.where("block < 0").select("payload").mapInArrow(run, "cell int, n long, v long")
+    share = np.zeros((2, CLASSES), np.int64)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():      # at most CLASSES rows
+        share[:, r.cell] = r.n, r.v
+    return share
+
+
+def common_words(answers: DataFrame, total: int) -> dict[bytes, int]:
+    """Words with at least 1 in COMMON of ``total`` tokens and their counts; there are at most COMMON of them."""
+    schema = arrow_schema("word binary, n long")
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                lines = [x.partition(b" ") for x in B.loosen(raw)[16 * CLASSES:].split(b"\n") if x]
+                kept = [(w, int(c)) for c, _, w in lines if int(c) * COMMON >= total]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([c for _, c in kept], pa.int64())], schema=schema)
+
+    return {bytes(r.word): r.n for r in answers.where("block < 0").select("payload").mapInArrow(run, "word binary, n long").collect()}
+
+
 def expected(classes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of first states, moves and emitted classes over sequences, and their log likelihood (natural)."""
     k = len(start)
@@ -194,18 +227,10 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     packed = B.blocks(docs, ~F.coalesce(held_out, F.lit(False)), id_column, text_column)
     buckets = B.n_buckets(packed)
     answers = word_counts(packed, buckets)
-    share, common = np.zeros((2, CLASSES), np.int64), {}
-    rows = answers.where("block < 0").select("payload").toLocalIterator()
-    for r in rows:                       # one at a time; each holds two counts per class and at most COMMON words
-        raw = B.loosen(r.payload)
-        share += np.frombuffer(raw[:16 * CLASSES], np.int64).reshape(2, CLASSES)
-        for line in raw[16 * CLASSES:].split(b"\n"):
-            if line:
-                c, _, w = line.partition(b" ")
-                common[w] = int(c)
+    share = class_totals(answers)
     texts = packed.select(F.sum(F.size(F.filter("flags", lambda f: f)))).first()[0] or 0
     total, distinct = int(share[0].sum()) + texts, int(share[1].sum()) + (texts > 0)
-    common = {w: c for w, c in common.items() if c * COMMON >= total}
+    common = common_words(answers, total)
     place = {w: 1 + i for i, w in enumerate(sorted(common))}
     for w, c in common.items():
         share[:, rare_class(w)] -= (c, 1)

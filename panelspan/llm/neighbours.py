@@ -96,7 +96,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, target: float = 0.9
 
     def scanned(asking: DataFrame) -> DataFrame:
         packed = asking.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v", "far")).alias("queries"))
-        met = packed.join(index, "list").select("ids", "plain", "turned", "queries").repartition(F.rand(1))
+        # Dealt by what a row holds, so that a task that runs again gets the same rows.
+        met = packed.join(index, "list").repartition(F.xxhash64("list", "block", "ids")).select("ids", "plain", "turned", "queries")
         return met.mapInArrow(lambda batches: (scan(b.slice(i, 1)) for b in batches for i in range(b.num_rows)), ddl)
 
     first = written(scanned(asked.where("nth = 0").withColumn("far", F.lit(float("inf")))))
