@@ -21,7 +21,7 @@ from . import grams
 from .common import arrow_schema, map_batches, slices, small_batches, strings, written
 
 FIT_ROWS, ORDER, BITS, EVIDENCE = 12_000, 3, 15, 24
-PASSES, CLOSE = 100, 1e-6
+PASSES, CLOSE, STILL = 60, 1e-6, 1e-11       # most passes; done when totals are that close, or rates move by less (mean square)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain_column: str, keep: Column | None = None, fit_rows: int = FIT_ROWS,
@@ -57,15 +57,17 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain_c
     return np.vstack([logs.T, np.log((size + 1) / (size + 1).sum())])
 
 
-def memberships(docs: DataFrame, model: np.ndarray, text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` with _llm_p (posterior over domains) and _llm_n (words). An empty text has the prior and no words.
+def memberships(docs: DataFrame, model: np.ndarray, text_column: str = "text", steps: list[np.ndarray] | None = None, least: float = 0.0) -> DataFrame:
+    """All columns of ``docs`` with _llm_p (posterior over domains), _llm_n (words) and, with ``steps``, rate. An empty text has the
+    prior and no words.
 
     The posterior weighs the mean log share of a text's trigrams as if there were at most ``EVIDENCE`` of them, so that long
     texts keep a soft membership.
     """
     small_batches(docs.sparkSession)
     at, k = docs.columns.index(text_column), model.shape[1]
-    out = T.StructType([*docs.schema.fields, T.StructField("_llm_p", T.ArrayType(T.DoubleType())), T.StructField("_llm_n", T.DoubleType())])
+    fields = [T.StructField("_llm_p", T.ArrayType(T.DoubleType())), T.StructField("_llm_n", T.DoubleType()), T.StructField("rate", T.DoubleType())]
+    out = T.StructType([*docs.schema.fields, *fields[:2 if steps is None else 3]])
 
     def run(batch):
         ps, ns = [], []
@@ -79,7 +81,10 @@ def memberships(docs: DataFrame, model: np.ndarray, text_column: str = "text") -
             ns.append(grams.word_counts(data, bounds))
         p = np.concatenate(ps)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))
-        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.concatenate(ns).astype(float))], names=[*batch.schema.names, "_llm_p", "_llm_n"])
+        added = [lists, pa.array(np.concatenate(ns).astype(float))]
+        if steps is not None:
+            added.append(pa.array(replayed(p, steps, least)[1]))
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], names=out.names)
 
     return map_batches(docs, run, out)
 
@@ -122,7 +127,7 @@ def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | Non
         now, moved = totals(steps)
         change = now - reached
         reached = now
-        if np.abs(reached - wanted).max() <= CLOSE * wanted.max() or moved <= 1e-18 * whole:
+        if np.abs(reached - wanted).max() <= CLOSE * wanted.max() or moved <= STILL * whole:
             break
         length = float(min(max(moved * whole / max((change * change).sum(), 1e-300), 1e-3), 1e3))
     return steps, reached, wanted
@@ -145,14 +150,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], domain
         raise ValueError("targets need positive weights, and least must lie in 0 to 1")
     model = fit_domains(docs, labels, names, domain_column, keep, fit_rows, id_column, text_column)
     steps, _, _ = fit_rates(written(memberships(docs.select(text_column), model, text_column).select("_llm_p", "_llm_n")), len(names), shares / shares.sum(), budget, least)
-    rows = memberships(docs, model, text_column)
-    out = T.StructType([*rows.schema.fields, T.StructField("rate", T.DoubleType())])
-    at = rows.columns.index("_llm_p")
-
-    def run(batch):
-        rate = replayed(np.array(batch.column(at).flatten()).reshape(-1, len(names)), steps, least)[1]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
-
+    rated = memberships(docs, model, text_column, steps, least)
     chance = F.pmod(F.xxhash64(F.lit("copies"), id_column, text_column), F.lit(1 << 30)) / (1 << 30)
-    rated = map_batches(rows, run, out)
     return rated.withColumn("n_tokens", F.col("_llm_n").cast("long")).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumnRenamed("_llm_p", "posterior").drop("_llm_n")

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_schema, slices, small_batches
 
 WINDOW = 2048
-BATCH_TOKENS = 4_000_000
-CACHED_WORDS = 350_000      # in each of two generations
+BATCH_TOKENS = 3_000_000
+CACHED_WORDS = 250_000      # in each of two generations
 MARK = "\x01"               # stands alone between words while many are tokenised in one call
 PIECES = "doc_id {0}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
         words, first = _WORDS[tokenizer], TaskContext.get().partitionId() << 40
         tokens, held, size = [], [], 0
         for batch in batches:
-            for part in slices(batch, 1, 8_000_000):
+            for part in slices(batch, 1, 4_000_000):
                 flat, bounds = words.ids(pc.fill_null(part.column(1), ""))
                 key = part.column(0)
                 for i in range(part.num_rows):
