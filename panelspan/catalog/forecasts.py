@@ -216,9 +216,13 @@ def _(spark, d):
     return D.did_diagnostics(treated_panel(spark, d), "y", "d", "t", "u")
 
 
-@query("ols_diagnostics")
+@query("ols_diagnostics", f"""WITH {line_ctes(LINE_BY)}, e AS (SELECT g, n, (y-my)-b*(x-mx) AS e, my+b*(x-mx) AS ft FROM f JOIN fit USING (g)),
+  c AS (SELECT g, avg(e) AS m FROM e GROUP BY g), k AS (SELECT g, count(*) AS n, avg(power(e-m, 2)) AS m2, avg(power(e-m, 3)) AS m3, avg(power(e-m, 4)) AS m4 FROM e JOIN c USING (g) GROUP BY g)
+SELECT g AS l_returnflag, 'ols' AS suite, 'breusch_pagan' AS check_id, round(any_value(n)*power(corr(e*e, ft), 2), 4) AS statistic FROM e GROUP BY g
+UNION ALL SELECT g, 'ols', 'jarque_bera', round(n/6.0*(power(m3/power(m2, 1.5), 2) + power(m4/(m2*m2) - 3, 2)/4), 4) FROM k""")
 def _(spark, d):
-    return D.ols_diagnostics(table(spark, d, "lineitem"), Y, X, ["l_returnflag"])
+    r = D.ols_diagnostics(table(spark, d, "lineitem"), Y, X, ["l_returnflag"])
+    return shown(r, "l_returnflag", "suite", "check_id", statistic=4)
 
 
 @query("corrective_switch", f"""WITH {PANEL}, {line_ctes("SELECT u AS g, y, x FROM panel")},

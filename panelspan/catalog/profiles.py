@@ -53,7 +53,7 @@ def _(spark, d):
     coalesce(string_agg(name, ',' ORDER BY position) FILTER (kind IN ('numeric', 'integer') AND n_missing < 0.5*n_rows OR kind = 'boolean'), '') AS treatment_columns FROM p)
 SELECT n_rows, n_cols, CASE WHEN time_columns <> '' AND unit_columns <> '' THEN 'panel' WHEN time_columns <> '' THEN 'time_series' ELSE 'cross_section' END AS structure,
   CAST(NULL AS VARCHAR) AS indicator_column, time_columns, unit_columns, outcome_columns, treatment_columns, '' AS year_columns,
-  CASE WHEN n_rows < 20 THEN 'Small sample (<20 rows) — statistical power will be limited.' ELSE '' END AS notes FROM l""")
+  CASE WHEN n_rows < 20 THEN 'under 20 rows' ELSE '' END AS notes FROM l""")
 def _(spark, d):
     return PR.dataset_structure(PR.column_profile(table(spark, d, "orders"), exact=True))
 

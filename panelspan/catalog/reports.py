@@ -91,7 +91,7 @@ def _era_ctes(edges: str) -> str:
   main AS (SELECT b AS mb FROM fit WHERE g = 0)"""
 
 
-ERAS = _era_ctes("(1, 1, 20, false, 'Early period'), (2, 20, 45, false, 'Dot-com bust'), (3, 45, 80, true, 'Accession year')")
+ERAS = _era_ctes("(1, 1, 20, false, 'first span'), (2, 20, 45, false, 'Dot-com bust'), (3, 45, 80, true, 'Accession year')")
 
 
 @query("era_effects", f"""WITH {ERAS} SELECT CAST(era AS INTEGER) AS era, label, lo || '–' || hi AS period, round(b, 4) AS estimate, round(se, 4) AS se, n AS n_obs,

@@ -82,7 +82,7 @@ def forecast_rows(fit: DataFrame, by: Sequence[str], model: str, periods: int, e
 
 
 def _need(least: int) -> Column:
-    return F.when(F.coalesce(F.col("_n"), F.lit(0)) < least, F.lit(f"Need at least {least} observations"))
+    return F.when(F.coalesce(F.col("_n"), F.lit(0)) < least, F.lit(f"{least} points are the least"))
 
 
 def forecast_random_walk(df: DataFrame, outcome: str, time: str, periods: int = 10,
@@ -410,7 +410,7 @@ def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by
     path = F.try_element_at("_f.path", F.col("h"))
     band = Z95 * F.try_element_at("_f.spread", F.col("h"))
     rows = forecast_rows(long, by, "arima", periods,
-                         F.when(F.col("_f").isNull(), "No order could be fitted"), path, band,
+                         F.when(F.col("_f").isNull(), "no order can be fitted"), path, band,
                          **{k: F.col(f"_f.{k}") for k in ("aic", "rmse", "ar1", "p", "d", "q", "engine")})
     if not facts.where(F.coalesce("_n", F.lit(0)) < ARIMA_LEAST).limit(1).count():
         return rows

@@ -165,7 +165,7 @@ def era_table(t_min: float, t_max: float, events: Sequence[tuple[float, str]] =
         if hi - lo < least_width:
             continue
         named = [name for t, name in sorted(events) if lo <= t < hi or (t == hi == t_max)]
-        plain = "Early period" if i == 0 else "Recent period" if i == len(edges) - 2 else "Mid period"
+        plain = "first span" if i == 0 else "last span" if i == len(edges) - 2 else f"span {i + 1}"
         eras.append({"era": i + 1, "lo": float(lo), "hi": float(hi), "last": i == len(edges) - 2,
                      "label": named[0][:22] if named else plain})
     return eras
@@ -518,23 +518,23 @@ def insights(df: DataFrame, results: DataFrame, outcome: str, treatment: str, ti
     if law is not None:
         add(1, "known_law", law, F.col("law").isNotNull(), F.col("law"))
     far = outlier_rows(df, results, outcome, treatment, []).agg(F.count(F.lit(1)).alias("k"))
-    add(2, "outlier_rows", far, F.col("k") > 0, F.format_string("%d outlier observation(s)", "k"))
+    add(2, "outlier_rows", far, F.col("k") > 0, F.format_string("%d rows far from the line", "k"))
     if unit:
         odd = outlier_units(df, outcome, unit).agg(
             F.count(F.lit(1)).alias("k"), F.min(F.struct((-F.abs("z")).alias("z"), F.col(unit).cast("string").alias("u"))).alias("m"))
-        add(3, "outlier_units", odd, F.col("k") > 0, F.format_string("Unusual units: %d, most extreme %s", "k", "m.u"))
+        add(3, "outlier_units", odd, F.col("k") > 0, F.format_string("%d units apart from the rest, first of all %s", "k", "m.u"))
     others = [c for c in df.columns if is_numeric(df, c) and c not in (outcome, treatment, unit)]
     if others:
         best = stronger_signal(df, outcome, treatment, others)
-        add(4, "stronger_signal", best, F.lit(True), F.format_string("Stronger signal: %s (r=%+.2f)", "column", "r"))
-    add(5, "nonlinear", nonlinearity_hint(df, outcome, treatment), F.col("nonlinear"), F.lit("Non-linear relationship detected"))
+        add(4, "stronger_signal", best, F.lit(True), F.format_string("%s is closer to the outcome (r %+.2f)", "column", "r"))
+    add(5, "nonlinear", nonlinearity_hint(df, outcome, treatment), F.col("nonlinear"), F.lit("a curve fits better than a line"))
     add(6, "scale_mismatch", scale_mismatch(df, results, outcome, treatment), F.col("mismatch"),
-        F.format_string(f"Scale mismatch: {treatment} is ~%.0f× larger than {outcome}", "scale_ratio"))
+        F.format_string(f"{treatment} is %.0f times the size of {outcome}", "scale_ratio"))
     if time:
-        add(7, "mixed_frequency", mixed_frequency(df, results, time), F.col("mixed"), F.lit("Mixed data frequencies detected"))
-    add(8, "no_signal", no_signal(results), F.col("no_signal"), F.lit("No detectable signal found"))
+        add(7, "mixed_frequency", mixed_frequency(df, results, time), F.col("mixed"), F.lit("daily stamps beside slow macro figures"))
+    add(8, "no_signal", no_signal(results), F.col("no_signal"), F.lit("many rows and no relation"))
     add(9, "low_variation", low_variation(df, treatment), F.col("low_variation"),
-        F.format_string(f"Low variation in {treatment} (CV=%.1f%%)", F.col("cv") * 100))
+        F.format_string(f"{treatment} hardly varies (%.1f%% of its mean)", F.col("cv") * 100))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -89,10 +89,10 @@ def line_fit(f: DataFrame, by: Sequence[str], *extra: Column) -> DataFrame:
             .withColumn("_r2", F.coalesce(1 - ratio(F.col("_rss"), F.col("_syy")), F.lit(0.0))))
 
 
-def _line_error(least: int, text: str = "Too few observations") -> Column:
+def _line_error(least: int, text: str = "too few rows") -> Column:
     n = F.coalesce(F.col("_n"), F.lit(0))
     return (F.when(n < least, F.concat(F.lit(f"{text} ("), n.cast("string"), F.lit(")")))
-            .when(~(F.col("_sxx") > 0), F.lit("No variation in predictor")))
+            .when(~(F.col("_sxx") > 0), F.lit("the predictor does not vary")))
 
 
 def _line_rows(fit: DataFrame, by, model, outcome, treatment, error, ci="t", **more) -> DataFrame:
@@ -121,7 +121,7 @@ def log_linear(df: DataFrame, outcome: str, treatment: str, by: Sequence[str] =
     fit = line_fit(f.withColumn("_y", F.ln("_y")), by)
     semi = (F.exp("_b") - 1) * 100
     return _line_rows(fit, by, "log_linear", outcome, treatment,
-                      _line_error(5, "Too few positive observations"),
+                      _line_error(5, "too few rows above zero"),
                       extra=F.create_map(F.lit("semi_elasticity_percent"), semi))
 
 
@@ -134,7 +134,7 @@ def log_log(df: DataFrame, outcome: str, treatment: str, by: Sequence[str] = ())
         (F.col("_y") > 0) & (F.col("_x") > 0))
     fit = line_fit(f.select(*by, F.ln("_y").alias("_y"), F.ln("_x").alias("_x")), by)
     return _line_rows(fit, by, "log_log", outcome, treatment,
-                      _line_error(5, "Too few positive observations"),
+                      _line_error(5, "too few rows above zero"),
                       extra=F.create_map(F.lit("elasticity"), F.col("_b")))
 
 
@@ -181,7 +181,7 @@ def polynomial_ols(df: DataFrame, outcome: str, treatment: str, by: Sequence[str
     fit = quadratic_fit(f, by)
     n = F.col("_n")
     count = F.coalesce(n, F.lit(0))
-    error = (F.when(count < 8, F.concat(F.lit("Too few observations ("), count.cast("string"), F.lit(")")))
+    error = (F.when(count < 8, F.concat(F.lit("too few rows ("), count.cast("string"), F.lit(")")))
              .when(F.col("_det").isNull(), F.lit("Predictor does not identify a quadratic")))
     linear = F.col("_b1") - 2 * F.col("_b2") * F.col("_mx")
     start = (F.col("_my") - F.col("_b2") * F.col("_vx") - F.col("_b1") * F.col("_mx")
@@ -359,8 +359,8 @@ def entity_fe(df: DataFrame, outcome: str, treatment: str, unit: str,
                      F.any_value("_b").alias("_b"))
     fit = attach(total, meat, by)
     n, g = F.col("_n"), F.col("_g")
-    error = (F.when((F.coalesce(n, F.lit(0)) < 8) | (g < 2), "Need at least 8 observations and 2 units")
-             .when(~(F.sqrt(F.col("_sxx") / n) >= TINY_SD), "No within-unit variation in predictor"))
+    error = (F.when((F.coalesce(n, F.lit(0)) < 8) | (g < 2), "eight rows in two units are the least")
+             .when(~(F.sqrt(F.col("_sxx") / n) >= TINY_SD), "the predictor does not vary inside units"))
     return regression_rows(fit, by, "entity_fe", outcome, treatment, error, dict(
         estimate=F.col("_b"), intercept=F.col("_my") - F.col("_b") * F.col("_mx"),
         se=cluster_scale("_meat", "_sxx", g), df=g - 1,
@@ -394,7 +394,7 @@ def time_fe(df: DataFrame, outcome: str, treatment: str, time: str, by: Sequence
     fit = attach(total, meat, by)
     n = F.col("_n")
     error = (F.when((F.coalesce(n, F.lit(0)) < 8) | (F.col("_g") < 2),
-                    "Need at least 8 observations and 2 time periods")
+                    "eight rows in two periods are the least")
              .when(~(F.sqrt(F.col("_sxx") / n) >= TINY_SD), "No variation after absorbing time effects"))
     return regression_rows(fit, by, "time_fe", outcome, treatment, error, dict(
         estimate=F.col("_b"), intercept=F.col("_gy") - F.col("_b") * F.col("_gx"),
@@ -424,7 +424,7 @@ def first_difference(df: DataFrame, outcome: str, treatment: str, time: str, uni
     d = difference_rows(df, outcome, treatment, time, unit, by, max_series_rows)
     fit = line_fit(d.select(*by, "_y", "_x", "_first"), by, F.count_if("_first").alias("_units"))
     return _line_rows(fit, by, "first_difference", outcome, treatment,
-                      _line_error(5, "Too few differenced observations"),
+                      _line_error(5, "too few changes"),
                       n_units=F.col("_units"), fe_type=F.lit("First differences"))
 
 

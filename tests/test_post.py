@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelspan import PanelSpec, analyze, register_estimator, run_model, whatif
+from panelspan.operators import forecast as FC
 from panelspan.operators import post as PO
 from panelspan.operators import regress as R
 from panelspan.operators import tables as TB
@@ -49,7 +50,7 @@ def test_score_counts_certainty_and_only_checks_that_ran(spark):
 def test_eras_do_not_share_their_borders(spark):
     eras = PO.era_table(1990, 2020, [(2008, "Global Financial Crisis of the century")])
     assert [(e["lo"], e["hi"]) for e in eras] == [(1990, 2008), (2008, 2020)]
-    assert [e["label"] for e in eras] == ["Early period", "Global Financial Crisis"[:22]]
+    assert [e["label"] for e in eras] == ["first span", "Global Financial Crisis"[:22]]
     assert PO.era_table(2000, 2008) == []
     rows = [(t, float(i), (1.0 if t < 2005 else -4.0) * i + 0.01 * (i * t % 7)) for t in range(1990, 2021) for i in range(6)]
     df = spark.createDataFrame(rows, "t int, x double, y double")
@@ -123,3 +124,20 @@ def test_queries_match_their_sql(spark, name):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 1 and rows[0]["status"] == "ok"
+
+
+def test_several_models_need_keys(spark):
+    df = spark.createDataFrame([(g, float(x), 2.0 * x + x % 3 + (g == "b")) for g in "ab" for x in range(20)], "g string, x double, y double")
+    models = R.ols(df, "y", "x", ["g"])
+    grid = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    with pytest.raises(ValueError, match="several models"):
+        PO.whatif_regression(models, grid)
+    with pytest.raises(ValueError, match="several models"):
+        PO.fit_line(df, models, "y", "x")
+    got = {r["g"]: r["predicted"] for r in PO.whatif(models, {"x": 3}).collect()}
+    assert got["b"] == pytest.approx(got["a"] + 1)
+    paths = FC.forecast_ar1(df.withColumn("t", F.col("x")), "y", "t", 2, ["g"])
+    shocked = PO.whatif(paths, {"shock": 1.0}).collect()
+    assert sorted((r["g"], r["h"]) for r in shocked) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    with pytest.raises(ValueError, match="several series"):
+        PO.whatif_shock(paths, grid.withColumnRenamed("x", "shock"))

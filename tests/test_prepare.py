@@ -65,7 +65,7 @@ def test_semantic_types_and_structure(spark):
     s = PR.dataset_structure(p).first()
     assert s["structure"] == "panel" and s["time_columns"] == "year,day" and "flag" in s["treatment_columns"]
     small = PR.dataset_structure(PR.column_profile(df.limit(5))).first()
-    assert "Small sample" in small["notes"]
+    assert "under 20 rows" in small["notes"]
 
 
 def test_general_number_format(spark):

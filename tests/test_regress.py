@@ -64,7 +64,7 @@ def test_text_nan_and_infinity_are_dropped(spark):
 
 def test_error_rows(spark):
     few = one(R.ols(frame(spark, y=[1.0, 2.0], x=[1.0, 2.0]), "y", "x"))
-    assert few["status"] == "error" and few["error"] == "Too few observations (2)" and few["model"] == "ols"
+    assert few["status"] == "error" and few["error"] == "too few rows (2)" and few["model"] == "ols"
     assert few["estimate"] is None and few["n_obs"] == 2
     flat = one(R.ols(frame(spark, y=np.arange(9.0), x=np.ones(9)), "y", "x"))
     assert flat["status"] == "error"
