@@ -28,10 +28,10 @@ from . import blocks as B
 from .common import arrow_schema
 
 LEAST, GRAM = 50, 24
-BLOCK_BYTES = 8_000_000
-PLACE_BITS = 22             # texts are scanned in parts of less than 2 ** 22 bytes
+BLOCK_BYTES = 4_000_000
+PLACE_BITS = 18             # texts are scanned in parts of less than 2 ** 18 bytes, which the caches hold
 NEVER = np.iinfo(np.int64).max
-SUFFIXES = 400_000          # suffixes sorted at once
+SUFFIXES = 150_000          # suffixes sorted at once
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,17 +71,18 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         h = gram_hashes(part)
         mask = np.uint64((1 << PLACE_BITS) - 1)
         v = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
-        place = (mask - (least_of(v, LEAST - GRAM + 1) & mask)).astype(np.int64)        # of the anchor of the string at each start
-        starts = np.arange(len(place))
-        owner = np.searchsorted(ends, starts + low, "right")
-        inside = starts + low + LEAST <= ends[owner]
-        starts, place, owner = starts[inside], place[inside], owner[inside]
-        if not len(starts):
-            continue
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(starts)]]) - 1
-        found.append((h[place[first]], starts[first] + low, starts[last] + low, owner[first]))
+        place = (mask - (least_of(v, LEAST - GRAM + 1) & mask)).astype(np.int32)        # of the anchor of the string at each start
+        # No string starts in the last bytes of a text; so the strings of two texts never touch.
+        inside = np.zeros(len(place) + 2, bool)
+        inside[1:-1] = True
+        for end in ends[np.searchsorted(ends, low, "right"):np.searchsorted(ends, high, "right")] - low:
+            inside[max(end - LEAST + 2, 1):end + 1] = False
+        differ = place[1:] != place[:-1]
+        here = inside[1:-1]
+        first = np.flatnonzero(here & (~inside[:-2] | np.concatenate([[True], differ])))
+        last = np.flatnonzero(here & (~inside[2:] | np.concatenate([differ, [True]])))
+        if len(first):
+            found.append((h[place[first]], first + low, last + low, np.searchsorted(ends, first + low, "right")))
     if not found:
         return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
