@@ -36,11 +36,9 @@ def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
     """Rows with the windows of their document: start, content and fingerprint of each."""
-    at = F.sequence(F.lit(0), F.size("h") - window)
-    placed = F.transform("h", lambda x, i: F.struct(x.alias("h"), (-i).alias("back")))
-    with_places = rows.where(F.size("h") >= window).withColumn("p", placed)
-    return with_places.withColumn("w", F.transform(at, lambda i: F.struct(
-        i.alias("start"), F.array_min(F.slice("p", i + 1, window)).alias("least"), F.slice("h", i + 1, window).alias("content")))).drop("p")
+    return rows.where(F.size("h") >= window).withColumn("w", F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0))), lambda i: F.struct(
+        i.alias("start"), F.slice("h", i + 1, window).alias("content"),
+        F.array_min(F.transform(F.slice("h", i + 1, window), lambda x, j: F.struct(x.alias("h"), (-i - j).alias("back")))).alias("least"))))
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -49,7 +47,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_i
     A run is the union of windows of which an equal one begins earlier: in a smaller id (null first), or further up in the
     same document.
     """
-    seen = _windows(_hashed(docs, id_column, text_column), window)
+    # Written, so that no text is split again for the filter and for each use of the hashes.
+    seen = _windows(written(_hashed(docs, id_column, text_column)), window)
     prints = seen.select(F.explode(F.array_distinct(F.transform("w", lambda w: w["least"]))).alias("f")).select(F.col("f.h").alias("fp"))
     twice = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("fp"))
     spread = seen.select("_id", "_text", F.explode("w").alias("w")).select("_id", "_text", F.col("w.start").alias("start"),
@@ -75,20 +74,24 @@ def remove_repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str =
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     runs = written(repeated_runs(docs, window, id_column, text_column)).toDF("_llm_id", "_llm_text", "_llm_runs")
     joined = docs.withColumn("_llm_key", F.xxhash64(text_column))
-    joined = joined.join(runs, joined[id_column].eqNullSafe(runs["_llm_id"]) & (F.col("_llm_key") == F.col("_llm_text")), "left").drop("_llm_id", "_llm_text", "_llm_key")
-    lines = _lines(F.col(text_column))
-    full = F.filter(F.transform(lines, lambda x, i: F.when(_stripped(x) != "", i)), lambda i: i.isNotNull())
-    # Runs in lines of the text: from the place of the first line up to that of the last one. What lies between them stays.
-    cut = F.transform("_llm_runs", lambda r: F.struct(F.get("_llm_full", r["from"]).alias("a"), (F.get("_llm_full", r["upto"] - 1) + 1).alias("b")))
-    row = joined.withColumn("_llm_full", F.when(F.col("_llm_runs").isNotNull(), full)).withColumn("_llm_lines", lines)
-    row = row.withColumn("_llm_cut", F.coalesce(cut, F.array())).withColumn("n_lines", F.when(F.col(text_column).isNull(), 0).otherwise(F.size("_llm_lines")))
+    # Texts and runs are both dealt by the document at every size; a broadcast would hold only while there are few repeats.
+    joined = joined.join(runs.hint("merge"), joined[id_column].eqNullSafe(runs["_llm_id"]) & (F.col("_llm_key") == F.col("_llm_text")), "left").drop("_llm_id", "_llm_text", "_llm_key")
+    changed = F.col("_llm_runs").isNotNull()
+    row = joined.withColumn("_llm_lines", F.when(changed, _lines(F.col(text_column))))
+    full = F.filter(F.transform("_llm_lines", lambda x, i: F.when(_stripped(x) != "", i)), lambda i: i.isNotNull())
+    row = row.withColumn("_llm_full", full)
+    # Runs in lines of the text: from the place of the first line up to that of the last one.
+    row = row.withColumn("_llm_cut", F.transform("_llm_runs", lambda r: F.struct(F.get("_llm_full", r["from"]).alias("a"), (F.get("_llm_full", r["upto"] - 1) + 1).alias("b"))))
     parts = F.transform(F.sequence(F.lit(0), F.size("_llm_cut")), lambda i: F.slice(
         "_llm_lines", _end(i) + 1, F.coalesce(F.get("_llm_cut", i)["a"], F.size("_llm_lines")) - _end(i)))
-    kept = F.flatten(parts)
-    row = row.withColumn("_llm_kept", F.when(F.size("_llm_cut") > 0, kept).otherwise(F.col("_llm_lines")))
-    row = row.withColumn("n_removed", F.when(F.col(text_column).isNull(), 0).otherwise(F.size("_llm_lines") - F.size("_llm_kept"))).withColumn("n_runs", F.size("_llm_cut"))
-    text = F.when(F.size("_llm_cut") > 0, F.array_join("_llm_kept", "\n")).otherwise(F.col(text_column))
-    return row.withColumn(text_column, text).drop("_llm_full", "_llm_lines", "_llm_cut", "_llm_kept", "_llm_runs")
+    row = row.withColumn("_llm_kept", F.when(changed, F.flatten(parts)))
+    breaks = F.octet_length(text_column) - F.octet_length(F.replace(F.col(text_column), F.lit("\n"), F.lit("")))
+    result = F.struct(F.when(changed, F.array_join("_llm_kept", "\n")).otherwise(F.col(text_column)).alias(text_column),
+                      F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"), F.when(changed, F.size("_llm_lines") - F.size("_llm_kept")).otherwise(0).alias("n_removed"),
+                      F.when(changed, F.size("_llm_cut")).otherwise(0).alias("n_runs"))
+    # One row each: a filter on these columns stops here, instead of repeating the expressions above inside each other.
+    out = row.select("*", F.explode(F.array(result)).alias("_llm_out"))
+    return out.select(*[F.col("_llm_out")[c].alias(c) if c == text_column else F.col(c) for c in docs.columns], *[F.col("_llm_out")[c].alias(c) for c in ("n_lines", "n_removed", "n_runs")])
 
 
 def _end(i: Column) -> Column:
