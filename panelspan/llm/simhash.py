@@ -171,17 +171,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
 # --- near copies by the similarity of their shingles, with fingerprints as the search ---------------------------
 
 SIMILAR, SHINGLE, SEARCH_RADIUS = 0.8, 5, 6
+ORDER_SAMPLE, COMMON_SHINGLES, COMMON_FROM, CHUNK = 20_000, 500_000, 4, 1024
+
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``shingle`` words (of the whole text if it is shorter)."""
+    import xxhash
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    n = max(len(h) - shingle + 1, min(len(h), 1))
+    out = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(h))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n]
+    return np.unique(out)
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = SEARCH_RADIUS,
                       id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) of the documents whose component over links of shingle similarity has other members.
 
-    Copies (equal lower-case words) are linked through one representative each. Candidates for other links are pairs of
-    SimHash fingerprints of the set of words within ``radius`` bits: few changed words move few of its bits, while
-    five-word shingles would spread each change over five. A candidate is linked if the Jaccard similarity of its sets of
-    ``shingle``-word shingles is at least ``similarity``. Rows with a null id are left out; texts without words are copies
-    of each other.
+    Two documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
+    ``similarity``. Equal sets are linked through one representative each. Pairs of SimHash fingerprints of the set of words
+    within ``radius`` bits are checked first and join most near copies with a number of links that grows with their number.
+    As a failed check leaves other pairs of a bucket open, and an added part moves more than ``radius`` bits, all pairs of
+    documents that this has not joined are then searched by their rarest shingles (``_unmet``), so no similar pair is
+    missed. Rows with a null id are left out; texts without words are copies of each other.
     """
     small_batches(docs.sparkSession)
     schema = arrow_schema("id long, content binary, fp long")
@@ -189,7 +202,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
     def prints(batch):
         import hashlib
         words = [lower_words(t) for t in strings(batch.column(1))]
-        content = [hashlib.md5(b" ".join(w)).digest() for w in words]
+        content = [hashlib.md5(shingle_set(w, shingle).tobytes()).digest() for w in words]
         fps = np.array([fingerprint_of(sorted(set(w)), 1) for w in words], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(fps)], schema=schema)
 
@@ -199,19 +212,26 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
     equal = own.join(copies, ["content", "fp"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     distinct = written(copies.groupBy("fp").agg(F.min("rep").alias("id")))
     alike = copies.join(distinct, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    candidates = written(near_links(distinct, radius).unionByName(alike).distinct())
+    near = _similar(near_links(distinct, radius).unionByName(alike).distinct(), rows, similarity, shingle)
+    links = written(near.unionByName(equal))
+    joined = written(components(links))
+    reps = copies.select(F.col("rep").alias("id")).distinct()
+    known = joined.join(reps.withColumn("first", F.lit(True)), "id", "left")
+    texts = rows.join(known, "id", "left").where("component IS NULL OR first").select("id", text_column, "component")
+    late = _similar(_unmet(texts, reps.count(), similarity, shingle), rows, similarity, shingle)
+    return components(links.unionByName(late)).select("id", F.col("component").alias("component_id"))
+
+
+def _similar(candidates: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The candidates (a, b) with texts in ``rows`` (id, text) whose shingle sets are similar."""
+    candidates = written(candidates)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def shingles(batch):
-        import xxhash
-        sets = []
-        for text in strings(batch.column(1)):
-            w = lower_words(text)
-            parts = [b" ".join(w[i:i + shingle]) for i in range(max(len(w) - shingle + 1, 1))] if w else []
-            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))).tobytes())
+        sets = [shingle_set(lower_words(t), shingle).tobytes() for t in strings(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    sets = written(map_batches(rows.join(wanted, "id").select("id", text_column), shingles, "id long, s binary").groupBy("id").agg(F.first("s").alias("s")))
+    sets = written(map_batches(rows.join(wanted, "id"), shingles, "id long, s binary").distinct())
     left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
 
     def linked(batch):
@@ -222,8 +242,99 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
             yes.append(both >= similarity * (len(x) + len(y) - both))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    near = map_batches(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), linked, "a long, b long")
-    return components(near.unionByName(equal)).select("id", F.col("component").alias("component_id"))
+    return map_batches(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), linked, "a long, b long")
+
+
+def _unmet(texts: DataFrame, n_texts: int, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that can be similar; every similar pair is among them.
+
+    In any one order of all shingles two similar sets share one of their first ``n - similarity * n + 1`` (Chaudhuri, Ganti
+    and Kaushik 2006), and the places of the first shared one bound what they share (Xiao et al. 2008). The order is by the
+    count in a sample of documents and then by hash: it keeps common passages out of the buckets, but any order finds all
+    pairs. Buckets that the sample shows to be crowded are dealt as pairs of chunks. ``texts`` has id, text, component.
+    """
+    share = max(1, -(-n_texts // ORDER_SAMPLE))
+
+    def counted(batch):
+        sets = [shingle_set(lower_words(t), shingle) for t in strings(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+
+    sample = texts.where(F.pmod(F.xxhash64(F.col("id")), F.lit(share)) == 0).select(texts.columns[1])
+    top = map_batches(sample, counted, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_FROM)
+    top = top.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toPandas()
+    common = top.s.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, often = common[order], top.n.to_numpy(np.int64)[order]
+    ddl = "tok long, part int, component long, id long, n int, at int"
+    schema = arrow_schema(ddl)
+
+    def prefixes(batch):
+        out: list[list[np.ndarray]] = []
+        held = [i if c is None else c for i, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        for i, text, c in zip(batch.column(0).to_pylist(), strings(batch.column(1)), held, strict=True):
+            s = shingle_set(lower_words(text), shingle)
+            if not len(s):
+                continue
+            count = np.zeros(len(s), np.int64)
+            if len(common):
+                place = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                count = np.where(common[place] == s, often[place], 0)
+            first = np.lexsort((s, count))[:len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1]
+            parts = 1 + count[first] * share // CHUNK
+            part, at = np.zeros(len(first), np.int64), np.arange(len(first))
+            if (parts > 1).any():
+                mine = (i * 0x9E3779B1 & 0xFFFFFFFF) % parts
+                at = np.repeat(at, parts)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                own = mine[at]
+                part = np.minimum(own, other) * parts[at] + np.maximum(own, other)
+            m = len(at)
+            out.append([s[first][at].view(np.int64), part, np.full(m, c, np.int64), np.full(m, i, np.int64), np.full(m, len(s)), at])
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    dealt = map_batches(texts, prefixes, ddl).repartition("tok", "part").sortWithinPartitions("tok", "part", "component")
+    pairs = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 6), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)])
+            ends = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(1))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            held = now[cut:]
+            yield from _met(now[:cut], similarity, pairs)
+        yield from _met(held, similarity, pairs)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _met(rows: np.ndarray, similarity: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole buckets (columns as in ``_unmet``, sorted by bucket and component) that pass the bounds of sizes and places."""
+    if len(rows) < 2:
+        return
+    bucket = np.append(np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1, len(rows))
+    same = np.append(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1, len(rows))
+    every = np.arange(len(rows))
+    upto, begin = bucket[np.searchsorted(bucket, every, "right")], same[np.searchsorted(same, every, "right")]
+    meets = np.cumsum(upto - begin)
+    at = 0
+    while at < len(rows):
+        till = max(at + 1, int(np.searchsorted(meets, (meets[at - 1] if at else 0) + 1_000_000, "right")))
+        n = (upto - begin)[at:till]
+        i = np.repeat(every[at:till], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
+        x, y = rows[i], rows[j]
+        most = np.minimum(x[:, 4] - x[:, 5], y[:, 4] - y[:, 5])      # this shingle and all after it
+        fine = (most * (1 + similarity) >= similarity * (x[:, 4] + y[:, 4]) - 1e-6) & (x[:, 3] != y[:, 3])
+        if fine.any():
+            a, b = x[fine, 3], y[fine, 3]
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+        at = till
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = SEARCH_RADIUS,

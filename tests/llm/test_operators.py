@@ -198,6 +198,29 @@ def test_one_of_each_stays(docs, texts):
     assert sorted(map(str, kept)) == sorted(map(str, want))
 
 
+def one_of_each_by_brute_force(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    root = reachable([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    return sorted(i for i in sets if root[i] == i)
+
+
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_similar_texts_of_a_template_meet(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(7)
+    frame = [words(rng, 12).split() for _ in range(12)]
+    rows = []
+    for i in range(40):             # one long frame, own words in between: most pairs are not similar, some later ones are
+        rows.append(" ".join(w for part in frame for w in [*part, words(rng, 1)]))
+    rows += [r.replace(r.split()[6], "changed") for r in rows[20:30]]
+    sentences = [words(rng, 8) for _ in range(20)]
+    orders = [rng.sample(sentences, 20) for _ in range(6)]                            # one set of words, other orders
+    rows += [" ".join(o) for o in orders] + [" ".join([*o[:-2], o[-1], o[-2]]) for o in orders]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == one_of_each_by_brute_force(rows)
+
+
 def test_lines(docs, texts):
     got = lines.remove_repeated_runs(docs).collect()
     same_ids(got, docs)
