@@ -221,6 +221,29 @@ def test_similar_texts_of_a_template_meet(spark, monkeypatch, chunk):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == one_of_each_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated", "scattered"])
+def test_every_copy_of_at_least_the_similarity_goes(spark, kind):
+    rng = random.Random(kind)
+    rows, bands = [], Counter()
+    for n in (60, 150, 400):
+        for k in range(60):
+            base = words(rng, n).split()
+            changed = round(n * rng.uniform(0.02, 0.28))
+            if kind == "scattered":
+                copy = base[:]
+                for at in rng.sample(range(n), max(1, changed // 6)):
+                    copy[at] = "changed"
+            else:
+                copy = [*base, *words(rng, changed).split()] if kind == "appended" else base[:n - changed]
+            rows += [" ".join(base), " ".join(copy)]
+            a, b = shingles(rows[-1]), shingles(rows[-2])
+            bands[int(20 * len(a & b) / len(a | b))] += 1
+    rows = list(enumerate(rows))
+    assert min(bands[b] for b in (16, 17, 18)) >= 10                                  # 0.80, 0.85 and 0.90 up
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == one_of_each_by_brute_force(rows)
+
+
 def test_lines(docs, texts):
     got = lines.remove_repeated_runs(docs).collect()
     same_ids(got, docs)
