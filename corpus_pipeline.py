@@ -35,8 +35,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clear_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of two or more lines go, and documents of which only blanks are left; n_chars follows the text."""
-    cleared = lines.remove_repeated_runs(_inner(docs)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Later repeats of two or more lines and of single lines of over 50 words go, and documents of which only blanks are left; n_chars follows the text."""
+    cleared = lines.remove_repeated_runs(_inner(docs), long_words=lines.LONG_WORDS).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return _outer(cleared.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)
 
 

@@ -4,7 +4,8 @@ Lines that are not blank are hashed without their outer blanks. The least hash o
 rightmost of equals) is a fingerprint, so every run of at least ``window`` equal lines shares one. Fingerprints that occur
 once in the corpus are dropped by an aggregate; the positions of the others are joined by the window around them, the
 earliest position of each window is found by an aggregate, and matches are extended both ways by joining the windows that
-overlap or touch. Everything that meets on a key meets in a partial aggregate or a join, so a line that a third of all
+overlap or touch. Where ``long_words`` is given, a line of more words is a run of its own: a window and a fingerprint beside
+the others. Everything that meets on a key meets in a partial aggregate or a join, so a line that a third of all
 documents share is spread like any other.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WINDOW = 2
+WINDOW, LONG_WORDS = 2, 50
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -27,28 +28,40 @@ def _stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Key (_id, _text: a hash that tells rows of one id apart), and the hashes of the lines that are not blank."""
-    lines = F.transform(_lines(F.col(text_column)), _stripped)
-    return docs.select(F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_text"),
-                       F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)).alias("h"))
+def _hashed(docs: DataFrame, id_column: str, text_column: str, long_words: int | None) -> DataFrame:
+    """Key (_id, _text: a hash that tells rows of one id apart), the hashes of the lines that are not blank, and which of them are long."""
+    lines = F.filter(F.transform(_lines(F.col(text_column)), _stripped), lambda x: x != "")
+    hashes = F.transform(lines, lambda x: F.xxhash64(x)).alias("h")
+    key = [F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_text")]
+    if long_words is None:
+        return docs.select(*key, hashes)
+    # Words are counted only in lines that have room for so many.
+    places = F.transform(lines, lambda x, i: F.when((F.length(x) > 2 * long_words) & (F.size(F.split(x, r"\s+")) > long_words), i))
+    return docs.select(*key, hashes, F.filter(places, lambda i: i.isNotNull()).alias("long"))
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
     """Rows with the windows of their document: start, content and fingerprint of each."""
-    return rows.where(F.size("h") >= window).withColumn("w", F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0))), lambda i: F.struct(
-        i.alias("start"), F.slice("h", i + 1, window).alias("content"),
-        F.array_min(F.transform(F.slice("h", i + 1, window), lambda x, j: F.struct(x.alias("h"), (-i - j).alias("back")))).alias("least"))))
+    def windows(starts: Column, size: int) -> Column:
+        return F.transform(starts, lambda i: F.struct(
+            i.alias("start"), F.slice("h", i + 1, size).alias("content"),
+            F.array_min(F.transform(F.slice("h", i + 1, size), lambda x, j: F.struct(x.alias("h"), (-i - j).alias("back")))).alias("least")))
 
+    every = windows(F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0))), window)
+    if "long" not in rows.columns or window == 1:
+        return rows.where(F.size("h") >= window).withColumn("w", every)
+    every = F.when(F.size("h") >= window, every).otherwise(F.slice(every, 1, 0))
+    return rows.where((F.size("h") >= window) | (F.size("long") > 0)).withColumn("w", F.concat(every, windows(F.col("long"), 1)))
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", long_words: int | None = None) -> DataFrame:
     """One row per document with repeats: _id, _text and ``runs``, its maximal runs (from, upto) of lines that are not blank.
 
     A run is the union of windows of which an equal one begins earlier: in a smaller id (null first), or further up in the
-    same document.
+    same document. With ``long_words`` a line of more words is a window too.
     """
     # Written, so that no text is split again for the filter and for each use of the hashes.
-    seen = _windows(written(_hashed(docs, id_column, text_column)), window)
+    seen = _windows(written(_hashed(docs, id_column, text_column, long_words)), window)
     prints = seen.select(F.explode(F.array_distinct(F.transform("w", lambda w: w["least"]))).alias("f")).select(F.col("f.h").alias("fp"))
     twice = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("fp"))
     spread = seen.select("_id", "_text", F.explode("w").alias("w")).select("_id", "_text", F.col("w.start").alias("start"),
@@ -58,21 +71,27 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_i
     first = met.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     later = met.join(first, ["fp", "content"]).where(place > F.col("first"))
     starts = later.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    if long_words is not None:
+        # Windows of two sizes: runs of their lines.
+        spans = F.collect_set(F.struct("start", F.size("content").alias("n")))
+        starts = later.groupBy("_id", "_text").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(
+            spans, lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).alias("s"))
+        window = 1
     begins = F.filter("s", lambda x, i: (i == 0) | (x - F.get("s", i - 1) > window))
     ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) - x > window))
     return starts.select("_id", "_text", F.arrays_zip(begins.alias("from"), F.transform(ends, lambda x: x + window).alias("upto")).alias("runs"))
 
 
-def remove_repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", long_words: int | None = None) -> DataFrame:
     """All columns of ``docs`` with the text cleared of later repeated runs, and n_lines, n_removed, n_runs.
 
     Lines end at a newline; blank lines never match, and go only inside a removed run. Documents with fewer lines than the
-    window keep all. A null text stays null. Rows with equal id and text are one document and get one result; rows with an
+    window keep all but lines of over ``long_words`` words that are repeats (None: no line goes alone). A null text stays null. Rows with equal id and text are one document and get one result; rows with an
     equal id and another text are ordered by a hash of the text. Ties in a fingerprint take the rightmost line. Columns of
     ``docs`` with the added names are replaced. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    runs = written(repeated_runs(docs, window, id_column, text_column)).toDF("_llm_id", "_llm_text", "_llm_runs")
+    runs = written(repeated_runs(docs, window, id_column, text_column, long_words)).toDF("_llm_id", "_llm_text", "_llm_runs")
     joined = docs.withColumn("_llm_key", F.xxhash64(text_column))
     # Texts and runs are both dealt by the document at every size; a broadcast would hold only while there are few repeats.
     joined = joined.join(runs.hint("merge"), joined[id_column].eqNullSafe(runs["_llm_id"]) & (F.col("_llm_key") == F.col("_llm_text")), "left").drop("_llm_id", "_llm_text", "_llm_key")

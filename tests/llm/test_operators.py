@@ -269,6 +269,31 @@ def test_lines_against_all_windows(spark, window):
         assert want[r.doc_id] == (r.n_lines, r.n_removed, r.n_runs, hashlib.md5(r.text.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("window", [2, 3])
+def test_long_single_lines_that_repeat_go(spark, window):
+    rng = random.Random(window)
+    choice = [words(rng, 51), words(rng, 80).replace(" ", " \t"), words(rng, 50), words(rng, 300), "a", " b ", "", "c", "d"]
+    rows = [(0, choice[0]), (1, f"  {choice[0]} "), (2, choice[2]), (3, choice[2])]
+    rows += [(i, "\n".join(rng.choice(choice) for _ in range(rng.randint(0, 9)))) for i in range(4, 120)]
+    seen, want = set(), {}
+    for i, text in rows:
+        full = [(k, x.strip()) for k, x in enumerate(text.split("\n")) if x.strip()]
+        gone = set()
+        for at in range(len(full)):
+            for size in (1, window):
+                part = tuple(x for _, x in full[at:at + size])
+                if len(part) == size and (size == window or len(part[0].split()) > 50):
+                    if part in seen:
+                        gone.update(range(at, at + size))
+                    seen.add(part)
+        runs = [[k] for k in sorted(gone) if k - 1 not in gone]
+        cut = {line for (a,) in runs for b in [next(b for b in range(a, len(full)) if b + 1 not in gone)] for line in range(full[a][0], full[b][0] + 1)}
+        want[i] = (len(runs), "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut))
+    got = lines.remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), window, long_words=50).collect()
+    assert {r.doc_id: (r.n_runs, r.text) for r in got} == want
+    assert want[1] == (1, "") and want[3] == (0, choice[2])
+
+
 def vector_rows(rng):
     base = rng.standard_normal((6, 16))
     rows = [(i, [float(x) for x in base[i % 6] + 0.05 * rng.standard_normal(16)], i % 2) for i in range(60)]

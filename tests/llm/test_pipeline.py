@@ -56,3 +56,12 @@ def test_stages(spark, tmp_path):
     for n, f in list(stage.items())[:-1]:
         empty = f(spark, empty, str(tmp_path))
         assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_line_stage_removes_a_long_line_that_repeats(spark):
+    rng = random.Random(3)
+    passage, short = prose(rng, 60), prose(rng, 40)
+    rows = [(0, passage), (1, f"{prose(rng, 60)}\n{passage}"), (2, passage), (3, short), (4, short)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r for r in corpus_pipeline.clear_lines(spark, docs, "").collect()}
+    assert set(kept) == {0, 1, 3, 4} and kept[1].text == rows[1][1].split("\n")[0] and kept[1].n_chars == len(kept[1].text)
