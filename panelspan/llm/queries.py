@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pack as packing
-from . import hmm, lines, mixing, neighbours, quality, simhash, suffixes, toxicity, vectors
+from . import hmm, lines, mixing, neighbours, quality, simhash, squares, suffixes, toxicity, variants, vectors, whitening
 from .common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,9 +24,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op6_pack_sequences")
@@ -114,3 +114,45 @@ def op9(spark, sf_dir):
     cleared = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["upto"] - s["from"])
     return cleared.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_square_packing")
+def op11(spark, sf_dir):
+    """Sequences of at most 1024 tokens; the digest of a piece's ids is the operator's."""
+    pieces = squares.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=2)
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+VARIANTS_SQL = """WITH RECURSIVE table_steps AS (SELECT range AS b, range AS v, 0 AS k FROM range(256)
+    UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM table_steps WHERE k < 8),
+  crc_table AS (SELECT b, v FROM table_steps WHERE k = 8),
+  runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+  uses AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS m FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+  coded AS (SELECT s, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS bytes FROM uses),
+  steps AS (SELECT s, bytes, 0 AS i, 4294967295 AS acc FROM coded
+    UNION ALL SELECT s, bytes, i + 1, xor(acc // 256, v) FROM steps JOIN crc_table ON b = xor(acc, CAST(bytes[i + 1] AS BIGINT)) % 256 WHERE i < len(bytes)),
+  hashed AS (SELECT s, xor(acc, 4294967295) AS h FROM steps WHERE i = len(bytes)),
+  spelt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w, m FROM uses JOIN hashed USING (s)),
+  words AS (SELECT w, CAST(sum(m) AS BIGINT) AS n FROM spelt WHERE length(w) >= 5 GROUP BY w HAVING sum(m) >= 3),
+  places AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words),
+  masked AS (SELECT w, n, i, substr(w, 1, i - 1) || '*' || substr(w, i + 1) AS p, substr(w, 1, i - 1) || substr(w, i + 1) AS cut FROM places),
+  near AS (SELECT a.w, b.w AS u, b.n AS un FROM masked a JOIN masked b ON a.p = b.p AND a.w <> b.w
+    UNION SELECT a.w, b.w, b.n FROM masked a JOIN words b ON a.cut = b.w
+    UNION SELECT b.w, a.w, a.n FROM masked a JOIN words b ON a.cut = b.w),
+  best AS (SELECT w, count(*) AS n_near, first(u ORDER BY un DESC, u) AS u, max(un) AS un FROM near GROUP BY w),
+  forms AS (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN un >= 2 * n THEN u END AS form, CASE WHEN un >= 2 * n THEN un END AS form_n FROM words LEFT JOIN best USING (w)),
+  walk AS (SELECT w, w AS at FROM forms UNION ALL SELECT walk.w, forms.form FROM walk JOIN forms ON forms.w = walk.at WHERE forms.form IS NOT NULL),
+  ends AS (SELECT walk.w, walk.at AS root FROM walk JOIN forms ON forms.w = walk.at WHERE forms.form IS NULL)
+SELECT w AS word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN ends USING (w)"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12(spark, sf_dir):
+    """Words of all documents, one in 97 of their uses short of a letter, and the frequent words that they vary."""
+    return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents"), divisor=97))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    """All embeddings on the four components of largest deviation."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
