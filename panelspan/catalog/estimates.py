@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import median as M
 from ..operators import panel as P
 from ..operators import regress as R
 from .base import (LINE, LINE_BY, PANEL, TREATED, X, Y, line_ctes, line_select, line_shown, long_panel, panel, query, shown,
@@ -65,14 +66,48 @@ def _(spark, d):
     return shown(r, "model", "n_obs", estimate=6, se=6, r_squared=9, linear_term=5, quadratic_term=7)
 
 
-@query("median_quantile")
+def median_line_sql(f_sql: str, key: str | None = None, ctes: str = "") -> str:
+    """The median line per ``g`` by thirds: the least sum of |y - b x - median| is convex in b. ``f_sql`` has g, y and x."""
+    head = f"g AS {key}, " if key else ""
+    return f"""WITH RECURSIVE {ctes}f AS MATERIALIZED ({f_sql}),
+  m AS (SELECT g, count(*) AS n, avg(y) AS my, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b0, sqrt(regr_syy(y, x)/regr_sxx(y, x)) AS wide, median(y) AS ymed FROM f GROUP BY g),
+  cut AS (SELECT g, 0 AS k, b0 - wide AS lo, b0 + wide AS hi FROM m
+    UNION ALL SELECT g, k + 1, CASE WHEN l1 <= l2 THEN lo ELSE lo + (hi-lo)/3 END, CASE WHEN l1 <= l2 THEN hi - (hi-lo)/3 ELSE hi END FROM (
+      SELECT g, k, lo, hi, sum(abs(r1-m1)) AS l1, sum(abs(r2-m2)) AS l2 FROM (
+        SELECT g, k, lo, hi, r1, r2, median(r1) OVER (PARTITION BY g) AS m1, median(r2) OVER (PARTITION BY g) AS m2 FROM (
+          SELECT cut.g, k, lo, hi, y - (lo+(hi-lo)/3)*x AS r1, y - (hi-(hi-lo)/3)*x AS r2 FROM f JOIN cut ON f.g = cut.g WHERE k < 70))
+      GROUP BY g, k, lo, hi)),
+  b AS (SELECT g, (lo+hi)/2 AS b FROM cut WHERE k = 70),
+  e AS (SELECT f.g, y - b*x AS r, abs(y - ymed) AS away FROM f JOIN b ON f.g = b.g JOIN m ON f.g = m.g),
+  s AS (SELECT g, median(r) AS a, sum(away) AS abs0 FROM e GROUP BY g),
+  o AS (SELECT e.g, median(abs(r - a)) AS mad, sum(abs(r - a)) AS loss FROM e JOIN s ON e.g = s.g GROUP BY e.g)
+SELECT {head}'median_quantile' AS model, 'ok' AS status, n AS n_obs, round(b, 4) AS estimate, round(a, 2) AS intercept,
+  round(1.4826*mad/sqrt(sxx), 4) AS se, round(1 - loss/abs0, 8) AS r_squared, true AS converged FROM m JOIN b USING (g) JOIN s USING (g) JOIN o USING (g)"""
+
+
+def median_shown(df, *keys):
+    return shown(df, *keys, "model", "status", "n_obs", "converged", estimate=4, intercept=2, se=4, r_squared=8)
+
+
+@query("median_quantile", median_line_sql(LINE))
+def _(spark, d):
+    return median_shown(M.median_quantile(lines(spark, d), Y, X))
+
+
+@query("median_quantile_by_group", median_line_sql(LINE_BY, "l_returnflag"))
 def _(spark, d):
-    return R.median_quantile(lines(spark, d), Y, X).drop("extra")
+    return median_shown(M.median_quantile(lines(spark, d), Y, X, ["l_returnflag"]), "l_returnflag")
 
 
-@query("median_quantile_by_group")
+@query("median_quantile_panel", f"""WITH {PANEL},
+  p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY u, t) AS i, y, x FROM panel),
+  l AS MATERIALIZED (SELECT p.i, q.i AS j, (q.y-p.y)/(q.x-p.x) AS b, p.y - (q.y-p.y)/(q.x-p.x)*p.x AS a FROM p JOIN p q ON p.i < q.i AND p.x <> q.x),
+  best AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(abs(y-a-b*x)) AS loss FROM l, p GROUP BY l.i, l.j ORDER BY loss LIMIT 1)
+SELECT 'median_quantile' AS model, (SELECT count(*) FROM p) AS n_obs, round(a, 3) AS intercept, round(b, 4) AS estimate, round(loss, 3) AS loss FROM best""")
 def _(spark, d):
-    return R.median_quantile(lines(spark, d), Y, X, ["l_returnflag"]).drop("extra")
+    """The best of all lines through two cells."""
+    r = M.median_quantile(panel(spark, d), "y", "x")
+    return shown(r.withColumn("loss", F.col("extra")["loss"]), "model", "n_obs", intercept=3, estimate=4, loss=3)
 
 
 def _absorbed(f_sql: str, unit: str) -> str:

@@ -11,7 +11,7 @@ from ..functions.columns import DATELIKE, as_double, clean_numeric, dtype_of, fi
 from ..functions.dist import norm_ppf_udf
 from ..plans.scale import Series, attach, exact_quantile, group_agg, materialise
 from ..spec import FORECAST_SCHEMA, REGRESSION_SCHEMA
-from . import panel, regress
+from . import median, panel, regress
 from .forecast import series_prepare
 from .regress import Z95
 
@@ -21,7 +21,7 @@ TINY = 0.001
 
 Estimator = Callable[..., DataFrame]
 _LINE = {"ols": regress.ols, "pooled_ols": regress.pooled_ols, "log_linear": regress.log_linear,
-         "log_log": regress.log_log, "polynomial_ols": regress.polynomial_ols, "median_quantile": regress.median_quantile}
+         "log_log": regress.log_log, "polynomial_ols": regress.polynomial_ols, "median_quantile": median.median_quantile}
 _PANEL = {"panel_ols": panel.panel_ols, "diff_in_diff": panel.diff_in_diff, "first_difference": regress.first_difference}
 _CUSTOM: dict[str, Estimator] = {}
 
