@@ -111,9 +111,38 @@ def _(spark, d):
     return shown(D.adf_test(_prepared(spark, d), BY, auto_lag=False), "o_orderpriority", "check_id", statistic=6)
 
 
-@query("adf_test")
+def _eliminated(name: str, steps: str) -> str:
+    """Table ``name`` of square matrices m after each of ``steps`` columns was swept out."""
+    return f"""{name}_out AS (SELECT g, 0 AS k, m FROM {name} UNION ALL SELECT g, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+    v - r[k+1]*m[k+1][j]/m[k+1][k+1])) FROM {name}_out WHERE k < {steps})"""
+
+
+def _grams(name: str, rows: str) -> str:
+    """Matrices of products of the lists v in ``rows``, per g."""
+    return f"""{name}_pairs AS (SELECT g, i, j, sum(v[i]*v[j]) AS p FROM (SELECT *, unnest(range(1, len(v)+1)) AS j FROM (SELECT g, v, unnest(range(1, len(v)+1)) AS i FROM {rows})) GROUP BY g, i, j),
+  {name} AS (SELECT g, list(r ORDER BY i) AS m FROM (SELECT g, i, list(p ORDER BY j) AS r FROM {name}_pairs GROUP BY g, i) GROUP BY g)"""
+
+
+ADF = f"""WITH RECURSIVE {SERIES}, c AS (SELECT g, i, n, y - avg(y) OVER (PARTITION BY g) AS y, y - y1 AS d, CAST(greatest(least(ceil(12*power(n/100.0, 0.25)), n//2 - 2), 0) AS BIGINT) AS most FROM s),
+  l AS (SELECT g, list(y ORDER BY i) AS ys, list(d ORDER BY i) AS ds, any_value(n) AS n, any_value(most) AS most FROM c GROUP BY g),
+  t AS (SELECT *, unnest(range(most+2, n+1)) AS t FROM l),
+  wide AS (SELECT g, [1.0::DOUBLE, ys[t-1]] || list_transform(range(1, most+1), lambda j: ds[t-j]) || [ds[t]] AS v FROM t), {_grams("first", "wide")},
+  {_eliminated("first", "len(m) - 1")},
+  aic AS (SELECT g, k - 2 AS lag, (n-most-1)*(ln(2*pi()*m[len(m)][len(m)]/(n-most-1)) + 1) + 2*k AS aic FROM first_out JOIN l USING (g) WHERE k >= 2),
+  chosen AS (SELECT g, arg_min(lag, aic) AS lag FROM aic GROUP BY g),
+  t2 AS (SELECT *, unnest(range(lag+2, n+1)) AS t FROM l JOIN chosen USING (g)),
+  own AS (SELECT g, [1.0::DOUBLE] || list_transform(range(1, lag+1), lambda j: ds[t-j]) || [ys[t-1], ds[t]] AS v FROM t2), {_grams("second", "own")},
+  {_eliminated("second", "len(m) - 2")},
+  z AS (SELECT g, lag, n - lag - 1 AS rows, m[lag+2][lag+2] AS a, m[lag+2][lag+3] AS b, m[lag+3][lag+3] AS c FROM second_out JOIN chosen USING (g) JOIN l USING (g) WHERE k = lag + 1)
+SELECT g AS o_orderpriority, 'adf' AS check_id, round((b/a)/sqrt((c - b*b/a)/(rows-lag-2)/a), 6) AS statistic, CAST(lag AS DOUBLE) AS lag, CAST(rows AS DOUBLE) AS n_used,
+  round(-2.86154 - 2.8903/rows - 4.234/power(rows, 2) - 40.040/power(rows, 3), 8) AS crit_5 FROM z"""
+
+
+@query("adf_test", ADF)
 def _(spark, d):
-    return D.adf_test(_prepared(spark, d), BY)
+    r = D.adf_test(_prepared(spark, d), BY)
+    r = r.withColumns({c: F.col("detail")[c] for c in ("lag", "n_used", "crit_5")})
+    return shown(r, "o_orderpriority", "check_id", "lag", "n_used", statistic=6, crit_5=8)
 
 
 KPSS = f"""{SERIES}, e AS (SELECT g, i, n, y - avg(y) OVER (PARTITION BY g) AS e FROM s),

@@ -22,7 +22,7 @@ from .regress import line_stats
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHAPIRO_ROWS = 5000
-ADF_LAG_LIMIT = 60      # lag columns kept for the longest series
+ADF_CHUNK = 20_000      # periods of one stretch in the unit root test
 NOTHING = "none"
 
 # MacKinnon (1994) response surface for the p-value of the constant-only unit root test.
@@ -281,30 +281,84 @@ def vif(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFr
 
 # --- unit root and stationarity -----------------------------------------------------------------------
 
-def _gram_solver(width: int):
-    """From the products of (1, level, lagged changes..., change): best lag by AIC and its t value."""
-    def solve(m: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
-        out = []
-        for mi, a, b in zip(m, lo, hi):
-            g = np.zeros((width, width))
-            g[np.triu_indices(width)] = mi
-            g = g + np.triu(g, 1).T
-            n, best = g[0, 0], None
-            for lag in range(int(a), int(b) + 1):
-                use = list(range(lag + 2))
-                k = len(use)
-                if n <= k:
-                    break
-                beta = np.linalg.lstsq(g[np.ix_(use, use)], g[use, -1], rcond=None)[0]
-                ssr = max(g[-1, -1] - beta @ g[use, -1], 1e-300)
-                aic = n * (np.log(2 * np.pi * ssr / n) + 1) + 2 * k
-                if best is None or aic < best[0]:
-                    var = ssr / (n - k) * np.linalg.pinv(g[np.ix_(use, use)])[1, 1]
-                    best = (aic, lag, beta[1] / np.sqrt(var) if var > 0 else 0.0, n)
-            out.append(best[1:] if best else (None, None, None))
-        return pd.DataFrame(out, columns=["lag", "t", "n"]).astype(float)
-    solve.__annotations__ = {"m": pd.Series, "lo": pd.Series, "hi": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(solve, "lag double, t double, n double")
+def _lag_sums(y: np.ndarray, at: int, own: int, least: int, lags: int) -> np.ndarray:
+    """Of a stretch whose first value is number ``at`` (from 1), over own times t >= ``own`` and t >= ``least``: sums of
+    change(t) change(t - j), then of level(t - 1) change(t - j), for j = 0..lags, and of level(t - 1) and its square."""
+    out = np.zeros(2 * lags + 4)
+    first = max(own, least) - at            # index of the first t
+    if first >= len(y):
+        return out
+    change = np.concatenate([[0.0], np.diff(y)])
+    now, level = change[first:], y[first - 1:-1]
+    for j in range(lags + 1):
+        before = change[first - j:len(y) - j]
+        out[j], out[lags + 1 + j] = now @ before, level @ before
+    out[-2], out[-1] = level.sum(), level @ level
+    return out
+
+
+def _products(sums: np.ndarray, head: np.ndarray, tail: np.ndarray, n: int, lags: int, use: int) -> np.ndarray:
+    """Products of (1, level, lagged changes 1..use, change) over t = use + 2..n from sums over t = lags + 2..n.
+
+    ``head`` and ``tail`` are the first and the last lags + 1 values: a product of two lagged changes is the product of the
+    same distance one step later, but for one time at either end.
+    """
+    early = _lag_sums(head, 1, use + 2, use + 2, use) if use < lags else np.zeros(2 * use + 4)
+    distance = sums[:use + 1] + early[:use + 1]
+    cross = sums[lags + 1:lags + 2 + use] + early[use + 1:2 * use + 2]
+    g = np.empty((use + 3, use + 3))
+    order = [use + 2, *range(2, use + 2)]               # where change(t - j) stands, the change itself last
+    grid = np.zeros((use + 1, use + 1))
+    grid[0] = distance
+    left, right = np.diff(head[:use + 1])[::-1], np.diff(tail)[::-1]    # change(use + 1 - j) and change(n - j), j = 0..use - 1
+    for i in range(use):
+        grid[i + 1, i + 1:] = grid[i, i:use] + left[i] * left[i:use] - right[i] * right[i:use]
+    grid = np.triu(grid) + np.triu(grid, 1).T
+    g[np.ix_(order, order)] = grid
+    rows = n - use - 1
+    ones = tail[::-1][:use + 1] - head[use::-1][:use + 1]               # sums of change(t - j)
+    g[0, 0], g[1, 1] = rows, sums[-1] + early[-1]
+    g[0, 1] = g[1, 0] = sums[-2] + early[-2]
+    g[0, order] = g[order, 0] = ones
+    g[1, order] = g[order, 1] = cross
+    return g
+
+
+def _nested(g: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the regressions on the first 2, 3, ... columns: one factorisation holds them all."""
+    size = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    x, y = (g / np.outer(size, size))[:-1, :-1], (g / np.outer(size, size))[:-1, -1]
+    try:
+        low = np.linalg.cholesky(x)
+        if np.diag(low).min() < 1e-6:
+            raise np.linalg.LinAlgError
+        part = np.linalg.solve(low, y)
+        left = 1.0 - np.cumsum(part ** 2)[1:]
+    except np.linalg.LinAlgError:           # columns that depend on each other
+        left = np.array([1.0 - y[:k] @ np.linalg.lstsq(x[:k, :k], y[:k], rcond=None)[0] for k in range(2, len(x) + 1)])
+    return np.maximum(left * g[-1, -1], 1e-300)
+
+
+def _unit_root(sums: np.ndarray, head: np.ndarray, tail: np.ndarray, n: int, lags: int) -> tuple:
+    """Lag of the smallest AIC on the sample that all lags share, and the t value of the level with it on its own sample."""
+    rows, lag = n - lags - 1, 0
+    if rows <= 2:
+        return None, None, None
+    if lags:
+        k = np.arange(2, lags + 3)
+        ssr = _nested(_products(sums, head, tail, n, lags, lags))
+        aic = np.where(rows > k, rows * (np.log(2 * np.pi * ssr / rows) + 1) + 2 * k, np.inf)
+        lag = int(aic.argmin())
+    g, rows = _products(sums, head, tail, n, lags, lag), n - lag - 1
+    k = lag + 2
+    if rows <= k:
+        return None, None, None
+    size = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    g = g / np.outer(size, size)
+    inverse = np.linalg.pinv(g[:-1, :-1], hermitian=True)
+    beta = inverse @ g[:-1, -1]
+    var = max(g[-1, -1] - beta @ g[:-1, -1], 1e-300) / (rows - k) * inverse[1, 1]
+    return float(lag), float(beta[1] / np.sqrt(var)) if var > 0 else 0.0, float(rows)
 
 
 def unit_root_pvalue(tau: Column) -> Column:
@@ -318,38 +372,55 @@ def unit_root_pvalue(tau: Column) -> Column:
     return F.when(tau < TAU_MIN, 0.0).when(tau > TAU_MAX, 1.0).otherwise(p)
 
 
-def adf_test(series: DataFrame, by: Sequence[str] = (), auto_lag: bool = True, suite: str = "",
-             name: str = "series", value: str = "_y", order: str = "_t", max_series_rows: int | None = None) -> DataFrame:
+def adf_test(series: DataFrame, by: Sequence[str] = (), auto_lag: bool = True, suite: str = "", name: str = "series", value: str = "_y",
+             order: str = "_t", max_series_rows: int | None = None, chunk: int = ADF_CHUNK) -> DataFrame:
     """Augmented Dickey-Fuller with a constant, lag by AIC on a common sample.
 
-    ``series`` has one row per period. Each series needs only the products of its lag columns, so
-    the regressions of all candidate lags come from one aggregate and are solved per series row.
+    ``series`` has one row per period. The regressions of all candidate lags need only sums of products at each distance,
+    which are added up over stretches of at most ``chunk`` periods (each with the few values before it), and the values at
+    both ends. Candidates grow with the fourth root of the length and all take part; nothing of a series is ever in one
+    place but these sums.
     """
     by = list(by)
-    facts = materialise(group_agg(series, by, F.count(value).alias("_n"), F.avg(value).alias("_m")))
+    keys = by or ["_all"]
+    rows = (series if by else series.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
+    facts = materialise(group_agg(rows if by else series, by, F.count(value).alias("_n"), F.avg(value).alias("_m")))
     n = F.col("_n")
-    cap = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2, F.lit(ADF_LAG_LIMIT))
-    facts = facts.withColumn("_hi", (F.greatest(cap, F.lit(0)) if auto_lag else F.lit(0)).cast("int"))
-    most = int(facts.agg(F.max("_hi")).first()[0] or 0)
-    centred = attach(series.where(F.col(value).isNotNull()), facts, by).select(
-        *by, order, "_hi", (F.col(value) - F.col("_m")).alias("_v"))
-    s = Series.of(centred, by, order, max_series_rows).number("_i").lag(
-        **{f"_v{k}": ("_v", k) for k in range(1, most + 2)}).rows()
-    v = [F.col("_v"), *[F.col(f"_v{k}") for k in range(1, most + 2)]]
-    cols = [F.lit(1.0), v[1], *[F.coalesce(v[k] - v[k + 1], F.lit(0.0)) for k in range(1, most + 1)], v[0] - v[1]]
-    prods = [F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
-    solver = _gram_solver(len(cols))
-
-    def pass_over(rows, lo, hi):
-        g = group_agg(rows, by, F.array(*prods).alias("_g"), F.any_value("_hi").alias("_hi"))
-        return g.where(F.col("_g")[0].isNotNull()).select(*by, solver("_g", lo, hi).alias("_r")).select(*by, "_r.*")
-
-    if auto_lag:
-        first = materialise(pass_over(s.where(F.col("_i") >= F.col("_hi") + 2), F.lit(0), F.col("_hi")))
-        s = attach(s.drop("_hi"), first.select(*by, F.col("lag").cast("int").alias("_hi")), by)
-    fit = pass_over(s.where(F.col("_i") >= F.col("_hi") + 2), F.col("_hi"), F.col("_hi"))
-    out = facts.drop("_hi").join(fit, by, "left") if by else attach(facts.drop("_hi"), group_agg(
-        fit, by, *[F.max(c).alias(c) for c in ("lag", "t", "n")]), by)
+    cap = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2)
+    lags = (F.greatest(cap, F.lit(0)) if auto_lag else F.lit(0)).cast("int")
+    centred = attach(rows, facts, by).select(*keys, order, "_n", lags.alias("_lags"), (F.col(value) - F.col("_m")).alias("_v"))
+    placed = Series.of(centred, keys, order, max_series_rows).number("_i").rows()
+    size = F.greatest(F.lit(chunk), F.col("_lags") + 1)
+    own = F.floor((F.col("_i") - 1) / size)
+    also = F.col("_i") > (own + 1) * size - F.col("_lags") - 1         # the next stretch looks back on it
+    dealt = placed.select(*keys, "_i", "_v", "_n", "_lags", size.alias("_size"), F.explode(
+        F.when(also & ((own + 1) * size < n), F.array(own, own + 1)).otherwise(F.array(own))).alias("_chunk"))
+    arrays = dealt.groupBy(*keys, "_chunk", "_n", "_lags", "_size").agg(
+        F.min("_i").alias("_at"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda r: r["_v"]).alias("_ys"))
+
+    def summed(ys: pd.Series, at: pd.Series, begins: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([_lag_sums(np.asarray(y, dtype=float), int(a), max(int(b), 2), int(m) + 2, int(m)) for y, a, b, m in zip(ys, at, begins, k)])
+
+    summed.__annotations__ = {"ys": pd.Series, "at": pd.Series, "begins": pd.Series, "k": pd.Series, "return": pd.Series}
+    sums = arrays.select(*keys, F.posexplode(F.pandas_udf(summed, "array<double>")("_ys", "_at", F.col("_chunk") * F.col("_size") + 1, "_lags")).alias("_k", "_s"))
+    sums = sums.groupBy(*keys, "_k").agg(F.sum("_s").alias("_s"))
+    sums = sums.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_s"))), lambda r: r["_s"]).alias("_sums"))
+
+    def end_values(inside: Column, name: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(inside, F.struct("_i", "_v")))), lambda r: r["_v"]).alias(name)
+
+    ends = placed.where((F.col("_i") <= F.col("_lags") + 1) | (F.col("_i") >= n - F.col("_lags"))).groupBy(*keys).agg(
+        end_values(F.col("_i") <= F.col("_lags") + 1, "_head"), end_values(F.col("_i") >= n - F.col("_lags"), "_tail"),
+        F.any_value("_n").alias("_n"), F.any_value("_lags").alias("_lags"))
+
+    def solve(sums: pd.Series, head: pd.Series, tail: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        found = [_unit_root(*(np.asarray(v, dtype=float) for v in (s, h, t)), int(m), int(lags)) for s, h, t, m, lags in zip(sums, head, tail, n, k)]
+        return pd.DataFrame(found, columns=["lag", "t", "n"]).astype(float)
+
+    solve.__annotations__ = {c: pd.Series for c in ("sums", "head", "tail", "n", "k")} | {"return": pd.DataFrame}
+    solver = F.pandas_udf(solve, "lag double, t double, n double")
+    fit = sums.join(ends, keys).select(*by, solver("_sums", "_head", "_tail", "_n", "_lags").alias("_r")).select(*by, "_r.*")
+    out = facts.join(fit, by, "left") if by else attach(facts, group_agg(fit, by, *[F.max(c).alias(c) for c in ("lag", "t", "n")]), by)
     out = out.withColumn("_p", unit_root_pvalue(F.col("t")))
     p, size = F.col("_p"), F.col("n")
     crit = F.lit(TAU_CRIT_5[0]) + TAU_CRIT_5[1] / size + TAU_CRIT_5[2] / (size * size) + TAU_CRIT_5[3] / (size * size * size)

@@ -118,6 +118,44 @@ def test_unit_root_lag_by_aic(spark, walk, limit):
     assert r["status"] == "violated" and r["pvalue"] > 0.05
 
 
+def test_unit_root_of_a_long_series_looks_at_all_its_lags(spark):
+    """70,000 periods have 62 candidate lags; one factorisation by hand gives all their residual sums."""
+    n, rng = 70_000, np.random.default_rng(11)
+    e = rng.normal(size=n + 70)
+    y = np.cumsum(e[70:] + 0.5 * e[9:-61] + 0.4 * e[:-70])[:n] + 1e4        # changes that depend on those 61 and 70 steps before
+    most = int(np.ceil(12 * (n / 100) ** 0.25))
+    assert most == 62
+
+    def design(lag, first):
+        d, at = np.diff(y), np.arange(first - 1, n - 1)
+        return np.column_stack([np.ones(len(at)), y[at] - y.mean(), *[d[at - k] for k in range(1, lag + 1)], d[at]])
+
+    r = np.linalg.qr(design(most, most + 1), mode="r")
+    m = n - most - 1
+    aic = [m * (np.log(2 * np.pi * (r[k:, -1] ** 2).sum() / m) + 1) + 2 * k for k in range(2, most + 3)]
+    lag = int(np.argmin(aic))
+    assert lag >= 61
+    X = design(lag, lag + 1)
+    X, z = X[:, :-1], X[:, -1]
+    b = np.linalg.lstsq(X, z, rcond=None)[0]
+    want = b[1] / np.sqrt(((z - X @ b) ** 2).sum() / (len(z) - X.shape[1]) * np.linalg.inv(X.T @ X)[1, 1])
+    s = spark.createDataFrame(pd.DataFrame({"_t": np.arange(n), "_y": y})).repartition(7)
+    for chunk, limit in ((20_000, None), (64, 9000)):
+        got = D.adf_test(s, max_series_rows=limit, chunk=chunk).first()
+        assert got["detail"]["lag"] == lag and got["detail"]["n_used"] == len(z) and got["statistic"] == pytest.approx(want, rel=1e-6)
+
+
+def test_unit_root_of_odd_series(spark):
+    rows = [("short", float(i), float(i)) for i in range(3)] + [("flat", float(i), 5.0) for i in range(40)] + [("line", float(i), 2.0 * i) for i in range(40)]
+    rows += [("noise", float(i), float(v)) for i, v in enumerate(np.random.default_rng(3).normal(size=60))] + [("noise", 60.0, None)]
+    s = spark.createDataFrame(rows, "g string, _t double, _y double")
+    got = {r["g"]: r for r in D.adf_test(s, ["g"]).collect()}
+    assert set(got) == {"short", "flat", "line", "noise"} and got["short"]["status"] == "not_run" and got["noise"]["status"] == "ok"
+    alone = D.adf_test(s.where("g = 'noise'").drop("g")).first()
+    assert alone["statistic"] == pytest.approx(got["noise"]["statistic"], rel=1e-9) and alone["detail"] == got["noise"]["detail"]
+    assert D.adf_test(s.limit(0), ["g"]).collect() == [] and D.adf_test(s.limit(0).drop("g")).first()["status"] == "not_run"
+
+
 def test_unit_root_p_value_self_check(spark):
     rows = {r["t"]: r["p"] for r in spark.createDataFrame([(-2.86,), (-3.43,), (-1.61,), (-1.6099999,), (-30.0,), (3.0,)], "t double")
             .withColumn("p", D.unit_root_pvalue(F.col("t"))).collect()}
