@@ -27,7 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ALPHAS = tuple(round(0.05 * i, 2) for i in range(1, 20))    # 0.05 .. 0.95
 CHUNK = 20_000              # points of one series folded in one array
 ORDER_PARTS = 6
-ARIMA_ROWS = 5_000          # longest series fitted by one Python task
+FIT_ROWS = 5_000            # longest series that one task fits whole, and periods of one stretch of a longer one
+FIT_BEFORE = 2_500          # periods before a stretch from which its errors start: the start weighs 0.98 ** 2500 < 1e-21 then
+FIT_PASSES = 80
 MAX_P = MAX_Q = 3
 MAX_D = 1
 ARIMA_LEAST = 10
@@ -332,6 +334,18 @@ def _psi_weights(ar, ma, d, horizon):
     return psi
 
 
+def _forecast_path(y, w, e, theta, p, d, q, sigma2, horizon):
+    """Forecasts and standard errors after the values y (differenced: w) with errors e."""
+    ar, ma = theta[1:1 + p], theta[MAX_P + 1:MAX_P + 1 + q]
+    hist, errs, path = list(w[-MAX_P:]), list(e[-MAX_Q:]), []
+    for _ in range(horizon):
+        path.append(theta[0] + sum(a * hist[-j] for j, a in enumerate(ar, 1)) + sum(b * errs[-j] for j, b in enumerate(ma, 1)))
+        hist.append(path[-1])
+        errs.append(0.0)
+    path = y[-1] + np.cumsum(path) if d else np.asarray(path)
+    return path, np.sqrt(sigma2 * np.cumsum(_psi_weights(ar, ma, d, horizon) ** 2))
+
+
 def _arima_batch(ys, p, d, q, horizon):
     """Fit a batch of (series, order) rows; AIC is the Gaussian conditional one on the common sample."""
     ws = [np.diff(y, k) if k else y for y, k in zip(ys, d)]
@@ -344,17 +358,9 @@ def _arima_batch(ys, p, d, q, horizon):
     aic = used * (np.log(2 * np.pi * sigma2) + 1) + 2 * (p + q + (d == 0) + 1)
     out = []
     for i, y in enumerate(ys):
-        ar, ma = theta[i, 1:1 + p[i]], theta[i, MAX_P + 1:MAX_P + 1 + q[i]]
-        hist, errs, path = list(ws[i]), list(e[i, :sizes[i]]), []
-        for _ in range(horizon):
-            path.append(theta[i, 0] + sum(a * hist[-j] for j, a in enumerate(ar, 1)) + sum(
-                b * errs[-j] for j, b in enumerate(ma, 1)))
-            hist.append(path[-1])
-            errs.append(0.0)
-        path = y[-1] + np.cumsum(path) if d[i] else np.asarray(path)
-        spread = np.sqrt(sigma2[i] * np.cumsum(_psi_weights(ar, ma, int(d[i]), horizon) ** 2))
+        path, spread = _forecast_path(y, ws[i], e[i, :sizes[i]], theta[i], p[i], int(d[i]), q[i], sigma2[i], horizon)
         ok = np.isfinite(aic[i]) and np.all(np.isfinite(path))
-        out.append((aic[i], np.sqrt(sigma2[i]), ar[0] if len(ar) else 0.0, list(path), list(spread)) if ok
+        out.append((aic[i], np.sqrt(sigma2[i]), theta[i, 1] if p[i] else 0.0, list(path), list(spread)) if ok
                    else (None,) * 5)
     return out
 
@@ -384,11 +390,11 @@ def _arima_udf(horizon):
 
 
 def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by: Sequence[str] = (),
-                   max_series_rows: int | None = None, max_fit_rows: int = ARIMA_ROWS) -> DataFrame:
+                   max_series_rows: int | None = None, fit_rows: int = FIT_ROWS, fit_before: int = FIT_BEFORE) -> DataFrame:
     """Order grid p, q <= 3, d <= 1 by AIC; every (series, order) pair is a row of its own.
 
-    Series shorter than 10 points use AR(1). Series beyond ``max_fit_rows`` periods do not go to a
-    Python task: their pure AR orders are fitted by moment aggregates over lag columns (``ar_grid``).
+    Series shorter than 10 points use AR(1). A series of more than ``fit_rows`` periods is fitted in stretches of that many
+    (``_stretch_fits``): the same orders, sample and sums of squares, added up over tasks.
     """
     by = list(by)
     lagged, facts = _frame(df, outcome, time, by, max_series_rows)
@@ -397,10 +403,10 @@ def forecast_arima(df: DataFrame, outcome: str, time: str, periods: int = 10, by
     fits = []
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(facts.count() / SERIES_PER_TASK))
     fits.append(_task_fits(attach(lagged, sizes, by).where(
-        F.col("_n").between(ARIMA_LEAST, max_fit_rows)), by, periods, tasks))
-    if facts.where(F.col("_n") > max_fit_rows).limit(1).count():
-        fits.append(ar_grid(attach(lagged, sizes, by).where(F.col("_n") > max_fit_rows)
-                            .select(*by, "_t", "_y"), by, periods, max_series_rows))
+        F.col("_n").between(ARIMA_LEAST, fit_rows)), by, periods, tasks))
+    if facts.where(F.col("_n") > fit_rows).limit(1).count():
+        fits.append(_stretch_fits(attach(lagged, sizes, by).where(F.col("_n") > fit_rows).select(*by, "_n", "_t", "_y"), by, periods,
+                                  max_series_rows, fit_rows, fit_before, tasks))
     grid = fits[0] if len(fits) == 1 else fits[0].unionByName(fits[1])
     # d and order are tie breakers, so that the choice does not depend on row order
     best = group_agg(grid.where(F.col("aic").isNotNull()), by, F.min(F.struct(
@@ -427,7 +433,7 @@ def _order_grid(n: Column) -> Column:
 
 def _task_fits(rows: DataFrame, by: list[str], periods: int, tasks: int) -> DataFrame:
     """One row per (series, order), fitted in vectorised batches; series are bounded here by
-    ``max_fit_rows`` points."""
+    ``fit_rows`` points."""
     arrays = group_agg(rows, by, F.transform(F.sort_array(F.collect_list(F.struct("_t", "_y"))),
                                              lambda r: r["_y"]).alias("_ys"))
     # The fits cost far more than their few bytes suggest, so the number of tasks is set by hand.
@@ -439,59 +445,246 @@ def _task_fits(rows: DataFrame, by: list[str], periods: int, tasks: int) -> Data
     return fitted.select(*by, "p", "d", "q", "_f.*", F.lit("css").alias("engine"))
 
 
-def ar_grid(series: DataFrame, by: list[str], periods: int, max_series_rows: int | None = None) -> DataFrame:
-    """AR(p) on levels and first differences, p = 1..3, from lag moments only.
+# --- series that are fitted in stretches ---
+
+ORDERS = tuple((p, d, q) for d in range(MAX_D + 1) for p in range(MAX_P + 1) for q in range(MAX_Q + 1) if p or q)
+UPPER = np.triu_indices(ORDER)
+SUMS = 1 + ORDER + len(UPPER[0])            # per order: squared errors, their slopes, products of slopes
+# Per order: parameters, parameters on trial, best squared errors, slopes and products there, damping, failures, steps, open.
+PARTS = {"theta": ORDER, "trial": ORDER, "best": 1, "jte": ORDER, "jtj": len(UPPER[0]), "damp": 1, "fails": 1, "steps": 1, "live": 1}
+PLACE = {k: slice(sum(list(PARTS.values())[:i]), sum(list(PARTS.values())[:i + 1])) for i, k in enumerate(PARTS)}
+STATE = sum(PARTS.values())
+
+
+def _free(orders):
+    p, d, q = (np.array(v)[:, None] for v in zip(*orders))
+    lags = np.arange(1, MAX_P + 1)[None, :]
+    return np.concatenate([d == 0, lags <= p, lags <= q], axis=1)
+
+
+LONGEST = MAX_P + MAX_Q + 5         # lags of the longest first autoregression
+
+
+def _long_lags(p, q, n):
+    return max(1, min(n // 4, p + q + 5))
+
+
+def _own_rows(w, least, d, at, begins, upto):
+    """Places in a stretch's w that are its own and have number ``least`` or more in the whole w of the series."""
+    return np.arange(max(begins - at - d, least + 1 - at, 0), min(upto - at - d + 1, len(w)))
+
+
+def _tri(columns):
+    """Products of the columns, as one row."""
+    c = np.column_stack(columns)
+    return (c.T @ c)[np.triu_indices(c.shape[1])]
+
+
+def _untri(row, k):
+    g = np.zeros((k, k))
+    g[np.triu_indices(k)] = row[:k * (k + 1) // 2]
+    return g + np.triu(g, 1).T
+
+
+def _solve_last(g):
+    return np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-13)[0]
+
+
+def _long_products(y, at, begins, upto, n, mean):
+    """For both d and every length of the first autoregression: products of (1, lags, value), in a row of rows."""
+    out = np.zeros((MAX_D + 1, LONGEST + 1, (LONGEST + 2) * (LONGEST + 3) // 2))
+    for d in range(MAX_D + 1):
+        w = np.diff(y) if d else y - mean
+        for k in {_long_lags(p, q, n) for p, _, q in ORDERS}:
+            rows = _own_rows(w, k, d, at, begins, upto)
+            if len(rows):
+                found = _tri([np.ones(len(rows)), *[w[rows - i] for i in range(1, k + 1)], w[rows]])
+                out[d, k, :len(found)] = found
+    return out.ravel()
+
+
+def _long_coefs(row):
+    """The first autoregressions from their products: constant and lags, per d and length."""
+    rows = np.asarray(row, dtype=float).reshape(MAX_D + 1, LONGEST + 1, -1)
+    out = np.zeros((MAX_D + 1, LONGEST + 1, LONGEST + 1))
+    for d in range(MAX_D + 1):
+        for k in range(1, LONGEST + 1):
+            out[d, k, :k + 1] = _solve_last(_untri(rows[d, k], k + 2))
+    return out.ravel()
+
+
+def _start_products(y, at, begins, upto, n, mean, coefs):
+    """Per order: products of (1 if d = 0, lags, lagged errors of the first autoregression, value)."""
+    coefs = np.asarray(coefs, dtype=float).reshape(MAX_D + 1, LONGEST + 1, -1)
+    out = np.zeros((len(ORDERS), (ORDER + 1) * (ORDER + 2) // 2))
+    rough = {}
+    for i, (p, d, q) in enumerate(ORDERS):
+        w, k = np.diff(y) if d else y - mean, _long_lags(p, q, n)
+        if (d, k) not in rough:
+            e = np.zeros(len(w))
+            where = np.arange(max(k, k + 1 - at), len(w))
+            e[where] = w[where] - coefs[d, k, 0] - sum(coefs[d, k, j] * w[where - j] for j in range(1, k + 1))
+            rough[d, k] = e
+        e, rows = rough[d, k], _own_rows(w, k + q if q else p, d, at, begins, upto)
+        if len(rows):
+            found = _tri([*([np.ones(len(rows))] if d == 0 else []), *[w[rows - j] for j in range(1, p + 1)], *[e[rows - j] for j in range(1, q + 1)], w[rows]])
+            out[i, :len(found)] = found
+    return out.ravel()
+
+
+def _fresh_state(row, mean):
+    """The state before the first pass: every order at its start values, as in ``_arma_start``."""
+    rows, start = np.asarray(row, dtype=float).reshape(len(ORDERS), -1), np.zeros((len(ORDERS), ORDER))
+    for i, (p, d, q) in enumerate(ORDERS):
+        c = int(d == 0)
+        beta = _solve_last(_untri(rows[i], c + p + q + 1))
+        start[i, 1:1 + p], start[i, MAX_P + 1:MAX_P + 1 + q] = beta[c:c + p], beta[c + p:]
+        start[i, 0] = beta[0] + mean * (1 - start[i, 1:1 + p].sum()) if c else 0.0
+    state = np.zeros((len(ORDERS), STATE))
+    state[:, PLACE["trial"]] = state[:, PLACE["theta"]] = _admissible(start)
+    state[:, PLACE["best"]], state[:, PLACE["damp"]], state[:, PLACE["live"]] = np.inf, 5e-3, 1.0
+    return state.ravel()
+
+
+def _stretch_sums(ys, ats, owns, upto, trials, live):
+    """Of every stretch: SUMS numbers per order at its parameters on trial, over its own periods (zero where not ``live``)."""
+    out = np.zeros((len(ys), len(ORDERS), SUMS))
+    for d in range(MAX_D + 1):
+        jobs = [(i, k) for i in range(len(ys)) for k, o in enumerate(ORDERS) if o[1] == d and live[i, k]]
+        jobs.sort(key=lambda j: (ORDERS[j[1]][2] > 0, len(ys[j[0]])))       # orders without errors need no recursion
+        start = 0
+        while start < len(jobs):
+            stop, longest = start, 0
+            while stop < len(jobs) and (stop + 1 - start) * max(longest, len(ys[jobs[stop][0]])) <= BATCH_POINTS or stop == start:
+                longest = max(longest, len(ys[jobs[stop][0]]))
+                stop += 1
+            rows, orders = [i for i, _ in jobs[start:stop]], [k for _, k in jobs[start:stop]]
+            w = np.zeros((len(rows), longest - d))
+            for r, i in enumerate(rows):
+                w[r, :len(ys[i]) - d] = np.diff(ys[i], d) if d else ys[i]
+            at = np.array([ats[i] for i in rows])[:, None] + np.arange(w.shape[1])[None, :] + d         # period of each place
+            used = (at >= np.maximum([owns[i] for i in rows], MAX_P + MAX_D + 1)[:, None]) & (at <= np.array([upto[i] for i in rows])[:, None])
+            theta, p, free = trials[rows, orders], np.array([ORDERS[k][0] for k in orders]), _free([ORDERS[k] for k in orders])
+            e = np.where(used, _arma_errors(w, theta, p), 0.0)
+            jac = np.zeros((*w.shape, ORDER))
+            step = 1e-6 * np.maximum(np.abs(theta), 0.1)
+            for k in range(ORDER):
+                who = np.flatnonzero(free[:, k])
+                if len(who):
+                    moved = theta[who].copy()
+                    moved[:, k] += step[who, k]
+                    jac[who, :, k] = (np.where(used[who], _arma_errors(w[who], moved, p[who]), 0.0) - e[who]) / step[who, k:k + 1]
+            out[rows, orders, 0] = np.einsum("rt,rt->r", e, e)
+            out[rows, orders, 1:1 + ORDER] = np.einsum("rtk,rt->rk", jac, e)
+            out[rows, orders, 1 + ORDER:] = np.einsum("rtk,rtl->rkl", jac, jac)[:, UPPER[0], UPPER[1]]
+            start = stop
+    return out.reshape(len(ys), -1)
+
+
+def _next_state(state, sums):
+    """A damped Gauss-Newton step of every open order: the trial is taken if it lowers the squared errors, else damped more."""
+    if not len(sums):           # a series that has ended
+        return state
+    state, sums = np.array(state, dtype=float).reshape(len(ORDERS), STATE), np.asarray(sums, dtype=float).reshape(len(ORDERS), SUMS)
+    part = {k: state[:, at] for k, at in PLACE.items()}
+    live, best, free = part["live"][:, 0] > 0, part["best"][:, 0].copy(), _free(ORDERS)
+    good = live & (sums[:, 0] < best)
+    gained = good & (np.isinf(best) | (best - sums[:, 0] > 1e-8 * best))
+    part["theta"][good], part["best"][good, 0] = part["trial"][good], sums[good, 0]
+    part["jte"][good], part["jtj"][good] = sums[good, 1:1 + ORDER], sums[good, 1 + ORDER:]
+    part["damp"][good] /= 5
+    part["steps"][good] += 1
+    part["fails"][good] = 0
+    worse = live & ~good
+    part["damp"][worse] *= 8
+    part["fails"][worse] += 1
+    part["live"][(good & ~gained) | (part["steps"][:, 0] > 30) | (part["fails"][:, 0] >= 6)] = 0.0
+    who = np.flatnonzero(part["live"][:, 0] > 0)
+    normal = np.zeros((len(who), ORDER, ORDER))
+    normal[:, UPPER[0], UPPER[1]] = normal[:, UPPER[1], UPPER[0]] = part["jtj"][who]
+    every = range(ORDER)
+    normal[:, every, every] += np.where(free[who], part["damp"][who] * np.maximum(normal[:, every, every], 1e-12), 1.0)
+    part["trial"][who] = _admissible(part["theta"][who] - _solved(normal, part["jte"][who])) if len(who) else part["trial"][who]
+    return state.ravel()
+
+
+def _stretch_ends(y, state, n, horizon):
+    """The fits of all orders, with forecasts from the errors at the end of the last stretch."""
+    state, out = np.asarray(state, dtype=float).reshape(len(ORDERS), STATE), []
+    used = n - MAX_P - MAX_D
+    for (p, d, q), row in zip(ORDERS, state):
+        theta, sigma2 = row[PLACE["theta"]], max(float(row[PLACE["best"]][0]) / used, 1e-300)
+        w = np.diff(y, d) if d else y
+        e = _arma_errors(w[None, :].copy(), theta[None, :], np.array([p]))[0]
+        aic = used * (np.log(2 * np.pi * sigma2) + 1) + 2 * (p + q + (d == 0) + 1)
+        path, spread = _forecast_path(y, w, e, theta, p, d, q, sigma2, horizon)
+        ok = np.isfinite(aic) and np.all(np.isfinite(path))
+        out.append({"aic": aic, "rmse": np.sqrt(sigma2), "ar1": theta[1] if p else 0.0, "path": list(path), "spread": list(spread)} if ok
+                   else dict.fromkeys(FIT_COLUMNS))
+    return out
+
+
+def _stretch_fits(series: DataFrame, by: list[str], periods: int, max_series_rows: int | None, size: int, before: int, tasks: int) -> DataFrame:
+    """One row per (series, order) of series (by, _n, _t, _y) of any length, by conditional least squares as in ``_fit_batch``.
 
-    All six orders of a series come from one aggregate of the 5x5 products of (1, z, z1, z2, z3);
-    the small solves run in a pandas UDF over one row per (series, d).
+    The start values are those of ``_arma_start`` by products of lags. A series is cut into stretches. The error recursion forgets where it started, so that each stretch makes its errors from
+    ``before`` earlier periods, whatever the others do. A pass adds up squared errors and slopes of all open orders over
+    all stretches; the step from them is taken on one row per series.
     """
-    mean = materialise(group_agg(series, by, F.avg("_y").alias("_mean")))      # products of centred values keep precision
-    series = attach(series, mean, by).select(*by, "_t", (F.col("_y") - F.col("_mean")).alias("_y"))
-    lag = Series.of(series, by, "_t", max_series_rows).lag(**{f"_l{k}": ("_y", k) for k in range(1, MAX_P + 2)}).rows()
-    lag = lag.where(F.col(f"_l{MAX_P + 1}").isNotNull())
-    level = [F.col("_y"), *[F.col(f"_l{k}") for k in range(1, MAX_P + 2)]]
-    views = F.array(*[F.struct(F.lit(d).alias("d"), *[
-        (level[k] - level[k + 1] if d else level[k]).alias(f"z{k}") for k in range(MAX_P + 1)]) for d in (0, 1)])
-    long = lag.select(*by, "_t", F.explode(views).alias("_v")).select(*by, "_t", "_v.*")
-    z = [F.lit(1.0), *[F.col(f"z{k}") for k in range(MAX_P + 1)]]
-    pairs = [F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]
-    recent = F.max_by(F.array(*[f"z{k}" for k in range(MAX_P + 1)]), "_t")
-    end = attach(long, group_agg(lag, by, F.max_by("_y", "_t").alias("_end")), by)
-    sums = end.groupBy(*by, "d").agg(F.array(*pairs).alias("_m"), recent.alias("_z"), F.any_value("_end").alias("_end"))
-    jobs = sums.withColumn("p", F.explode(F.array(*[F.lit(p) for p in range(1, MAX_P + 1)])))
-    solve = F.pandas_udf(_ar_solver(periods), FIT_TYPE)
-    fits = attach(jobs.select(*by, F.col("p"), F.col("d"), F.lit(0).alias("q"), solve("_m", "_z", "_end", "p", "d").alias("_f")), mean, by)
-    return fits.select(*by, "p", "d", "q", "_f.aic", "_f.rmse", "_f.ar1", F.transform("_f.path", lambda v: v + F.col("_mean")).alias("path"),
-                       "_f.spread", F.lit("ar_moments").alias("engine"))
-
-
-def _ar_solver(horizon):
-    size = MAX_P + 2
-
-    def solve(m: pd.Series, z: pd.Series, end: pd.Series, p: pd.Series, d: pd.Series) -> pd.DataFrame:
-        out = []
-        for mi, zi, last, pi, di in zip(m, z, end, p, d):
-            full = np.zeros((size, size))
-            full[np.triu_indices(size)] = mi
-            full = full + np.triu(full, 1).T
-            use = ([0] if di == 0 else []) + list(range(2, 2 + pi))
-            beta = np.linalg.lstsq(full[np.ix_(use, use)], full[use, 1], rcond=None)[0]
-            n = full[0, 0]
-            sse = max(full[1, 1] - beta @ full[use, 1], 1e-300)
-            const, ar = (beta[0], beta[1:]) if di == 0 else (0.0, beta)
-            k = len(beta) + 1
-            hist, path = list(zi[::-1]), []
-            for _ in range(horizon):
-                hist.append(const + sum(a * hist[-i] for i, a in enumerate(ar, 1)))
-                path.append(hist[-1])
-            path = last + np.cumsum(path) if di else np.asarray(path)
-            spread = np.sqrt(sse / n * np.cumsum(_psi_weights(ar, [], int(di), horizon) ** 2))
-            out.append((n * (np.log(2 * np.pi * sse / n) + 1) + 2 * k, np.sqrt(sse / n), ar[0],
-                        list(path), list(spread)))
-        return pd.DataFrame(out, columns=FIT_COLUMNS)
-    solve.__annotations__ = {"m": pd.Series, "z": pd.Series, "end": pd.Series, "p": pd.Series, "d": pd.Series,
-                             "return": pd.DataFrame}
-    return solve
+    keys = by or ["_all"]
+    series = series if by else series.withColumn("_all", F.lit(0))
+    placed = Series.of(series, keys, "_t", max_series_rows).number("_i").rows()
+    first, last = F.floor((F.col("_i") - 1) / size), F.floor((F.col("_n") - 1) / size)
+    dealt = placed.select(*keys, "_n", "_i", "_y", F.explode(F.sequence(first, F.least(last, F.floor((F.col("_i") - 1 + before + MAX_P + MAX_D) / size)))).alias("_part"))
+    arrays = dealt.groupBy(*keys, "_n", "_part").agg(F.min("_i").alias("_at"), F.transform(
+        F.sort_array(F.collect_list(F.struct("_i", "_y"))), lambda r: r["_y"]).alias("_ys"))
+    # The fits cost far more than their few bytes suggest, so the number of tasks is set by hand.
+    arrays = materialise(arrays.repartition(tasks, *keys, "_part"))
+    own, upto = F.col("_part") * size + 1, F.least((F.col("_part") + 1) * size, F.col("_n"))
+
+    def added(numbers: DataFrame) -> DataFrame:
+        """Numbers of all stretches of a series, summed place by place."""
+        places = numbers.select(*keys, F.posexplode("_v").alias("_k", "_s")).groupBy(*keys, "_k").agg(F.sum("_s").alias("_s"))
+        return places.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_s"))), lambda r: r["_s"]).alias("_v"))
+
+    def typed(fn, result):
+        code = fn.__code__
+        fn.__annotations__ = dict.fromkeys(code.co_varnames[:code.co_argcount + bool(code.co_flags & 4)], pd.Series) | {"return": pd.Series}
+        return F.pandas_udf(fn, result)
+
+    def each(fn):
+        return typed(lambda *rows: pd.Series([fn(*(np.asarray(x, dtype=float) if isinstance(x, (list, np.ndarray)) else x for x in r)) for r in zip(*rows)]), "array<double>")
+
+    mean = materialise(placed.groupBy(*keys).agg(F.avg("_y").alias("_mean")))
+    known = attach(arrays, mean, keys)
+    rough = materialise(added(known.select(*keys, each(_long_products)("_ys", "_at", own, upto, "_n", "_mean").alias("_v"))).select(*keys, each(_long_coefs)("_v").alias("_coefs")))
+    known = attach(known, rough, keys)
+    begun = added(known.select(*keys, each(_start_products)("_ys", "_at", own, upto, "_n", "_mean", "_coefs").alias("_v")))
+    state = materialise(attach(begun, mean, keys).select(*keys, each(_fresh_state)("_v", "_mean").alias("_state")))
+
+    def sums(ys, at, begins, ends, state):
+        each = np.stack(list(state)).reshape(len(ys), len(ORDERS), STATE)
+        found = _stretch_sums([np.asarray(y, dtype=float) for y in ys], list(at), list(begins), list(ends), each[:, :, PLACE["trial"]], each[:, :, PLACE["live"]][:, :, 0] > 0)
+        return pd.Series(list(found))
+
+    sums = typed(sums, "array<double>")
+    step = each(_next_state)
+    open_order = F.exists(F.sequence(F.lit(0), F.lit(len(ORDERS) - 1)), lambda k: F.get("_state", k * STATE + PLACE["live"].start) > 0)
+    for _ in range(FIT_PASSES):
+        going = state.where(open_order)
+        if not going.limit(1).count():
+            break
+        totals = added(attach(arrays, going, keys).select(*keys, sums("_ys", "_at", own, upto, "_state").alias("_v")))
+        state = materialise(state.join(totals, keys, "left").select(*keys, F.when(F.col("_v").isNull(), F.col("_state")).otherwise(
+            step("_state", F.coalesce("_v", F.array()))).alias("_state")))
+
+    def ended(ys: pd.Series, n: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series([_stretch_ends(np.asarray(y, dtype=float), s, int(m), periods) for y, m, s in zip(ys, n, state)])
+
+    tail = arrays.where(F.col("_part") == last).join(state, keys)
+    fits = tail.select(*by, F.posexplode(F.pandas_udf(ended, f"array<struct<{FIT_TYPE.replace(' ', ':').replace(',:', ',')}>>")("_ys", "_n", "_state")).alias("_k", "_f"))
+    orders = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("pdq", o)]) for o in ORDERS])
+    return materialise(fits.withColumn("_o", F.get(orders, F.col("_k"))).select(*by, "_o.p", "_o.d", "_o.q", "_f.*", F.lit("css").alias("engine")))
 
 
 MODELS = {"arima": forecast_arima, "linear_trend": forecast_linear_trend,
