@@ -61,7 +61,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     # ``last`` is the character that the key leaves out (none in the rotation itself); ``first`` says that it begins a run.
     whole = F.transform(F.sequence(F.lit(0), size), lambda i: F.struct(
         short(rotation(i)).alias("key"), F.lit(None).cast("string").alias("last"), F.lit(True).alias("first")))
-    without = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(
+    without = F.transform(F.filter(F.sequence(F.lit(0), size), lambda i: i > 0), lambda i: F.struct(
         short(F.concat(F.substring(word, i + 1, size), F.lit(END), F.substring(word, F.lit(1), i - 1))).alias("key"),
         F.substring(word, i, F.lit(1)).alias("last"),
         ((i == 1) | (F.substring(word, i, F.lit(1)) != F.substring(word, i - 1, F.lit(1)))).alias("first")))
