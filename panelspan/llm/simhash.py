@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, lower_words, map_batches, slices, small_batches, strings, written
+from .common import arrow_schema, components, discard, lower_words, map_batches, small_batches, strings, written
 
 HOT = 4096
 SEED = 42
@@ -168,10 +168,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
     return out.select(id_column, "fp", F.when(F.col(id_column).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# --- near copies by the similarity of their shingles, with fingerprints as the search ---------------------------
+# --- near copies by the similarity of their shingles, with fingerprints as the first search --------------------
 
-SIMILAR, SHINGLE, SEARCH_RADIUS = 0.8, 5, 6
-ORDER_SAMPLE, COMMON_SHINGLES, COMMON_FROM, CHUNK = 20_000, 500_000, 4, 1024
+SIMILAR, SHINGLE, SEARCH_RADIUS = 0.8, 5, 4
+SLOTS = 1 << 22             # counters of shingles, and
+SLOT_BLOCK = 1 << 14        # how many of them travel in one row
+CHUNK = 1024                # documents of one shingle that meet in one group
+SIGNS, SIGNS_SHARED = 32, 6     # two sets of similarity 0.8 share fewer of their 32 smallest hashes with probability 1e-13
 
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
@@ -185,53 +188,99 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of hashes, each counted once; 0 of the empty set."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        set_bits += np.unpackbits(s[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > len(s), bitorder="little").view(np.uint64)[0])
+
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SIGNS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signs(s: np.ndarray) -> bytes:
+    """One byte of the smallest hash of the set under each of SIGNS hashes; two sets share a byte about as often as they are similar."""
+    least = np.full(SIGNS, np.iinfo(np.uint64).max)
+    mixed = s ^ (s >> np.uint64(31))
+    for at in range(0, len(s), 1 << 14):
+        least = np.minimum(least, (mixed[at:at + (1 << 14), None] * _FACTORS[0]).min(0))
+    return ((least * _FACTORS[1]) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, radius: int = SEARCH_RADIUS,
                       id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) of the documents whose component over links of shingle similarity has other members.
 
     Two documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-    ``similarity``. Equal sets are linked through one representative each. Pairs of SimHash fingerprints of the set of words
-    within ``radius`` bits are checked first and join most near copies with a number of links that grows with their number.
-    As a failed check leaves other pairs of a bucket open, and an added part moves more than ``radius`` bits, all pairs of
-    documents that this has not joined are then searched by their rarest shingles (``_unmet``), so no similar pair is
-    missed. Rows with a null id are left out; texts without words are copies of each other.
+    ``similarity`` (0.8 or more). Equal sets go through one representative each, which stands for them to the end. Pairs of
+    SimHash fingerprints of the sets within ``radius`` bits are checked first. Then every set is entered under its rarest
+    shingles (``_entries``), where any two similar sets meet: first with the smallest document there only, which joins a
+    text and its many copies by one link each, and then with all documents that are still in other components. Every link
+    is checked by the sets themselves. Rows with a null id are left out, rows that repeat an id are one document, and texts
+    without words are copies of each other.
     """
+    if similarity < SIMILAR:
+        raise ValueError(f"the search is made for similarities of at least {SIMILAR}")
     small_batches(docs.sparkSession)
-    schema = arrow_schema("id long, content binary, fp long")
+    schema = arrow_schema("id long, content binary, fp long, signs binary")
 
     def prints(batch):
         import hashlib
-        words = [lower_words(t) for t in strings(batch.column(1))]
-        content = [hashlib.md5(shingle_set(w, shingle).tobytes()).digest() for w in words]
-        fps = np.array([fingerprint_of(sorted(set(w)), 1) for w in words], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(fps)], schema=schema)
-
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_column)
-    own = written(map_batches(rows, prints, "id long, content binary, fp long"))
-    copies = written(own.groupBy("content", "fp").agg(F.min("id").alias("rep")))
-    equal = own.join(copies, ["content", "fp"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    distinct = written(copies.groupBy("fp").agg(F.min("rep").alias("id")))
-    alike = copies.join(distinct, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    near = _similar(near_links(distinct, radius).unionByName(alike).distinct(), rows, similarity, shingle)
-    links = written(near.unionByName(equal))
+        sets = [shingle_set(lower_words(t), shingle) for t in strings(batch.column(1))]
+        columns = [[hashlib.md5(s.tobytes()).digest() for s in sets], [set_fingerprint(s) for s in sets], [signs(s) for s in sets]]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), pa.array(np.array(columns[1], np.uint64).view(np.int64)),
+                                           pa.array(columns[2], pa.binary())], schema=schema)
+
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    own = written(map_batches(rows, prints, "id long, content binary, fp long, signs binary"))
+    copies = written(own.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("signs").alias("signs")))
+    member = written(own.select("id", "content").join(copies.select("content", "rep", "n"), "content").select("id", "rep", "n").distinct())
+    # An id that repeats with other texts ties their representatives together.
+    several = member.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("m")).where("b < m")
+    tied = written(member.join(several, "id").where("rep > b").select(F.col("rep").alias("a"), "b"))
+    marks = copies.select(F.col("rep").alias("id"), "signs")
+
+    near = written(copies.groupBy("fp").agg(F.min("rep").alias("id")))
+    close = near_links(near, radius).unionByName(copies.join(near, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b"))
+    links = _checked(close, marks, rows, similarity, shingle).unionByName(tied)
+    met = written(_met_rows(_entries(rows.join(member.where("id <> rep").select("id").distinct(), "id", "left_anti"), similarity, shingle), similarity))
+    discard(near)
+    links = written(links.unionByName(_checked(met.where("b IS NOT NULL").select(F.col("id").alias("a"), "b"), marks, rows, similarity, shingle)))
     joined = written(components(links))
-    reps = copies.select(F.col("rep").alias("id")).distinct()
-    known = joined.join(reps.withColumn("first", F.lit(True)), "id", "left")
-    texts = rows.join(known, "id", "left").where("component IS NULL OR first").select("id", text_column, "component")
-    late = _similar(_unmet(texts, reps.count(), similarity, shingle), rows, similarity, shingle)
-    return components(links.unionByName(late)).select("id", F.col("component").alias("component_id"))
+    late = _checked(_apart(met.where("b IS NULL").drop("b"), joined, similarity), marks, rows, similarity, shingle)
+    final = written(components(links.unionByName(late)))
+    for table in (joined, met, links, tied, own):
+        discard(table)
+    known = final.select(F.col("id").alias("rep"), "component")
+    out = member.join(known, "rep", "left").where("component IS NOT NULL OR n > 1")
+    return out.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def _checked(candidates: DataFrame, marks: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The candidates (a, b) whose shingle sets are similar. Signs leave few pairs whose sets must travel."""
+    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (marks.select(F.col("id").alias(c), F.col("signs").alias(f"s{c}")) for c in "ab")
+
+    def alike(batch):
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIGNS) for i in (2, 3))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= SIGNS_SHARED))
+
+    left = written(map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), alike, "a long, b long"))
+    out = written(_similar(left, rows, similarity, shingle))
+    discard(left)
+    return out
 
 
 def _similar(candidates: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The candidates (a, b) with texts in ``rows`` (id, text) whose shingle sets are similar."""
-    candidates = written(candidates)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def shingles(batch):
         sets = [shingle_set(lower_words(t), shingle).tobytes() for t in strings(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    sets = written(map_batches(rows.join(wanted, "id"), shingles, "id long, s binary").distinct())
+    sets = map_batches(rows.join(wanted, "id"), shingles, "id long, s binary").distinct()
     left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
 
     def linked(batch):
@@ -245,42 +294,70 @@ def _similar(candidates: DataFrame, rows: DataFrame, similarity: float, shingle:
     return map_batches(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), linked, "a long, b long")
 
 
-def _unmet(texts: DataFrame, n_texts: int, similarity: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) of documents of different components that can be similar; every similar pair is among them.
+def shingle_counts(rows: DataFrame, shingle: int, slots: int = SLOTS) -> np.ndarray:
+    """How many documents of ``rows`` (id, text) hold a shingle, counted for ALL shingles in a table of fixed size.
 
-    In any one order of all shingles two similar sets share one of their first ``n - similarity * n + 1`` (Chaudhuri, Ganti
-    and Kaushik 2006), and the places of the first shared one bound what they share (Xiao et al. 2008). The order is by the
-    count in a sample of documents and then by hash: it keeps common passages out of the buckets, but any order finds all
-    pairs. Buckets that the sample shows to be crowded are dealt as pairs of chunks. ``texts`` has id, text, component.
+    A shingle's first bits name its counter, which it shares with others, so a counter is never too small. Each task counts
+    its rows; Spark adds up the blocks of the table.
     """
-    share = max(1, -(-n_texts // ORDER_SAMPLE))
-
-    def counted(batch):
-        sets = [shingle_set(lower_words(t), shingle) for t in strings(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
-
-    sample = texts.where(F.pmod(F.xxhash64(F.col("id")), F.lit(share)) == 0).select(texts.columns[1])
-    top = map_batches(sample, counted, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_FROM)
-    top = top.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toPandas()
-    common = top.s.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    common, often = common[order], top.n.to_numpy(np.int64)[order]
-    ddl = "tok long, part int, component long, id long, n int, at int"
+    import zlib
+    shift, block = np.uint64(64 - slots.bit_length() + 1), min(SLOT_BLOCK, slots)
+    ddl = "block int, counts binary"
     schema = arrow_schema(ddl)
 
-    def prefixes(batch):
+    def packed(at: list[int], counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())], schema=schema)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for text in strings(batch.column(0)):
+                np.add.at(total, (shingle_set(lower_words(text), shingle) >> shift).astype(np.int64), 1)
+        parts = total.reshape(-1, block)
+        some = np.flatnonzero(parts.any(1))
+        if len(some):
+            yield packed(some.tolist(), parts[some])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}       # the blocks of one task: at most the table
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now = np.frombuffer(zlib.decompress(counts), np.int64)
+                total[at] = total[at] + now if at in total else now
+        if total:
+            yield packed(list(total), np.stack(list(total.values())))
+
+    out = np.zeros((slots // block, block), np.int64)
+    for r in rows.select("text").mapInArrow(counted, ddl).repartition("block").mapInArrow(added, ddl).collect():    # slots / block rows
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+ENTRY = "tok long, part int, id long, n int, at int"
+
+
+def _entries(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``rows`` (id, text) under their rarest shingles: any two similar sets have one of them in common.
+
+    In any one order of all shingles two similar sets share one of their first ``n - similarity * n + 1`` (Chaudhuri, Ganti
+    and Kaushik 2006). The order is by the counts of all documents and then by hash, so common passages come last. A
+    shingle that stands out as more frequent than ``CHUNK`` documents is cut into parts, and pairs of parts meet.
+    """
+    counts = shingle_counts(rows, shingle)
+    level = float(np.median(counts))                    # what other shingles add to a counter
+    level += 8 * np.sqrt(level)
+    table = rows.sparkSession.sparkContext.broadcast(counts)
+    shift, chunk, schema = np.uint64(64 - SLOTS.bit_length() + 1), CHUNK, arrow_schema(ENTRY)
+
+    def entered(batch):
         out: list[list[np.ndarray]] = []
-        held = [i if c is None else c for i, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        for i, text, c in zip(batch.column(0).to_pylist(), strings(batch.column(1)), held, strict=True):
+        for i, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
             s = shingle_set(lower_words(text), shingle)
             if not len(s):
                 continue
-            count = np.zeros(len(s), np.int64)
-            if len(common):
-                place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                count = np.where(common[place] == s, often[place], 0)
-            first = np.lexsort((s, count))[:len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1]
-            parts = 1 + count[first] * share // CHUNK
+            often = table.value[(s >> shift).astype(np.int64)].astype(np.int64)
+            first = np.lexsort((s, often))[:len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1]
+            parts = 1 + np.maximum(often[first] - int(level), 0) // chunk
             part, at = np.zeros(len(first), np.int64), np.arange(len(first))
             if (parts > 1).any():
                 mine = (i * 0x9E3779B1 & 0xFFFFFFFF) % parts
@@ -289,31 +366,80 @@ def _unmet(texts: DataFrame, n_texts: int, similarity: float, shingle: int) -> D
                 own = mine[at]
                 part = np.minimum(own, other) * parts[at] + np.maximum(own, other)
             m = len(at)
-            out.append([s[first][at].view(np.int64), part, np.full(m, c, np.int64), np.full(m, i, np.int64), np.full(m, len(s)), at])
+            out.append([s[first][at].view(np.int64), part, np.full(m, i, np.int64), np.full(m, len(s)), at])
         if not out:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = map_batches(texts, prefixes, ddl).repartition("tok", "part").sortWithinPartitions("tok", "part", "component")
+    return map_batches(rows, entered, ENTRY)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of sorted batches as numbers, never with a bucket (first two columns) cut in two."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+        now = now if held is None else np.concatenate([held, now])
+        ends = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(1))
+        cut = int(ends[-1]) + 1 if len(ends) else 0
+        held = now[cut:]
+        if cut:
+            yield now[:cut]
+    if held is not None and len(held):
+        yield held
+
+
+def _met_rows(entries: DataFrame, similarity: float) -> DataFrame:
+    """Entries of buckets with several documents, and for each a candidate: the bucket's smallest document as ``b``.
+
+    Rows are entries (b is null) or candidates (id, b). Most shingles belong to one document and end here.
+    """
+    ddl = f"{ENTRY}, b long"
+    schema = arrow_schema(ddl)
+
+    def table(rows: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.array(rows[:, k]).cast(schema.field(k).type) for k in range(5)]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64()) if b is None else pa.array(b)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_buckets(batches):
+            begins = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1])
+            size = np.diff(np.append(begins, len(rows)))
+            first = np.repeat(begins, size)
+            several = np.repeat(size, size) > 1
+            hub = rows[first]
+            fine = several & (rows[:, 2] != hub[:, 2]) & _possible(rows[:, 3], rows[:, 4], hub[:, 3], hub[:, 4], similarity)
+            if several.any():
+                yield table(rows[several], None)
+            if fine.any():
+                yield table(rows[fine], hub[fine, 2])
+
+    return entries.repartition("tok", "part").sortWithinPartitions("tok", "part", "id").mapInArrow(run, ddl)
+
+
+def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar that share the one at these places and only later ones (Xiao et al. 2008)."""
+    most = np.minimum(n - at, m - to)
+    return most * (1 + similarity) >= similarity * (n + m) - 1e-6
+
+
+def _apart(entries: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of entries in one bucket whose documents are of different components and can be similar."""
     pairs = arrow_schema("a long, b long")
+    known = joined.select("id", "component")
+    dealt = entries.join(known, "id", "left").select("tok", "part", F.coalesce("component", "id").alias("component"), "id", "n", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 6), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)])
-            ends = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(1))
-            cut = int(ends[-1]) + 1 if len(ends) else 0
-            held = now[cut:]
-            yield from _met(now[:cut], similarity, pairs)
-        yield from _met(held, similarity, pairs)
+        for rows in _whole_buckets(batches):
+            yield from _met(rows, similarity, pairs)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("tok", "part").sortWithinPartitions("tok", "part", "component").mapInArrow(run, "a long, b long")
 
 
 def _met(rows: np.ndarray, similarity: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole buckets (columns as in ``_unmet``, sorted by bucket and component) that pass the bounds of sizes and places."""
+    """Pairs of whole buckets (columns as in ``_apart``, sorted by bucket and component) that pass the bounds of sizes and places."""
     if len(rows) < 2:
         return
     bucket = np.append(np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1, len(rows))
@@ -328,8 +454,7 @@ def _met(rows: np.ndarray, similarity: float, schema: pa.Schema) -> Iterator[pa.
         i = np.repeat(every[at:till], n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
         x, y = rows[i], rows[j]
-        most = np.minimum(x[:, 4] - x[:, 5], y[:, 4] - y[:, 5])      # this shingle and all after it
-        fine = (most * (1 + similarity) >= similarity * (x[:, 4] + y[:, 4]) - 1e-6) & (x[:, 3] != y[:, 3])
+        fine = _possible(x[:, 4], x[:, 5], y[:, 4], y[:, 5], similarity) & (x[:, 3] != y[:, 3])
         if fine.any():
             a, b = x[fine, 3], y[fine, 3]
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
