@@ -86,7 +86,7 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -103,8 +103,23 @@ class Words:
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the offset of each text's first id."""
+        """All ids of the texts in a row, and the offset of each text's first id.
+
+        A text that may hold a special token, which the tokenizer finds before anything else, is encoded as a whole.
+        """
         low = pc.ascii_lower(texts)
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(low, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            ids, bounds = self._by_words(pc.if_else(pa.array(whole), "", low))
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for i in np.flatnonzero(whole).tolist():
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self._by_words(low)
+
+    def _by_words(self, low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for blank in "\n\t\r":
             low = pc.replace_substring(low, blank, " ")
         lists = pc.split_pattern(low, " ")

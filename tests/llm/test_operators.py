@@ -28,7 +28,7 @@ def texts():
     near = [base[0].replace(base[0].split()[40], "changed"), base[1] + " more", base[2].upper()]
     shared = words(rng, 55)
     return [*base, *near, base[3], base[3], None, "", " \n\t", "x", words(rng, 20000), words(rng, 10) + " " + shared, shared + " " + words(rng, 12),
-            "same same " * 300, "first line here\nsecond line here\nthird", "zero\nfirst line here\n\n  second line here \nlast", "<|endoftext|> \x01 it's 42's"]
+            "same same " * 300, "first line here\nsecond line here\nthird", "zero\nfirst line here\n\n  second line here \nlast", "<|endoftext|> \x01 it's 42's", "a <|endoftext|> b<|startoftext|>C <|ENDOFTEXT|>"]
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,6 @@ def same_ids(rows, docs, column="doc_id"):
 def test_pack(docs):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = pack.pack(docs, tokenizer_path(), window=128, batch_tokens=3000).collect()
     want = Counter((r.doc_id, tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 1])) for r in docs.select("doc_id", "text").collect())
     places = {}
@@ -77,6 +76,10 @@ def test_pack(docs):
     assert sum(r.length for r in got) / (128 * len(places)) > 0.97
 
 
+def test_pack_of_an_empty_table(docs):
+    assert pack.pack(docs.limit(0), tokenizer_path()).collect() == []
+
+
 def test_best_fit_decreasing_takes_the_tightest_window():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 400)
