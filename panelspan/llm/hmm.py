@@ -5,9 +5,8 @@ task holds is bounded while word counts grow with the corpus. A word with at lea
 class of its own (there cannot be more than ``COMMON`` of them); other words share classes by a hash of their last bytes. A
 class of rare words gives one unseen word the same smoothed share as the base model does, so all probabilities add up to 1.
 
-Counts of words come from block look-ups. A training round reads the class sequences once; each task sums the expected
-counts of its rows and an aggregate adds them up. Training cuts long texts into pieces of ``PIECE`` tokens; scoring runs
-the scaled forward recursion over whole texts.
+Counts of words come from block look-ups. A training round reads all class sequences once, whole; each task sums the expected
+counts of its rows and an aggregate adds them up. Scoring runs the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ from .common import arrow_schema, map_batches, small_batches, written
 
 STATES, COMMON, RARE = 8, 2048, 2046
 CLASSES = 1 + COMMON + RARE         # the end of a text is class 0
-PIECE, WARM_ROUNDS, ROUNDS, WARM_SHARE = 256, 8, 4, 16
+ROUNDS = 6
+SEGMENT, BATCH_TOKENS, TASK_TOKENS = 1024, 600_000, 3_000_000
 
 
 def coded_words(data: bytes, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -120,36 +120,55 @@ def common_words(answers: DataFrame, total: int) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in answers.where("block < 0").select("payload").mapInArrow(run, "word binary, n long").collect()}
 
 
-def expected(classes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of first states, moves and emitted classes over sequences, and their log likelihood (natural)."""
-    k = len(start)
+def expected(classes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, segment: int = SEGMENT,
+             kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of first states, moves and emitted classes over whole sequences, and their log likelihood (natural).
+
+    Forward messages are kept at the beginning of every ``segment`` steps only and made again when the backward recursion
+    comes to them, so a very long sequence takes no more room than a segment and one message for each.
+    """
+    k, given, start, move = len(start), np.ascontiguousarray(emit.T, kind), start.astype(kind), move.astype(kind)
     n = np.array([len(c) for c in classes])
     order = np.argsort(-n, kind="stable")
     n = n[order]
-    steps = int(n[0])
-    active = np.searchsorted(-n, -np.arange(1, steps + 1), "right")
-    observed = np.zeros((steps, len(n)), np.int64)
-    for row, i in enumerate(order):
-        observed[:n[row], row] = classes[i]
-    given = emit.T
-    alpha, scale = np.zeros((steps, len(n), k)), np.ones((steps, len(n)))
-    for t in range(steps):
+    flat, steps = np.concatenate([classes[i] for i in order]), int(n[0])
+    first = np.concatenate([[0], np.cumsum(n)])[:-1]
+    active = np.searchsorted(-n, -np.arange(1, steps + 1), "right").tolist()
+
+    def onward(a: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = active[t]
-        a = (start if t == 0 else alpha[t - 1, :m] @ move) * given[observed[t, :m]]
-        scale[t, :m] = a.sum(1)
-        alpha[t, :m] = a / scale[t, :m, None]
-    moves, beta, gamma = np.zeros((k, k)), np.ones((len(n), k)), alpha
-    for t in range(steps - 2, -1, -1):
-        m = active[t + 1]
-        ahead = given[observed[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-        moves += alpha[t, :m].T @ ahead
-        gamma[t + 1, :m] *= beta[:m]
-        beta[:m] = ahead @ move.T
-    gamma[0] *= beta
-    seen = np.arange(len(n))[None, :] < active[:, None]
-    at, weight = observed[seen], gamma[seen]
-    emitted = np.stack([np.bincount(at, weight[:, s], emit.shape[1]) for s in range(k)])
-    return gamma[0].sum(0), moves * move, emitted, float(np.log(scale[seen]).sum())
+        seen = given[flat[first[:m] + t]]
+        a = (start if t == 0 else a[:m] @ move) * seen
+        s = a.sum(1)
+        return a / s[:, None], s, seen
+
+    kept: list[np.ndarray | None] = [None]
+    a = None
+    for t in range((steps - 1) // segment * segment):
+        a = onward(a, t)[0]
+        if (t + 1) % segment == 0:
+            kept.append(a)
+    moves, beta, emitted, log = np.zeros((k, k)), np.ones((len(n), k), kind), np.zeros((k, emit.shape[1])), 0.0
+    for lo in range((steps - 1) // segment * segment, -1, -segment):
+        before, told, a = kept.pop(), [], None
+        a = before
+        for t in range(lo, min(lo + segment, steps)):
+            told.append(onward(a, t))
+            a = told[-1][0]
+        gammas = []
+        for t in range(min(lo + segment, steps) - 1, lo - 1, -1):
+            alpha, s, seen = told[t - lo]
+            m = active[t]
+            gammas.append(alpha * beta[:m])
+            if t:
+                ahead = seen * beta[:m] / s[:, None]
+                moves += (told[t - lo - 1][0] if t > lo else before)[:m].T @ ahead
+                beta[:m] = ahead @ move.T
+        at = np.concatenate([flat[first[:active[t]] + t] for t in range(min(lo + segment, steps) - 1, lo - 1, -1)])
+        weight = np.concatenate(gammas)
+        emitted += np.stack([np.bincount(at, weight[:, i], emit.shape[1]) for i in range(k)])
+        log += float(np.log(np.concatenate([s for _, s, _ in told]), dtype=np.float64).sum())
+    return gammas[-1].sum(0, dtype=np.float64), moves * move, emitted, log
 
 
 def forward(classes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -172,8 +191,8 @@ def forward(classes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit
     return out
 
 
-def train(sequences: DataFrame, prior: np.ndarray, states: int = STATES, warm_rounds: int = WARM_ROUNDS, rounds: int = ROUNDS, seed: int = 5):
-    """start, move and emit after Baum-Welch rounds over ``sequences`` (classes, train, warm): first over a share of it, then over all."""
+def train(sequences: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 5):
+    """start, move and emit after Baum-Welch rounds, each over all rows of ``sequences`` (classes, train) that train."""
     rng = np.random.default_rng(seed)
     size = len(prior)
     start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
@@ -181,35 +200,42 @@ def train(sequences: DataFrame, prior: np.ndarray, states: int = STATES, warm_ro
     emit /= emit.sum(1, keepdims=True)
     schema = arrow_schema("cell int, v double")
     cells = states + states * states + states * size
+    rows = sequences.where("train").select("classes")
+
+    def one_round(start, move, emit):
+        def counted(held: list[np.ndarray]) -> np.ndarray:
+            """Counts of the held sequences; those of like length go together, so that few steps are narrow."""
+            sums, batch, tokens = np.zeros(cells), [], 0
+            held.sort(key=len, reverse=True)
+            for i, seq in enumerate(held):
+                batch.append(seq)
+                tokens += len(seq)
+                if tokens > BATCH_TOKENS or i == len(held) - 1:
+                    first, moves, emitted, _ = expected(batch, start, move, emit, kind=np.float32)
+                    sums += np.concatenate([first, moves.ravel(), emitted.ravel()])
+                    batch, tokens = [], 0
+            return sums
 
-    def one_round(rows: DataFrame, start, move, emit):
         def run(batches):
             sums, held, tokens = np.zeros(cells), [], 0
-
-            def add():
-                first, moves, emitted, _ = expected(held, start, move, emit)
-                sums[:] += np.concatenate([first, moves.ravel(), emitted.ravel()])
-
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
-                    seq = np.frombuffer(raw, np.uint16).astype(np.int64)
-                    held += [seq[i:i + PIECE] for i in range(0, len(seq), PIECE)]
-                    tokens += len(seq)
-                    if tokens > 600_000:
-                        add()
+                    held.append(np.frombuffer(raw, np.uint16))
+                    tokens += len(held[-1])
+                    if tokens > TASK_TOKENS:
+                        sums += counted(held)
                         held, tokens = [], 0
-            if held:
-                add()
+            sums += counted(held)
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=schema)
 
-        got = rows.select("classes").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+        got = rows.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
         sums = np.zeros(cells)
         sums[got.cell.to_numpy(np.int64)] = got.v.to_numpy()
         return sums
 
-    for i in range(warm_rounds + rounds):
-        sums = one_round(sequences.where("train AND warm" if i < warm_rounds else "train"), start, move, emit)
+    for _ in range(rounds):
+        sums = one_round(start, move, emit)
         first, moves, emitted = sums[:states], sums[states:states + states * states].reshape(states, states), sums[states + states * states:].reshape(states, size)
         start = (first + 1) / (first + 1).sum()
         move = (moves + 1) / (moves + 1).sum(1, keepdims=True)
@@ -239,7 +265,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     prior = (share[0] + 1) / (share[0] + 1).sum()
     inside = np.log10(share[0] + share[1] + 1.0)           # log10 of a rare class's smoothed total
     kind = dict(docs.dtypes)[id_column]
-    ddl = f"id {kind}, train boolean, warm boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary"
+    ddl = f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary"
     schema = arrow_schema(ddl)
     base_total = np.log10(float(total + distinct + 1))
 
@@ -257,14 +283,13 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
         n_known, base, word = (np.bincount(owner, x[codes], len(ends)) for x in (known, plus, inner))
         seq = own[codes].astype(np.uint16)
         end = np.zeros(1, np.uint16).tobytes()
-        warm = [zlib.crc32(seq[a:b].tobytes()) % WARM_SHARE == 0 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, schema.field(0).type), pa.array(flags), pa.array(warm), pa.array(n_words + 1), pa.array(n_known.astype(np.int64) + int(texts > 0)),
+            [pa.array(ids, schema.field(0).type), pa.array(flags), pa.array(n_words + 1), pa.array(n_known.astype(np.int64) + int(texts > 0)),
              pa.array(base + np.log10(texts + 1.0) - (n_words + 1) * base_total), pa.array(word),
              pa.array([seq[a:b].tobytes() + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
     table = written(B.met(packed, answers, sequences, ddl))
-    start, move, emit = train(table, prior, states, WARM_ROUNDS, rounds)
+    start, move, emit = train(table, prior, states, rounds)
     small_batches(docs.sparkSession)
     result = f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out_schema = arrow_schema(result)

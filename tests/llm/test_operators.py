@@ -396,8 +396,26 @@ def test_forward_and_counts_by_enumeration():
                 moves[a, b] += w / whole
             for k, o in zip(p, s, strict=True):
                 emitted[k, o] += w / whole
-    got = hmm.expected(seqs, start, move, emit)
-    assert all(np.allclose(a, b) for a, b in zip(got, (first, moves, emitted, total), strict=True))
+    for segment in (1, 2, 3, 100):
+        got = hmm.expected(seqs, start, move, emit, segment=segment)
+        assert all(np.allclose(a, b) for a, b in zip(got, (first, moves, emitted, total), strict=True))
+    rough = hmm.expected(seqs, start, move, emit, kind=np.float32)
+    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-5) for a, b in zip(rough, (first, moves, emitted, total), strict=True))
+
+
+def test_hmm_training_parts_the_states_of_a_tiny_table(spark):
+    """Short texts of two kinds of words by turns: every round reads all of them, and the likelihood rises to what the turns allow."""
+    rng = np.random.default_rng(1)
+    seqs = [np.concatenate([(np.arange(30) + i) % 2 * 3 + rng.integers(1, 4, 30), [0]]).astype(np.uint16) for i in range(300)]
+    rows = spark.createDataFrame([(bytearray(s.tobytes()), True) for s in seqs] + [(bytearray(seqs[0].tobytes()), False)], "classes binary, train boolean")
+    prior = (np.bincount(np.concatenate(seqs), minlength=7) + 1) / (sum(map(len, seqs)) + 7)
+    likely = []
+    for rounds in (0, 2, 12, 40):
+        start, move, emit = hmm.train(rows, prior, states=3, rounds=rounds)
+        assert np.allclose([start.sum(), *move.sum(1), *emit.sum(1)], 1)
+        likely.append(hmm.forward(seqs, start, move, emit).sum())
+    assert likely == sorted(likely) and np.ptp(emit, axis=0).max() > 0.05
+    assert likely[-1] > hmm.forward(seqs, np.ones(1), np.ones((1, 1)), prior[None, :]).sum() + 20
 
 
 def test_suffixes(docs, texts, spark):
