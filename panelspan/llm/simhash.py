@@ -244,8 +244,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
     near = written(copies.groupBy("fp").agg(F.min("rep").alias("id")))
     close = near_links(near, radius).unionByName(copies.join(near, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b"))
     links = _checked(close, marks, rows, similarity, shingle).unionByName(tied)
-    met = written(_met_rows(_entries(rows.join(member.where("id <> rep").select("id").distinct(), "id", "left_anti"), similarity, shingle), similarity))
+    entries = written(_entries(rows, similarity, shingle))
+    alone = entries.join(member.where("id <> rep").select("id").distinct(), "id", "left_anti")      # texts stay where they are, entries travel
+    met = written(_met_rows(alone.select("id", "n", F.explode("e").alias("e")).select("e.tok", "e.part", "id", "n", "e.at"), similarity))
     discard(near)
+    discard(entries)
     links = written(links.unionByName(_checked(met.where("b IS NOT NULL").select(F.col("id").alias("a"), "b"), marks, rows, similarity, shingle)))
     joined = written(components(links))
     late = _checked(_apart(met.where("b IS NULL").drop("b"), joined, similarity), marks, rows, similarity, shingle)
@@ -334,10 +337,11 @@ def shingle_counts(rows: DataFrame, shingle: int, slots: int = SLOTS) -> np.ndar
 
 
 ENTRY = "tok long, part int, id long, n int, at int"
+ENTRIES = "id long, n int, e array<struct<tok:long,part:int,at:int>>"
 
 
 def _entries(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``rows`` (id, text) under their rarest shingles: any two similar sets have one of them in common.
+    """``rows`` (id, text) with their rarest shingles ``e``: any two similar sets have one of them in common.
 
     In any one order of all shingles two similar sets share one of their first ``n - similarity * n + 1`` (Chaudhuri, Ganti
     and Kaushik 2006). The order is by the counts of all documents and then by hash, so common passages come last. A
@@ -347,10 +351,11 @@ def _entries(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     level = float(np.median(counts))                    # what other shingles add to a counter
     level += 8 * np.sqrt(level)
     table = rows.sparkSession.sparkContext.broadcast(counts)
-    shift, chunk, schema = np.uint64(64 - SLOTS.bit_length() + 1), CHUNK, arrow_schema(ENTRY)
+    shift, chunk, schema = np.uint64(64 - SLOTS.bit_length() + 1), CHUNK, arrow_schema(ENTRIES)
 
     def entered(batch):
         out: list[list[np.ndarray]] = []
+        ids, sizes = [], []
         for i, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
             s = shingle_set(lower_words(text), shingle)
             if not len(s):
@@ -365,13 +370,16 @@ def _entries(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
                 own = mine[at]
                 part = np.minimum(own, other) * parts[at] + np.maximum(own, other)
-            m = len(at)
-            out.append([s[first][at].view(np.int64), part, np.full(m, i, np.int64), np.full(m, len(s)), at])
+            out.append([s[first][at].view(np.int64), part.astype(np.int32), at.astype(np.int32)])
+            ids.append(i)
+            sizes.append(len(s))
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        ends = np.concatenate([[0], np.cumsum([len(o[0]) for o in out])]).astype(np.int32)
+        e = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], fields=list(schema.field(2).type.value_type))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), e)], schema=schema)
 
-    return map_batches(rows, entered, ENTRY)
+    return map_batches(rows, entered, ENTRIES)
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
