@@ -66,23 +66,28 @@ def _(spark, d):
     return shown(r, "model", "n_obs", estimate=6, se=6, r_squared=9, linear_term=5, quadratic_term=7)
 
 
-def median_line_sql(f_sql: str, key: str | None = None, ctes: str = "") -> str:
-    """The median line per ``g`` by thirds: the least sum of |y - b x - median| is convex in b. ``f_sql`` has g, y and x."""
-    head = f"g AS {key}, " if key else ""
-    return f"""WITH RECURSIVE {ctes}f AS MATERIALIZED ({f_sql}),
-  m AS (SELECT g, count(*) AS n, avg(y) AS my, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b0, sqrt(regr_syy(y, x)/regr_sxx(y, x)) AS wide, median(y) AS ymed FROM f GROUP BY g),
-  cut AS (SELECT g, 0 AS k, b0 - wide AS lo, b0 + wide AS hi FROM m
+def median_ctes(f_sql: str, name: str = "f") -> str:
+    """The median slope b per ``g`` (table ``name``_b) by thirds: the least sum of |y - b x - median| is convex in b."""
+    return f"""{name} AS MATERIALIZED ({f_sql}),
+  {name}_m AS (SELECT g, count(*) AS n, avg(y) AS my, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b0, sqrt(regr_syy(y, x)/regr_sxx(y, x)) AS wide, median(y) AS ymed FROM {name} GROUP BY g),
+  {name}_cut AS (SELECT g, 0 AS k, b0 - wide AS lo, b0 + wide AS hi FROM {name}_m
     UNION ALL SELECT g, k + 1, CASE WHEN l1 <= l2 THEN lo ELSE lo + (hi-lo)/3 END, CASE WHEN l1 <= l2 THEN hi - (hi-lo)/3 ELSE hi END FROM (
       SELECT g, k, lo, hi, sum(abs(r1-m1)) AS l1, sum(abs(r2-m2)) AS l2 FROM (
         SELECT g, k, lo, hi, r1, r2, median(r1) OVER (PARTITION BY g) AS m1, median(r2) OVER (PARTITION BY g) AS m2 FROM (
-          SELECT cut.g, k, lo, hi, y - (lo+(hi-lo)/3)*x AS r1, y - (hi-(hi-lo)/3)*x AS r2 FROM f JOIN cut ON f.g = cut.g WHERE k < 70))
+          SELECT c.g, k, lo, hi, y - (lo+(hi-lo)/3)*x AS r1, y - (hi-(hi-lo)/3)*x AS r2 FROM {name} JOIN {name}_cut c ON {name}.g = c.g WHERE k < 70))
       GROUP BY g, k, lo, hi)),
-  b AS (SELECT g, (lo+hi)/2 AS b FROM cut WHERE k = 70),
-  e AS (SELECT f.g, y - b*x AS r, abs(y - ymed) AS away FROM f JOIN b ON f.g = b.g JOIN m ON f.g = m.g),
+  {name}_b AS (SELECT g, (lo+hi)/2 AS b FROM {name}_cut WHERE k = 70)"""
+
+
+def median_line_sql(f_sql: str, key: str | None = None) -> str:
+    """The whole result row of the median line per ``g``; ``f_sql`` has g, y and x."""
+    head = f"g AS {key}, " if key else ""
+    return f"""WITH RECURSIVE {median_ctes(f_sql)},
+  e AS (SELECT f.g, y - b*x AS r, abs(y - ymed) AS away FROM f JOIN f_b ON f.g = f_b.g JOIN f_m ON f.g = f_m.g),
   s AS (SELECT g, median(r) AS a, sum(away) AS abs0 FROM e GROUP BY g),
   o AS (SELECT e.g, median(abs(r - a)) AS mad, sum(abs(r - a)) AS loss FROM e JOIN s ON e.g = s.g GROUP BY e.g)
 SELECT {head}'median_quantile' AS model, 'ok' AS status, n AS n_obs, round(b, 4) AS estimate, round(a, 2) AS intercept,
-  round(1.4826*mad/sqrt(sxx), 4) AS se, round(1 - loss/abs0, 8) AS r_squared, true AS converged FROM m JOIN b USING (g) JOIN s USING (g) JOIN o USING (g)"""
+  round(1.4826*mad/sqrt(sxx), 4) AS se, round(1 - loss/abs0, 8) AS r_squared, true AS converged FROM f_m JOIN f_b USING (g) JOIN s USING (g) JOIN o USING (g)"""
 
 
 def median_shown(df, *keys):

@@ -15,6 +15,7 @@ from ..operators import post as PO
 from ..operators import regress as R
 from ..operators import tables as TB
 from .base import (LINE_BY, MONTHLY, PANEL, SERIES, X, Y, line_ctes, long_panel, monthly, panel, query, rounded, shown, table)
+from .estimates import median_ctes
 from .forecasts import AR
 
 KEY = ["l_suppkey"]
@@ -107,16 +108,23 @@ def _(spark, d):
     return rounded(PO.structural_break(PO.era_effects(long_panel(spark, d), "ols", "y", "x", "t", events=EVENTS)), effect_ratio=6)
 
 
-@query("robustness_table", f"""WITH {PANEL}, ls(g, y, x) AS (SELECT 'ols', y, x FROM panel UNION ALL SELECT 'pooled_ols', y, x FROM panel
-    UNION ALL SELECT 'log_linear', ln(y), x FROM panel
+@query("robustness_table", f"""WITH RECURSIVE {PANEL}, ls(g, y, x) AS (SELECT 'ols', y, x FROM panel UNION ALL SELECT 'pooled_ols', y, x FROM panel
+    UNION ALL SELECT 'log_linear', ln(y), x FROM panel WHERE y > 0 UNION ALL SELECT 'log_log', ln(y), ln(x) FROM panel WHERE y > 0 AND x > 0
     UNION ALL SELECT 'first_difference', y - y1, x - x1 FROM (SELECT y, x, lag(y) OVER w AS y1, lag(x) OVER w AS x1 FROM panel WINDOW w AS (PARTITION BY u ORDER BY t)) WHERE x1 IS NOT NULL
     UNION ALL SELECT 'entity_fe', y - avg(y) OVER (PARTITION BY u), x - avg(x) OVER (PARTITION BY u) FROM panel
-    UNION ALL SELECT 'time_fe', y - avg(y) OVER (PARTITION BY t), x - avg(x) OVER (PARTITION BY t) FROM panel),
-  {line_ctes("SELECT g, y, x FROM ls")}, o AS (SELECT b AS mb FROM fit WHERE g = 'entity_fe')
-SELECT g AS model, 'ok' AS status, round(b, 6) AS estimate, n AS n_obs, CASE WHEN (b >= 0) = (mb >= 0) THEN '✓' ELSE '✗ sign flip' END AS consistent FROM fit, o""")
-def _(spark, d):
-    r = PO.robustness_table(panel(spark, d), "entity_fe", ["ols", "pooled_ols", "log_linear", "first_difference", "time_fe"], "y", "x", "t", "u")
-    return shown(r, "model", "status", "n_obs", "consistent", estimate=6)
+    UNION ALL SELECT 'time_fe', y - avg(y) OVER (PARTITION BY t), x - avg(x) OVER (PARTITION BY t) FROM panel
+    UNION ALL SELECT 'panel_ols', y - avg(y) OVER (PARTITION BY u) - avg(y) OVER (PARTITION BY t) + avg(y) OVER (), x - avg(x) OVER (PARTITION BY u) - avg(x) OVER (PARTITION BY t) + avg(x) OVER () FROM panel),
+  {line_ctes("SELECT g, y, x FROM ls")}, {median_ctes("SELECT 'median_quantile' AS g, y, x FROM panel", "md")},
+  pc AS (SELECT y - avg(y) OVER () AS dy, x - avg(x) OVER () AS d FROM panel), pv AS (SELECT avg(d*d) AS vx FROM pc),
+  pz AS (SELECT dy, d, d*d - vx AS q FROM pc, pv),
+  pk AS (SELECT count(*) AS n, (sum(q*q)*sum(d*dy) - sum(d*q)*sum(q*dy))/(sum(d*d)*sum(q*q) - power(sum(d*q), 2)) AS b FROM pz),
+  every AS (SELECT g, b, n FROM fit UNION ALL SELECT 'median_quantile', b, n FROM md_b JOIN md_m USING (g) UNION ALL SELECT 'polynomial_ols', b, n FROM pk),
+  o AS (SELECT b AS mb FROM fit WHERE g = 'entity_fe')
+SELECT g AS model, 'ok' AS status, round(b, 4) AS estimate, n AS n_obs, CASE WHEN (b >= 0) = (mb >= 0) THEN '✓' ELSE '✗ sign flip' END AS consistent FROM every, o""")
+def _(spark, d):
+    models = ["ols", "pooled_ols", "log_linear", "log_log", "polynomial_ols", "median_quantile", "first_difference", "time_fe", "panel_ols"]
+    r = PO.robustness_table(panel(spark, d), "entity_fe", models, "y", "x", "t", "u")
+    return shown(r, "model", "status", "n_obs", "consistent", estimate=4)
 
 
 @query("split_by", f"WITH {line_ctes(LINE_BY)} SELECT g AS \"group\", 'ok' AS status, n, round(b, 6) AS estimate, round(se, 6) AS se FROM fit")

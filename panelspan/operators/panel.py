@@ -6,16 +6,27 @@ means. Everything after that - effects, slope, R2, cluster scores - needs the ce
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import clean_numeric, ratio
 from ..plans.scale import attach, group_agg, materialise
 from .regress import TINY_SD, cluster_scale, line_stats, regression_rows
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOLERANCE = 1e-11       # of the normal equations' residual, against the spread of the group's cells
+PERIODS = 1_000         # a group of more periods is solved by steps
+UNITS = 512             # units whose periods are laid out at once
 
 
 def panel_cells(df: DataFrame, outcome: str, treatment: str, time: str, unit: str,
@@ -47,7 +58,8 @@ def demean_cells(cells: DataFrame, facts: DataFrame, by: Sequence[str]) -> tuple
     """Cells with two-way demeaned means ``_dx`` and ``_dy``, and per group ``_settled`` and ``_steps`` (None: closed form).
 
     If all panels are balanced there is a closed form. Otherwise the unit effects are eliminated and the time effects
-    solved for; only vectors with a row per period are written between steps, never the cells.
+    solved for: by one sum of products of periods up to ``PERIODS`` of them, and in steps that write vectors with a row per
+    period beyond.
     """
     by = list(by)
     if not facts.where(~F.col("_even")).limit(1).count():
@@ -82,6 +94,99 @@ def _normal(cells: DataFrame, vector: DataFrame, by: list[str], x, y) -> DataFra
 
 
 def _time_effects(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Time effects of both columns, one row per (group, time) with ``_settled`` and ``_steps``."""
+    counts = group_agg(cells.select(*by, "_time").distinct(), by, F.count(F.lit(1)).alias("_k"))
+    counts = materialise(counts)
+    many = F.col("_k") > PERIODS
+    if not counts.where(many).limit(1).count():
+        return _summed_effects(cells, by)
+    if not by:
+        return _stepped_effects(cells, by)
+    parts = [fn(cells.join(counts.where(which).select(*by), by, "left_semi"), by) for fn, which in ((_stepped_effects, many), (_summed_effects, ~many))]
+    return parts[0].unionByName(parts[1])
+
+
+def _summed_effects(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Time effects from the matrix of the time equations with the unit effects eliminated.
+
+    A unit with n_t rows in period t adds n_t to the diagonal and takes n_t n_s / n off everywhere. Tasks add up the units
+    they hold, Spark adds up the tasks, and each group's matrix (at most ``PERIODS`` wide) is solved on one row.
+    """
+    keys = by or ["_all"]
+    cells = cells if by else cells.withColumn("_all", F.lit(0))
+    of_group = Window.partitionBy(*keys)
+    periods = materialise(cells.select(*keys, "_time").distinct().select(
+        *keys, "_time", (F.row_number().over(of_group.orderBy("_time")) - 1).alias("_at"), F.count(F.lit(1)).over(of_group).cast("int").alias("_width")))
+    units = cells.join(periods, [*keys, "_time"]).groupBy(*keys, "_width", "_unit").agg(
+        F.collect_list(F.struct("_at", F.col("_n").cast("double").alias("_n"), "_mx", "_my")).alias("_cells")).select(*keys, "_width", "_cells")
+    schema = T.StructType([*[periods.schema[k] for k in keys], *[T.StructField(c, T.IntegerType()) for c in ("_width", "_i", "_j")], T.StructField("_v", T.DoubleType())])
+    out_schema = to_arrow_schema(schema)
+    n_keys = len(keys)
+
+    def rows_of(key: tuple, width: int, m: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(m)
+        upper = i <= j
+        i, j = i[upper], j[upper]
+        columns = [pa.array([k] * len(i), f.type) for k, f in zip(key, out_schema)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(i), width, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+                                           pa.array(m[i, j])], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(n_keys + 1)
+            flat = lists.flatten()
+            at, n, x, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            size = np.bincount(owner, n, batch.num_rows)
+            mean = [np.bincount(owner, n * v, batch.num_rows) / size for v in (x, y)]
+            off = [n * (v - m[owner]) for v, m in zip((x, y), mean)]
+            widths = batch.column(n_keys).to_numpy(zero_copy_only=False)
+            groups: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(*[batch.column(k).to_pylist() for k in range(n_keys)])):
+                groups.setdefault(key, []).append(row)
+            begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
+            for key, held in groups.items():
+                width = int(widths[held[0]])
+                m = total.setdefault(key, np.zeros((width + 2, width + 2)))
+                for k in range(0, len(held), UNITS):
+                    some = held[k:k + UNITS]
+                    take = np.concatenate([np.arange(begins[r], begins[r + 1]) for r in some])
+                    laid = np.zeros((len(some), width))
+                    laid[np.searchsorted(some, owner[take]), at[take]] = n[take]
+                    m[:width, :width] -= laid.T @ (laid / size[some][:, None])
+                    np.add.at(m, (at[take], at[take]), n[take])
+                    for v in range(2):
+                        np.add.at(m, (at[take], np.full(len(take), width + v)), off[v][take])
+            if sum(m.size for m in total.values()) > 8_000_000:
+                yield from (rows_of(k, len(m) - 2, m) for k, m in total.items())
+                total = {}
+        yield from (rows_of(k, len(m) - 2, m) for k, m in total.items())
+
+    summed = units.mapInArrow(run, schema).groupBy(*keys, "_width", "_i", "_j").agg(F.sum("_v").alias("_v"))
+    matrices = summed.groupBy(*keys, "_width").agg(F.collect_list(F.struct("_i", "_j", "_v")).alias("_m")).select(*keys, "_width", *[F.col("_m")[c].alias(c) for c in ("_i", "_j", "_v")])
+
+    def solve(width: pd.Series, i: pd.Series, j: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for w, a, b, c in zip(width, i, j, v):
+            m = np.zeros((w + 2, w + 2))
+            m[a, b] = c
+            right, m = m[:w, w:], m[:w, :w] + np.triu(m[:w, :w], 1).T
+            d = 1 / np.sqrt(np.diag(m) + 1e-300)
+            values, vectors = np.linalg.eigh(m * np.outer(d, d))
+            good = values > 1e-11 * max(values[-1], 1e-300)         # effects are free by a constant for each part of the panel that hangs together
+            out.append((d[:, None] * (vectors[:, good] @ ((vectors[:, good].T @ (d[:, None] * right)) / values[good][:, None]))).ravel())
+        return pd.Series(out)
+
+    effects = matrices.select(*keys, F.pandas_udf(solve, "array<double>")("_width", "_i", "_j", "_v").alias("_t"))
+    found = periods.join(effects, keys, "left")
+    return materialise(found.select(*by, "_time", F.coalesce(F.get("_t", 2 * F.col("_at")), F.lit(0.0)).alias("_tx"),
+                                    F.coalesce(F.get("_t", 2 * F.col("_at") + 1), F.lit(0.0)).alias("_ty"), F.lit(1).alias("_steps"), F.lit(True).alias("_settled")))
+
+
+def _stepped_effects(cells: DataFrame, by: list[str]) -> DataFrame:
     """Time effects of both columns by preconditioned conjugate gradients, every group with its own steps.
 
     A group is settled when the residual of its normal equations is below ``TOLERANCE`` of the spread of its cells; settled

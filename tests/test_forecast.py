@@ -240,3 +240,19 @@ def test_normality_is_the_same_for_any_partitions(spark):
     one, many = (D.jarque_bera(df.repartition(n)).first() for n in (1, 7))
     assert one["status"] == many["status"] == "violated" and one["statistic"] == pytest.approx(many["statistic"], rel=1e-9)
     assert D.jarque_bera(df.limit(0)).first()["status"] == "not_run"
+
+
+def test_comparison_ranks_the_rows_of_all_four_models(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(t), float(5 + 0.3 * t * (g == "a") + np.sin(t) + rng.normal())) for g in "ab" for t in range(40)]
+    df = spark.createDataFrame(rows, "g string, t double, y double")
+    got = {(r["g"], r["model"]): r for r in FC.forecast_compare(df, "y", "t", 3, ["g"]).collect()}
+    assert len(got) == 8
+    for name, fn in FC.MODELS.items():
+        for r in fn(df, "y", "t", 3, ["g"]).where("h = 1").collect():
+            c = got[r["g"], name]
+            assert c["rmse"] == pytest.approx(r["rmse"], rel=1e-9) and c["next_forecast"] == pytest.approx(r["forecast"], rel=1e-9) and c["n_obs"] == r["n_obs"] == 40
+    for g in "ab":
+        order = sorted((c for (k, _), c in got.items() if k == g), key=lambda c: c["rank"])
+        assert [c["rank"] for c in order] == [1, 2, 3, 4] and [c["rmse"] for c in order] == sorted(c["rmse"] for c in order)
+        assert all(c["vs_random_walk"] == pytest.approx(c["rmse"] / got[g, "random_walk"]["rmse"]) for c in order)

@@ -204,12 +204,15 @@ def test_time_effects_equal_dummies(spark, ragged):
     assert r["se"] == pytest.approx(np.sqrt(180 / 179 * (xd ** 2 @ e ** 2)) / (xd @ xd), rel=1e-8)
 
 
-def test_two_way_effects_equal_dummies_on_a_ragged_panel(spark, ragged):
+@pytest.mark.parametrize("periods", [1000, 3])
+def test_two_way_effects_equal_dummies_on_a_ragged_panel(spark, ragged, monkeypatch, periods):
+    """By one sum of products of periods, and in steps."""
+    monkeypatch.setattr(P, "PERIODS", periods)
     u, t, x, y = ragged
     full = np.c_[x, dummies(u), dummies(t)]
     beta = np.linalg.lstsq(full, y, rcond=None)[0]
     r = one(P.panel_ols(frame(spark, y=y, x=x, u=u, t=t), "y", "x", "t", "u"))
-    assert r["converged"] and r["n_iter"] > 1
+    assert r["converged"] and (r["n_iter"] == 1) == (periods == 1000)
     assert r["estimate"] == pytest.approx(beta[0], rel=1e-8)
     e = y - full @ beta
     rest = np.c_[dummies(u), dummies(t)]
@@ -219,6 +222,25 @@ def test_two_way_effects_equal_dummies_on_a_ragged_panel(spark, ragged):
     assert r["se"] == pytest.approx(np.sqrt(g / (g - 1) * meat) / (xd @ xd), rel=1e-6)
 
 
+def test_two_way_groups_may_be_solved_either_way(spark, monkeypatch):
+    """One group of few periods and one of many; units and cells that Arrow batches and blocks of units cut anywhere."""
+    monkeypatch.setattr(P, "PERIODS", 5)
+    monkeypatch.setattr(P, "UNITS", 3)
+    rng, rows = np.random.default_rng(8), []
+    for g, periods, units in (("few", 4, 20), ("many", 7, 9)):
+        for u in range(units):
+            for t in range(periods):
+                if rng.random() < 0.7:
+                    x = rng.normal() + 0.2 * u
+                    rows += [(g, u, t, 3 * x + u - t + rng.normal(), x)] * int(rng.integers(1, 3))
+    got = {r["g"]: r for r in P.panel_ols(spark.createDataFrame(rows, "g string, u int, t int, y double, x double"), "y", "x", "t", "u", by=["g"]).collect()}
+    for g in ("few", "many"):
+        part = np.array([r[1:] for r in rows if r[0] == g])
+        want = np.linalg.lstsq(np.c_[part[:, 3], dummies(part[:, 0]), dummies(part[:, 1])], part[:, 2], rcond=None)[0][0]
+        assert got[g]["status"] == "ok" and got[g]["converged"] and got[g]["estimate"] == pytest.approx(want, rel=1e-8)
+    assert got["few"]["n_iter"] == 1 and got["many"]["n_iter"] > 1
+
+
 def test_additive_predictor_leaves_nothing_to_estimate(spark):
     rows = [(u, 2000 + t, u + 1.5 * (t + 1 + u) + 0.1 * t, float(t + 1 + u)) for u in range(4) for t in range(8)]
     df = spark.createDataFrame(rows, "u int, t int, y double, x double")
