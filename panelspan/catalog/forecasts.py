@@ -226,7 +226,7 @@ def _(spark, d):
 @query("shapiro_wilk")
 def _(spark, d):
     r = D.ols_residuals(table(spark, d, "lineitem"), Y, X, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
-    return D.shapiro_wilk(r, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    return D.shapiro_wilk(r, ["l_returnflag"])
 
 
 @query("vif", """WITH r AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem)

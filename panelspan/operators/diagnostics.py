@@ -8,11 +8,11 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_numeric, ratio
-from ..functions.dist import chi2_sf_udf, doubles, norm_cdf_udf, norm_ppf, norm_sf, t_tail_udf
+from ..functions.dist import chi2_sf_udf, doubles, norm_cdf_udf, norm_ppf, norm_ppf_udf, norm_sf, t_tail_udf
 from ..plans.scale import Series, attach, group_agg, materialise
 from ..spec import DIAGNOSTIC_SCHEMA, shape_rows
 from .forecast import ar1_fit, series_prepare
@@ -21,7 +21,6 @@ from .regress import line_stats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHAPIRO_ROWS = 5000
 ADF_CHUNK = 20_000      # periods of one stretch in the unit root test
 NOTHING = "none"
 
@@ -149,28 +148,27 @@ def ljung_box(series: DataFrame, order: str, by: Sequence[str] = (), lags: int =
                       "add AR or MA terms")
 
 
-def _shapiro(values: np.ndarray) -> tuple[float, float]:
-    """W and p by Royston's published approximation."""
-    x = np.sort(values)
-    n = len(x)
-    ss = float(np.sum((x - x.mean()) ** 2))
-    if ss <= 0:
-        return float("nan"), float("nan")
-    m = norm_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    total = float(m @ m)
+def _royston(n: int, ss: float, total: float, dot: float, wide: float, inner: float) -> tuple[float | None, float | None]:
+    """W and p by Royston's published approximation, from sums over ranks.
+
+    ``total`` and ``dot`` are the sums of m m and m x over all ranks, m being the normal scores; ``wide`` and ``inner`` are the
+    distances of the two outermost values and of the two after them, whose weights differ from their scores.
+    """
+    if n < 3 or not ss > 0:
+        return None, None
+    last, before = norm_ppf((np.array([n, n - 1]) - 0.375) / (n + 0.25))
     u = 1.0 / np.sqrt(n)
     # Published polynomial coefficients, highest power first.
-    outer = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u) + m[-1] / np.sqrt(total)
-    second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u) + (m[-2] / np.sqrt(total))
+    outer = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u) + last / np.sqrt(total)
+    second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u) + before / np.sqrt(total)
     if n == 3:
-        a = np.array([-np.sqrt(0.5), 0.0, np.sqrt(0.5)])
+        sums = np.sqrt(0.5) * wide
     elif n <= 5:
-        a = m / np.sqrt((total - 2 * m[-1] ** 2) / (1 - 2 * outer ** 2))
-        a[[0, -1]] = -outer, outer
+        sums = outer * wide + (dot - last * wide) / np.sqrt((total - 2 * last ** 2) / (1 - 2 * outer ** 2))
     else:
-        a = m / np.sqrt((total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * outer ** 2 - 2 * second ** 2))
-        a[[0, 1, -2, -1]] = -outer, -second, second, outer
-    w = min(float(a @ x) ** 2 / ss, 1.0)
+        scale = np.sqrt((total - 2 * last ** 2 - 2 * before ** 2) / (1 - 2 * outer ** 2 - 2 * second ** 2))
+        sums = outer * wide + second * inner + (dot - last * wide - before * inner) / scale
+    w = min(float(sums) ** 2 / ss, 1.0)
     if n == 3:
         return w, float(max(0.0, 6 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75)))))
     low = np.log(max(1.0 - w, 1e-300))
@@ -189,40 +187,42 @@ def _shapiro(values: np.ndarray) -> tuple[float, float]:
 
 
 @F.pandas_udf(doubles("w", "p"))
-def _shapiro_udf(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_shapiro(np.asarray(v, dtype=float)) if v is not None and len(v) >= 3
-                         else (None, None) for v in values], columns=["w", "p"])
+def _royston_udf(n: pd.Series, ss: pd.Series, total: pd.Series, dot: pd.Series, wide: pd.Series, inner: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_royston(int(r[0]), *r[1:]) for r in zip(n, ss, total, dot, wide, inner)], columns=["w", "p"]).astype(float)
 
 
-def shapiro_wilk(resid: DataFrame, by: Sequence[str] = (), key: Sequence[str] = (), suite: str = "",
-                 limit: int = SHAPIRO_ROWS) -> DataFrame:
-    """W of at most ``limit`` residuals per group, a named sample: those whose ``key`` has the smallest hash.
+def shapiro_wilk(resid: DataFrame, by: Sequence[str] = (), suite: str = "", max_series_rows: int | None = None) -> DataFrame:
+    """W of all residuals of a group: the squared correlation of its sorted values with normal scores, ends reweighted.
 
-    ``jarque_bera`` takes all residuals. ``key`` names columns that identify a row, so that the sample does not hang on the last
-    digit of a residual; groups beyond the limit need it. Large groups are thinned by the hash before the ranking, so a hot group ranks a few thousand
-    rows and never all of them.
+    Ranks come from the ordered positions of ``Series``, which cuts a large group into ranges, and everything else from one
+    aggregate, so that no task holds a group. Rows without a residual do not count. The p-value's published approximation
+    was made for up to 5,000 values; beyond, W is as exact, and p is the approximation carried on (tiny departures from a
+    normal law become significant, as in any test of so many values).
     """
     by = list(by)
-    size = group_agg(resid, by, F.count(F.lit(1)).alias("_n"))
-    if by:
-        size = materialise(size)
-    if not key and size.where(F.col("_n") > limit).limit(1).count():
-        raise ValueError("a sample of residuals needs the columns that identify a row")
-    h = F.xxhash64(*(key or ["_e"]))
-    share = (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-    thin = attach(resid.select(*by, "_e", share.alias("_h")), size, by).where(
-        (F.col("_n") <= limit) | (F.col("_h") < 2.0 * limit / F.col("_n")))
-    if by:
-        top = thin.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_e"))).where(F.col("_r") <= limit)
-    else:
-        top = thin.orderBy("_h", "_e").limit(limit)
-    w = group_agg(top, by, F.collect_list("_e").alias("_es"), F.any_value("_n").alias("_n"))
-    w = w.withColumn("_w", _shapiro_udf("_es"))
-    p = F.col("_w.p")
-    return check_rows(w, by, suite, "shapiro_wilk", "Shapiro-Wilk", F.col("_w.w"), p, p < 0.05,
+    keys = by or ["_all"]
+    rows = resid.where(F.col("_e").isNotNull()).select(*by, "_e")
+    facts = materialise(group_agg(rows, by, F.count(F.lit(1)).alias("_n"), F.avg("_e").alias("_m")))
+    named = rows if by else rows.withColumn("_all", F.lit(0))
+    placed = Series.of(named, keys, "_e", max_series_rows).number("_i").rows()
+    n, i = F.col("_n"), F.col("_i")
+    scored = attach(placed, facts, by).select(*keys, "_i", "_n", (F.col("_e") - F.col("_m")).alias("_x"),
+                                              norm_ppf_udf((i.cast("double") - 0.375) / (n.cast("double") + 0.25)).alias("_z"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(i == rank, F.col("_x")))
+
+    x, z = F.col("_x"), F.col("_z")
+    sums = scored.groupBy(*keys).agg(F.sum(x * x).alias("_ss"), F.sum(z * z).alias("_total"), F.sum(z * x).alias("_dot"),
+                                     (at(n) - at(F.lit(1))).alias("_wide"), (at(n - 1) - at(F.lit(2))).alias("_inner"))
+    full = facts.join(sums, by, "left") if by else attach(facts, group_agg(sums, by, *[F.max(c).alias(c) for c in ("_ss", "_total", "_dot", "_wide", "_inner")]), by)
+    zero = F.lit(0.0)
+    full = full.withColumn("_w", _royston_udf(F.coalesce(n, F.lit(0)), *[F.coalesce(c, zero) for c in ("_ss", "_total", "_dot", "_wide", "_inner")]))
+    w, p = F.when(~F.isnan("_w.w"), F.col("_w.w")), F.when(~F.isnan("_w.p"), F.col("_w.p"))
+    return check_rows(full, by, suite, "shapiro_wilk", "Shapiro-Wilk", w, p, p < 0.05,
                       F.when(p.isNull(), "fewer than three residuals, or all alike"), _text("W speaks against a normal law (p=%.4f)", p),
                       _text("W fits a normal law (p=%.4f)", p), "use robust or bootstrap errors",
-                      detail=F.create_map(F.lit("n_used"), F.size("_es").cast("double")))
+                      detail=F.create_map(F.lit("n_used"), n.cast("double")))
 
 
 def jarque_bera(resid: DataFrame, by: Sequence[str] = (), suite: str = "") -> DataFrame:

@@ -26,6 +26,7 @@ SERIES_ROWS = 1_000_000     # longest series that one window task sorts
 MEDIAN_ROWS = 200_000       # largest group handed to the built-in exact median
 QUANTILE_BINS = 1024
 QUANTILE_PICK = 2_000       # rows of the final bin that are sorted in an array
+SALTS = 16                  # keys that a group's rows are dealt over where its statistics are not broadcast
 
 
 _LOCAL: list[str] = []
@@ -63,12 +64,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the columns of ``stats`` (one row per ``by`` group) to every row of ``df``.
 
-    With groups this is a join; ``stats`` should be a written table, so that Spark knows its size.
+    With groups this is a join; ``stats`` should be a written table, so that Spark knows its size. Statistics too large to be
+    broadcast are repeated ``SALTS`` times and every group's rows dealt over as many keys, so a hot group is not one task.
     Without groups the single row of numbers is computed once and inlined. A lazy scalar subquery is
     planned once per column used, which could read the facts behind ``stats`` several times.
     """
     if by:
-        return df.join(stats, list(by), "inner")
+        if _plan_bytes(stats) <= _broadcast_bytes(df.sparkSession):
+            return df.join(stats, list(by), "inner")
+        hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+        salt = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(SALTS))
+        many = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return df.withColumn("_salt", salt).join(many, [*by, "_salt"], "inner").drop("_salt")
     types = {f.name: f.dataType for f in stats.schema.fields}
     if any(isinstance(t, (T.StructType, T.ArrayType, T.MapType)) for t in types.values()):
         stats = materialise(stats)
@@ -78,6 +85,17 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.lit(row[c] if row else None).cast(t).alias(c) for c, t in types.items()])
 
 
+def _plan_bytes(df: DataFrame) -> int:
+    """Spark's own size of a plan: of the files for a written table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _broadcast_bytes(spark: SparkSession) -> int:
+    """Size up to which Spark broadcasts by itself."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit) if not limit.lstrip().startswith("-") else -1
+
+
 def group_agg(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 

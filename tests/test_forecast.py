@@ -105,9 +105,38 @@ def test_arima_in_stretches_is_the_fit_of_the_whole(spark):
     assert whole["s0"]["q"] > 0 and cut["s0"]["q"] > 0
 
 
-def test_shapiro_published_example():
-    w, p = D._shapiro(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
-    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0005)
+def _plain_w(x):
+    """W with the whole vector of weights."""
+    from panelspan.functions.dist import norm_ppf
+    x, n = np.sort(x), len(x)
+    m = norm_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    u, total = n ** -0.5, m @ m
+    outer = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u) + m[-1] / np.sqrt(total)
+    second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u) + m[-2] / np.sqrt(total)
+    a = m / np.sqrt((total - 2 * m[-1] ** 2 - (2 * m[-2] ** 2 if n > 5 else 0)) / (1 - 2 * outer ** 2 - (2 * second ** 2 if n > 5 else 0)))
+    a[[0, -1]] = -outer, outer
+    if n > 5:
+        a[[1, -2]] = -second, second
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+def test_shapiro_of_all_residuals(spark):
+    rng = np.random.default_rng(6)
+    groups = {"published": np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]), "normal": rng.normal(size=7000) + 1e6,
+              "skewed": rng.exponential(size=6000), "ties": rng.integers(0, 5, 400).astype(float), "five": rng.normal(size=5),
+              "three": np.array([1.0, 2.0, 9.0]), "two": np.array([1.0, 2.0]), "flat": np.full(30, 2.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("ties", None)]
+    df = spark.createDataFrame(rows, "g string, _e double").repartition(7)
+    for limit in (None, 900):
+        got = {r["g"]: r for r in D.shapiro_wilk(df, ["g"], max_series_rows=limit).collect()}
+        assert set(got) == set(groups) and got["two"]["status"] == got["flat"]["status"] == "not_run"
+        for g in ("published", "normal", "skewed", "ties", "five"):
+            assert got[g]["statistic"] == pytest.approx(_plain_w(groups[g]), rel=1e-8) and got[g]["detail"]["n_used"] == len(groups[g])
+        assert got["published"]["statistic"] == pytest.approx(0.79, abs=0.005) and got["published"]["pvalue"] == pytest.approx(0.0067, abs=0.0005)
+        assert got["three"]["statistic"] == pytest.approx(0.5 * 8 ** 2 / 38, rel=1e-9)
+        assert got["normal"]["status"] == "ok" and got["skewed"]["status"] == "violated"
+    assert D.shapiro_wilk(df.where("g = 'five'").drop("g")).first()["statistic"] == pytest.approx(_plain_w(groups["five"]), rel=1e-9)
+    assert D.shapiro_wilk(df.limit(0).drop("g")).first()["status"] == "not_run"
 
 
 @pytest.fixture(scope="module")

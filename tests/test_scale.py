@@ -47,3 +47,29 @@ def test_tables_are_written_to_the_shared_folder(spark):
     df = materialise(spark.range(5))
     assert df.count() == 5
     assert shared_dir(spark).rstrip("/") in df.inputFiles()[0]
+
+
+def test_statistics_too_large_to_broadcast_do_not_gather_a_hot_group(spark):
+    from panelspan.operators import regress
+    from panelspan.plans.scale import attach, materialise
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=4000)
+    rows = [("hot" if i % 10 else f"g{i % 70}", float(2 * v + rng.normal()), float(v)) for i, v in enumerate(x)] + [("hot", 1.0, 1.0)] * 200
+    df = spark.createDataFrame(rows, "g string, y double, x double").repartition(6)
+    key = lambda r: r["g"]      # noqa: E731
+    want = sorted(regress.ols(df, "y", "x", ["g"]).collect(), key=key)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        got = sorted(regress.ols(df, "y", "x", ["g"]).collect(), key=key)
+        assert [r["g"] for r in got] == [r["g"] for r in want]
+        assert all(a["estimate"] == pytest.approx(b["estimate"], rel=1e-12) and a["se"] == pytest.approx(b["se"], rel=1e-12) for a, b in zip(got, want, strict=True))
+        stats = materialise(df.groupBy("g").agg(F.avg("x").alias("m")))
+        joined = attach(df, stats, ["g"])
+        assert joined.columns == ["g", "y", "x", "m"] and joined.count() == len(rows)
+        sizes = [r["count"] for r in joined.where("g = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 0.5 * sum(sizes)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
