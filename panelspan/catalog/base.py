@@ -128,3 +128,23 @@ def line_shown(df: DataFrame, *keys: str, digits=(6, 3, 6), extra: tuple = ()) -
 LINE = "SELECT 0 AS g, l_extendedprice AS y, l_quantity AS x FROM lineitem"
 LINE_BY = "SELECT l_returnflag AS g, l_extendedprice AS y, l_quantity AS x FROM lineitem"
 Y, X = "l_extendedprice", "l_quantity"
+
+
+def normal_quantile_sql(p: str) -> str:
+    """Normal quantile of the expression ``p`` by Wichura's AS 241, for p between exp(-25) and 1 - exp(-25)."""
+    # The published coefficients, lowest power first.
+    centre = ("3.3871328727963666080 133.14166789178437745 1971.5909503065514427 13731.693765509461125 45921.953931549871457 67265.770927008700853 33430.575583588128105 2509.0809287301226727",
+              "1.0 42.313330701600911252 687.18700749205790830 5394.1960214247511077 21213.794301586595867 39307.895800092710610 28729.085735721942674 5226.4952788528545610")
+    tail = ("1.42343711074968357734 4.63033784615654529590 5.76949722146069140550 3.64784832476320460504 1.27045825245236838258 0.241780725177450611770 0.0227238449892691845833 7.74545014278341407640e-4",
+            "1.0 2.05319162663775882187 1.67638483018380384940 0.689767334985100004550 0.148103976427480074590 0.0151986665636164571966 5.47593808499534494600e-4 1.05075007164441684324e-9")
+
+    def poly(values: str, x: str) -> str:
+        out = "0.0::DOUBLE"
+        for v in reversed(values.split()):
+            out = f"({out}*{x} + {v}::DOUBLE)"
+        return out
+
+    q, far = f"(({p}) - 0.5)", f"(sqrt(-ln(least({p}, 1 - ({p})))) - 1.6)"
+    near = f"(0.180625 - {q}*{q})"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {q}*{poly(centre[0], near)}/{poly(centre[1], near)} "
+            f"ELSE sign({q})*{poly(tail[0], far)}/{poly(tail[1], far)} END")

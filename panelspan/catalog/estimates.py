@@ -155,7 +155,7 @@ def _(spark, d):
     return r.select("u", F.col("_time").cast("int").alias("t"), F.round("_y", 4).alias("dy"), F.round("_x", 9).alias("dx"))
 
 
-def _two_way(source: str, x: str) -> str:
+def two_way_ctes(source: str, x: str) -> str:
     """Two-way fixed effects by the closed form of a balanced panel."""
     return f"""c AS (SELECT u, t, y, {x} AS x FROM {source}),
   z AS (SELECT u, t, y - avg(y) OVER (PARTITION BY u) - avg(y) OVER (PARTITION BY t) + avg(y) OVER () AS dy,
@@ -170,12 +170,12 @@ def _two_way_select(model: str) -> str:
   round(sqrt(CAST(g AS DOUBLE)/(g-1)*meat)/sxx, 4) AS se, round(1-rss/syy, 9) AS r_squared FROM b, v, r"""
 
 
-@query("panel_ols", f"WITH {PANEL}, {_two_way('panel', 'x')} {_two_way_select('panel_ols')}")
+@query("panel_ols", f"WITH {PANEL}, {two_way_ctes('panel', 'x')} {_two_way_select('panel_ols')}")
 def _(spark, d):
     return shown(P.panel_ols(panel(spark, d), "y", "x", "t", "u"), "model", "n_obs", "n_units", "n_periods", estimate=4, se=4, r_squared=9)
 
 
-@query("diff_in_diff", f"WITH {TREATED}, {_two_way('treated', 'd')} {_two_way_select('diff_in_diff')}")
+@query("diff_in_diff", f"WITH {TREATED}, {two_way_ctes('treated', 'd')} {_two_way_select('diff_in_diff')}")
 def _(spark, d):
     return shown(P.diff_in_diff(treated_panel(spark, d), "y", "d", "t", "u"), "model", "n_obs", "n_units", "n_periods",
                  estimate=4, se=4, r_squared=9)
