@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DATELIKE, as_double, clean_numeric, dtype_of, finite, is_numeric, ratio
 from ..functions.dist import norm_ppf_udf
 from ..plans.scale import Series, attach, exact_quantile, group_agg, materialise
-from ..spec import FORECAST_SCHEMA, REGRESSION_SCHEMA
+from ..spec import FORECAST_SCHEMA, REGRESSION_SCHEMA, ModelSpec, add_model, drop_model
 from . import median, panel, regress
 from .forecast import series_prepare
 from .regress import Z95
@@ -26,11 +26,26 @@ _PANEL = {"panel_ols": panel.panel_ols, "diff_in_diff": panel.diff_in_diff, "fir
 _CUSTOM: dict[str, Estimator] = {}
 
 
-def register_estimator(name: str, fn: Estimator) -> None:
-    """Add a model: ``fn(df, outcome, treatment, time, unit, by) -> regression rows``."""
+def register_estimator(name: str, fn: Estimator, spec: ModelSpec | None = None, before: str | None = None) -> None:
+    """Add a model: ``fn(df, outcome, treatment, time, unit, by) -> regression rows``.
+
+    With a ``spec`` (question type, required fields, variation within units, positive columns) it is a candidate of its
+    question type too, and ``admissible_models``, ``choose_model`` and ``analyze`` treat it like the others: preferred to
+    the model named ``before``, or after all.
+    """
+    if spec is not None:
+        if spec.name != name:
+            raise ValueError(f"the spec is of '{spec.name}', not of '{name}'")
+        add_model(spec, before)
     _CUSTOM[name] = fn
 
 
+def unregister_estimator(name: str) -> None:
+    """Take an added model back."""
+    _CUSTOM.pop(name, None)
+    drop_model(name)
+
+
 def run_model(df: DataFrame, model: str, outcome: str, treatment: str, time: str | None = None,
               unit: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     if model in _CUSTOM:

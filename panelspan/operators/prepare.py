@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DATELIKE, as_double, clean_numeric, dtype_of, finite, is_numeric
 from ..plans.scale import Series, group_agg
-from ..spec import MODELS, PREFERENCE, PanelSpec
+from ..spec import PanelSpec, all_models, candidates
 
 YEAR_MIN, YEAR_MAX = 1800, 2100
 UNIT_NAMES = ("country", "COUNTRY", "Country", "country_name", "LOCATION", "Country_Name")
@@ -250,7 +250,7 @@ def admissible_models(df: DataFrame, spec: PanelSpec, by: Sequence[str] = ()) ->
                       F.coalesce(F.bool_or(F.col("_v") & F.col("_unit").isNotNull()), F.lit(False)).alias("_varies"),
                       F.sum("_n").alias("_n"))
     rules = []
-    for rank, name in enumerate(PREFERENCE[spec.question_type], 1):
+    for rank, name in enumerate(candidates(spec.question_type), 1):
         rules.append(F.struct(F.lit(name).alias("model"), F.lit(rank).alias("rank"),
                               _reason(name, names, have).alias("reason")))
     out = facts.select(*by, F.explode(F.array(*rules)).alias("r"))
@@ -259,7 +259,7 @@ def admissible_models(df: DataFrame, spec: PanelSpec, by: Sequence[str] = ()) ->
 
 
 def _reason(model: str, names: dict, have: dict) -> Column:
-    m = MODELS[model]
+    m = all_models()[model]
     missing = [k for k in m.required if names[k] is None]
     absent = [f"{k}={names[k]}" for k in m.required if names[k] is not None and k not in have]
     if missing:
@@ -293,7 +293,7 @@ def choose_model(admissible: DataFrame, by: Sequence[str] = (), override: str |
             F.lit(f"Override '{override}' isn't valid for this question type.")))
     else:
         error = F.when(F.col("model").isNull(), F.lit("No admissible model found"))
-    display = F.create_map(*[F.lit(v) for m in MODELS.values() for v in (m.name, m.display_name)])
+    display = F.create_map(*[F.lit(v) for m in all_models().values() for v in (m.name, m.display_name)])
     return out.select(*by, "model", F.try_element_at(display, F.coalesce("model", F.lit(""))).alias("display_name"),
                       F.array_join(F.when(F.col("model").isNull(), F.array().cast("array<string>"))
                                    .otherwise(alternatives), ",").alias("alternatives"), error.alias("error"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.scale import attach, group_agg
-from ..spec import MODELS
+from ..spec import all_models
 
 ROWS = ("coefficient", "standard error", "R²", "N", "Fixed Effects", "SE type")
 LEGEND = "***p < 0.001, **p < 0.01, *p < 0.05, †p < 0.10. Standard errors in parentheses."
@@ -57,7 +57,7 @@ def table_lines(table: DataFrame, models: Sequence[str], predictor: str, outcome
 def result_texts(results: DataFrame, by: Sequence[str] = (), causal: bool = False) -> DataFrame:
     """Verdict, plain-English bullets and summary of every result row."""
     c = F.col
-    names = F.create_map(*[F.lit(v) for m in MODELS.values() for v in (m.name, m.display_name)])
+    names = F.create_map(*[F.lit(v) for m in all_models().values() for v in (m.name, m.display_name)])
     label = F.coalesce(F.try_element_at(names, c("model")), c("model"))
     args = (c("estimate"), c("pvalue"), c("ci_lower"), c("ci_upper"))
     return results.where(c("status") == "ok").select(

@@ -90,3 +90,42 @@ PREFERENCE: dict[str, tuple[str, ...]] = {
     "association": ("panel_ols", "entity_fe", "time_fe", "first_difference", "ols", "pooled_ols",
                     "log_linear", "log_log", "polynomial_ols", "median_quantile"),
 }
+
+
+_ADDED: dict[str, tuple[ModelSpec, str | None]] = {}
+
+
+def add_model(spec: ModelSpec, before: str | None = None) -> None:
+    """Let a further model be a candidate for its question type: before the model named, or after all others.
+
+    Adding a name again replaces what it stood for; names of the registry cannot be taken.
+    """
+    if spec.name in MODELS:
+        raise ValueError(f"'{spec.name}' is a model of the registry")
+    if spec.question_type not in PREFERENCE:
+        raise ValueError(f"no question type '{spec.question_type}': there are {', '.join(PREFERENCE)}")
+    odd = [r for r in spec.required if r not in _PANEL]
+    if odd or "outcome" not in spec.required:
+        raise ValueError(f"required fields are outcome and any of treatment, unit and time, not {', '.join(odd) or 'none of them'}")
+    _ADDED.pop(spec.name, None)
+    if before is not None and before not in candidates(spec.question_type):
+        raise ValueError(f"'{before}' is no candidate for {spec.question_type}")
+    _ADDED[spec.name] = (spec, before)
+
+
+def drop_model(name: str) -> None:
+    """Take an added model back."""
+    _ADDED.pop(name, None)
+
+
+def all_models() -> dict[str, ModelSpec]:
+    return MODELS | {name: spec for name, (spec, _) in _ADDED.items()}
+
+
+def candidates(question_type: str) -> tuple[str, ...]:
+    """Models of a question type in order of preference, added ones in their places."""
+    out = list(PREFERENCE[question_type])
+    for name, (spec, before) in _ADDED.items():
+        if spec.question_type == question_type:
+            out.insert(out.index(before) if before in out else len(out), name)
+    return tuple(out)

@@ -247,6 +247,17 @@ def test_suite_drops_the_difference_check_when_the_level_is_fine(spark):
     assert ids == ["adf", "kpss", "ljung_box", "jarque_bera"]
 
 
+def test_arima_suite_looks_at_the_changes_of_a_wandering_level(spark, walk):
+    rows = D.arima_diagnostics(series(spark, walk), "y", "t").collect()
+    got = {r["check_id"]: r for r in rows}
+    assert [r["check_id"] for r in rows] == ["adf", "adf_diff", "kpss", "ljung_box", "jarque_bera"]
+    changes = np.diff(walk)
+    most = int(np.ceil(12 * (119 / 100) ** 0.25))
+    lag = min(range(most + 1), key=lambda k: _adf(changes, k, most + 1)[1])
+    assert got["adf"]["status"] == "violated" and got["adf_diff"]["status"] == "ok"
+    assert got["adf_diff"]["detail"]["lag"] == lag and got["adf_diff"]["statistic"] == pytest.approx(_adf(changes, lag, lag + 1)[0], rel=1e-7)
+
+
 def test_degenerate_series_do_not_stop_the_others(spark):
     """A straight line, a constant and one jump beside a noisy series: every series gets its rows."""
     rng = np.random.default_rng(5)

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from panelspan import PanelSpec, analyze, register_estimator, run_model, whatif
+from panelspan import ModelSpec, PanelSpec, analyze, register_estimator, run_model, unregister_estimator, whatif
 from panelspan.operators import forecast as FC
 from panelspan.operators import post as PO
+from panelspan.operators import prepare as PP
 from panelspan.operators import regress as R
 from panelspan.operators import tables as TB
 
@@ -141,3 +142,40 @@ def test_several_models_need_keys(spark):
     assert sorted((r["g"], r["h"]) for r in shocked) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
     with pytest.raises(ValueError, match="several series"):
         PO.whatif_shock(paths, grid.withColumnRenamed("x", "shock"))
+
+
+def test_an_added_model_with_a_spec_is_chosen_by_analyze(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"u{u}", 2000 + t, float(np.exp(1 + 0.3 * x + 0.05 * u + rng.normal() * 0.1)), float(x)) for u in range(6) for t in range(10) for x in [rng.normal() + t / 5]]
+    df = spark.createDataFrame(rows, "unit string, year int, sales double, price double")
+    own = ModelSpec("log_within", "association", "Logs within units", ("outcome", "treatment", "unit"), needs_variation=True, positive_outcome=True)
+
+    def fit(df, y, x, t, u, by):
+        rows = R.entity_fe(df.withColumn(y, F.log(y)), y, x, u, by)
+        return rows.withColumn("model", F.lit("log_within"))
+
+    panel = PanelSpec("sales", "price", "unit", "year")
+    try:
+        register_estimator("log_within", fit, own, before="panel_ols")
+        a = analyze(df, panel)
+        assert a.model == "log_within" and a.result.first()["estimate"] == pytest.approx(0.3, abs=0.03)
+        ranks = [r["model"] for r in a.admissible.orderBy("rank").collect()]
+        assert ranks[:2] == ["log_within", "panel_ols"] and len(ranks) == 11
+        chosen = PP.choose_model(a.admissible).first()
+        assert chosen["model"] == "log_within" and chosen["display_name"] == "Logs within units"
+        below = PP.admissible_models(df.withColumn("sales", F.col("sales") - 100), panel).where("model = 'log_within'").first()
+        assert below["status"] == "rejected" and "strictly positive" in below["reason"]
+        gone = PP.admissible_models(df.drop("unit"), panel).where("model = 'log_within'").first()
+        assert gone["reason"] == "Columns not in data: unit=unit"
+        register_estimator("log_within", fit, own)                 # again, now after all others
+        assert PP.admissible_models(df, panel).orderBy(F.desc("rank")).first()["model"] == "log_within"
+    finally:
+        unregister_estimator("log_within")
+    assert PP.admissible_models(df, panel).count() == 10
+    for odd in (ModelSpec("ols", "association", "x", ("outcome",)), ModelSpec("own", "nothing", "x", ("outcome",)), ModelSpec("own", "association", "x", ("price",))):
+        with pytest.raises(ValueError):
+            register_estimator(odd.name, fit, odd)
+    with pytest.raises(ValueError):
+        register_estimator("own", fit, ModelSpec("own", "forecast", "x", ("outcome",)), before="ols")
+    with pytest.raises(ValueError):
+        run_model(df, "own", "sales", "price")
