@@ -175,6 +175,8 @@ SLOTS = 1 << 22             # counters of shingles, and
 SLOT_BLOCK = 1 << 14        # how many of them travel in one row
 CHUNK = 1024                # documents of one shingle that meet in one group
 SIGNS, SIGNS_SHARED = 32, 6     # two sets of similarity 0.8 share fewer of their 32 smallest hashes with probability 1e-13
+HUBS = 4                    # documents of a bucket that all its others are checked with first
+IDS_SENT = 2_000_000        # ids (16 MB) that are sent to all tasks rather than joined
 
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
@@ -215,8 +217,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
     Two documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
     ``similarity`` (0.8 or more). Equal sets go through one representative each, which stands for them to the end. Pairs of
     SimHash fingerprints of the sets within ``radius`` bits are checked first. Then every set is entered under its rarest
-    shingles (``_entries``), where any two similar sets meet: first with the smallest document there only, which joins a
-    text and its many copies by one link each, and then with all documents that are still in other components. Every link
+    shingles (``_entries``), where any two similar sets meet: first with ``HUBS`` of the documents there only, which joins most of
+    a large group by a few links each, and then with all documents that are still in other components. Every link
     is checked by the sets themselves. Rows with a null id are left out, rows that repeat an id are one document, and texts
     without words are copies of each other.
     """
@@ -245,7 +247,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
     close = near_links(near, radius).unionByName(copies.join(near, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b"))
     links = _checked(close, marks, rows, similarity, shingle).unionByName(tied)
     entries = written(_entries(rows, similarity, shingle))
-    alone = entries.join(member.where("id <> rep").select("id").distinct(), "id", "left_anti")      # texts stay where they are, entries travel
+    gone = written(member.where("id <> rep").select("id").distinct())
+    alone = entries.join(F.broadcast(gone) if gone.count() <= IDS_SENT else gone, "id", "left_anti")     # texts and, as a rule, entries stay where they are
     met = written(_met_rows(alone.select("id", "n", F.explode("e").alias("e")).select("e.tok", "e.part", "id", "n", "e.at"), similarity))
     discard(near)
     discard(entries)
@@ -253,7 +256,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILAR, shingle: int
     joined = written(components(links))
     late = _checked(_apart(met.where("b IS NULL").drop("b"), joined, similarity), marks, rows, similarity, shingle)
     final = written(components(links.unionByName(late)))
-    for table in (joined, met, links, tied, own):
+    for table in (joined, met, links, tied, own, gone):
         discard(table)
     known = final.select(F.col("id").alias("rep"), "component")
     out = member.join(known, "rep", "left").where("component IS NOT NULL OR n > 1")
@@ -400,29 +403,35 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _met_rows(entries: DataFrame, similarity: float) -> DataFrame:
-    """Entries of buckets with several documents, and for each a candidate: the bucket's smallest document as ``b``.
+    """Entries of buckets with several documents, and candidates of them: the bucket's hubs as ``b``.
 
-    Rows are entries (b is null) or candidates (id, b). Most shingles belong to one document and end here.
+    Hubs are the smallest document and those that come first by some hashes of the id, the same ones in many buckets. Rows
+    are entries (b is null) or candidates (id, b, nothing else). Most shingles belong to one document and end here.
     """
     ddl = f"{ENTRY}, b long"
     schema = arrow_schema(ddl)
 
-    def table(rows: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        columns = [pa.array(rows[:, k]).cast(schema.field(k).type) for k in range(5)]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64()) if b is None else pa.array(b)], schema=schema)
+    factors = np.random.default_rng(SEED + 2).integers(0, 1 << 62, HUBS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_buckets(batches):
             begins = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1])
             size = np.diff(np.append(begins, len(rows)))
-            first = np.repeat(begins, size)
             several = np.repeat(size, size) > 1
-            hub = rows[first]
-            fine = several & (rows[:, 2] != hub[:, 2]) & _possible(rows[:, 3], rows[:, 4], hub[:, 3], hub[:, 4], similarity)
-            if several.any():
-                yield table(rows[several], None)
-            if fine.any():
-                yield table(rows[fine], hub[fine, 2])
+            if not several.any():
+                continue
+            rows, size = rows[several], size[size > 1]
+            yield pa.RecordBatch.from_arrays([*[pa.array(rows[:, k]).cast(schema.field(k).type) for k in range(5)], pa.nulls(len(rows), pa.int64())], schema=schema)
+            begins, bucket, found = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), []
+            for r in range(HUBS):
+                order = np.arange(len(rows)) if not r else np.lexsort((rows[:, 2].view(np.uint64) * factors[r], bucket))
+                hub = rows[np.repeat(order[begins], size)]
+                fine = (rows[:, 2] != hub[:, 2]) & _possible(rows[:, 3], rows[:, 4], hub[:, 3], hub[:, 4], similarity)
+                found.append(np.stack([rows[fine, 2], hub[fine, 2]], 1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            if len(pairs):
+                nothing = [pa.nulls(len(pairs), schema.field(k).type) for k in (0, 1, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*nothing[:2], pa.array(pairs[:, 0]), *nothing[2:], pa.array(pairs[:, 1])], schema=schema)
 
     return entries.repartition("tok", "part").sortWithinPartitions("tok", "part", "id").mapInArrow(run, ddl)
 
