@@ -97,8 +97,12 @@ def replayed(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tupl
     return before, rate
 
 
-def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | None, least: float = 0.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, reached and wanted token totals. ``narrow`` is a written table of _llm_p and _llm_n."""
+def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | None, least: float = 0.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, bool]:
+    """Steps, reached and wanted token totals, and whether the fit ended. ``narrow`` is a written table of _llm_p and _llm_n.
+
+    It ends when the totals are the wanted ones (``CLOSE``), or when rates stand still (``STILL``): then the least of rates keeps
+    the totals apart. After ``PASSES`` passes it is given up.
+    """
     schema = arrow_schema("cell int, v double")
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, float]:
@@ -117,39 +121,44 @@ def fit_rates(narrow: DataFrame, k: int, shares: np.ndarray, budget: float | Non
     have, _ = totals([])
     whole = have.sum()
     if not whole:
-        return [], have, have
+        return [], have, have, True
     # Without a budget, a hair above what keeps every rate at 1, so that rounding takes no document away.
     wanted = shares * (budget if budget is not None else (have / np.maximum(shares, 1e-12)).max() * (1 + 1e-5))
     steps: list[np.ndarray] = []
-    length, reached = 1.0, have
+    length, reached, settled = 1.0, have, False
     for _ in range(PASSES):
         steps.append(length * (reached - wanted) / whole)
         now, moved = totals(steps)
         change = now - reached
         reached = now
-        if np.abs(reached - wanted).max() <= CLOSE * wanted.max() or moved <= STILL * whole:
+        settled = bool(np.abs(reached - wanted).max() <= CLOSE * wanted.max() or moved <= STILL * whole)
+        if settled:
             break
         length = float(min(max(moved * whole / max((change * change).sum(), 1e-300), 1e-3), 1e3))
-    return steps, reached, wanted
+    return steps, reached, wanted, settled
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], domain_column: str = "lang", budget: float | None = None, least: float = 0.0,
         keep: Column | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` with n_tokens (words), posterior (array in the order of ``targets``), rate and copies.
+    """All columns of ``docs`` with n_tokens (words), posterior (array in the order of ``targets``), rate, copies, settled and off.
 
     ``targets`` are positive weights of domains; ``domain_column`` names the domain of labelled documents and is read nowhere
     else. ``budget`` is the expected total of tokens; None takes the least at which no domain has to give any away. Rates
     are at least ``least`` (at most 1; with 1 every document stays). ``copies`` realises the rate: its whole part, and one more with the probability of the
     rest by a hash of id and text. A null or empty text has no tokens, the prior as posterior and a rate like any other.
     Rows of equal id and text get equal copies. Columns of these names are replaced. An empty table gives no rows.
+    ``settled`` is false in all rows if the fit of rates was given up before it ended, and ``off`` is the largest distance of
+    an expected total from its target, as a part of the largest target (a ``least`` above 0 may keep them apart for good).
     """
-    docs = docs.drop("n_tokens", "posterior", "rate", "copies")
+    docs = docs.drop("n_tokens", "posterior", "rate", "copies", "settled", "off")
     names = list(targets)
     shares = np.array([float(targets[d]) for d in names])
     if not len(names) or (shares <= 0).any() or not 0 <= least <= 1:
         raise ValueError("targets need positive weights, and least must lie in 0 to 1")
     model = fit_domains(docs, labels, names, domain_column, keep, fit_rows, id_column, text_column)
-    steps, _, _ = fit_rates(written(memberships(docs.select(text_column), model, text_column).select("_llm_p", "_llm_n")), len(names), shares / shares.sum(), budget, least)
+    steps, reached, wanted, settled = fit_rates(written(memberships(docs.select(text_column), model, text_column).select("_llm_p", "_llm_n")), len(names), shares / shares.sum(), budget, least)
     rated = memberships(docs, model, text_column, steps, least)
     chance = F.pmod(F.xxhash64(F.lit("copies"), id_column, text_column), F.lit(1 << 30)) / (1 << 30)
+    off = float(np.abs(reached - wanted).max() / max(wanted.max(), 1e-300)) if len(wanted) else 0.0
+    rated = rated.withColumn("settled", F.lit(settled)).withColumn("off", F.lit(off))
     return rated.withColumn("n_tokens", F.col("_llm_n").cast("long")).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumnRenamed("_llm_p", "posterior").drop("_llm_n")

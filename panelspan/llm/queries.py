@@ -99,7 +99,7 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
     shares = [F.round(F.get("posterior", F.lit(i)), 9).alias(f"p_{d}") for i, d in enumerate(MIX)]
-    return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 9).alias("rate"), "copies")
+    return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 9).alias("rate"), "copies", "settled")
 
 
 @query("op1_hmm_scores")

@@ -473,7 +473,7 @@ def test_long_text_is_scanned_in_overlapping_parts(monkeypatch):
     assert covered == [s for a, b in zip(bounds[:-1], bounds[1:], strict=True) for s in range(a, b - 49)]
 
 
-def test_mixing(docs, labels, spark):
+def test_mixing(docs, labels, spark, monkeypatch):
     rng = random.Random(7)
     rows = [(i, words(rng, rng.randint(5, 200), "xx" if i % 4 == 0 else "yy"), "a" if i % 4 == 0 else "b") for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -490,6 +490,10 @@ def test_mixing(docs, labels, spark):
     same_ids(odd.collect(), docs)
     assert odd.where("rate is null or rate < 0 or copies is null or n_tokens is null").count() == 0
     assert mixing.mix(docs.limit(0), labels, {"en": 1.0}).count() == 0
+    assert {r.settled for r in got} == {r.settled for r in fixed} == {True} and max(r.off for r in got + fixed) < 1e-5
+    monkeypatch.setattr(mixing, "PASSES", 1)
+    left = mixing.mix(table, marks, {"a": 3.0, "b": 1.0}, budget=8000.0).collect()
+    assert {r.settled for r in left} == {False} and left[0].off > 1e-4
 
 
 def test_crc_of_the_contract(spark):
