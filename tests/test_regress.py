@@ -153,7 +153,7 @@ def test_median_regression_is_the_same_whatever_a_task_holds(spark, by):
 def test_median_regression_of_odd_groups(spark):
     n = 400
     x = np.arange(n, dtype=float)
-    rows = [("line", 3.0 * a + 1, a) for a in x] + [("most", 3.0 * a + (50.0 if i % 5 == 0 else 0.0), a) for i, a in enumerate(x)]
+    rows = [("line", 3.0 * a + 1, a) for a in x.tolist()] + [("most", 3.0 * a + (50.0 if i % 5 == 0 else 0.0), a) for i, a in enumerate(x.tolist())]
     rows += [("few", float(i), float(i)) for i in range(7)] + [("flat", float(i), 2.0) for i in range(20)] + [("few", None, 1.0)]
     rows += [("repeats", 2.0 * (i % 3), float(i % 3)) for i in range(900)] + [("repeats", 100.0, 2.0)] * 5
     df = spark.createDataFrame(rows, "g string, y double, x double")
