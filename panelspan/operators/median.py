@@ -61,8 +61,10 @@ def median_quantile(df: DataFrame, outcome: str, treatment: str, by: Sequence[st
         if not fresh.limit(1).count():
             break
         state = materialise(_round(facts, fresh, keys, points))
+        # A share without any point says nothing: the next round picks another.
+        again = fresh.join(state.select(*keys), keys, "left_anti").withColumn("_iter", F.col("_iter") + 1)
         done = done.unionByName(state.where("_done").drop("_done"))
-        fresh = state.where(~F.col("_done")).drop("_done")
+        fresh = state.where(~F.col("_done")).drop("_done").unionByName(again.select(*fresh.columns))
     done = done.unionByName(fresh)
     lines = materialise(done.select(*keys, (F.col("_my") + F.col("_c") - F.col("_s") / F.col("_sd") * F.col("_mx")).alias("_a"),
                                     (F.col("_s") / F.col("_sd")).alias("_b"), "_c", "_s", "_mx", "_my", "_sd", "_iter", "_proven"))
@@ -79,13 +81,13 @@ def _round(facts: DataFrame, state: DataFrame, keys: list[str], points: int) ->
     """The next state of each open group."""
     near = F.col("_reach").isNull() | (F.abs("_e") <= F.col("_reach") * (1 + F.abs("_u")))
     rows = _measured(facts, state, keys)
-    if state.where(F.col("_reach").isNotNull()).limit(1).count():
+    if state.where(F.col("_reach").isNotNull() | (F.col("_n") > points)).limit(1).count():
         point = F.when(near, F.xxhash64("_x", "_y"))
         pull = materialise(rows.groupBy(*keys).agg(F.sum(F.when(near, 0.0).otherwise(F.signum("_e"))).alias("_p0"),
                                                    F.sum(F.when(near, 0.0).otherwise(F.signum("_e") * F.col("_u"))).alias("_p1"),
                                                    F.approx_count_distinct(point, 0.02).alias("_m")))
         state = state.join(pull, keys)
-    else:           # the first round: nothing is out of reach
+    else:           # the first round of small groups: nothing is out of reach, and there are no more points than rows
         state = state.withColumns({"_p0": F.lit(0.0), "_p1": F.lit(0.0), "_m": F.col("_n")})
     state = materialise(state.withColumn("_share", F.when(F.col("_flat"), 1).otherwise(F.ceil(F.col("_m") / points)).cast("long")))
     inside = _measured(facts, state, keys).where(near & (F.pmod(F.xxhash64("_x", "_y", "_iter"), F.col("_share")) == 0))
