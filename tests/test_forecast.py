@@ -296,3 +296,14 @@ def test_comparison_ranks_the_rows_of_all_four_models(spark):
         order = sorted((c for (k, _), c in got.items() if k == g), key=lambda c: c["rank"])
         assert [c["rank"] for c in order] == [1, 2, 3, 4] and [c["rmse"] for c in order] == sorted(c["rmse"] for c in order)
         assert all(c["vs_random_walk"] == pytest.approx(c["rmse"] / got[g, "random_walk"]["rmse"]) for c in order)
+
+
+def test_arima_suite_shows_what_its_sql_shows(spark):
+    """On these orders a unit root statistic of -9.6901147 is -9.690115 to six places, and from there -9.69012 to five."""
+    import duckdb
+    from panelspan import catalog
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{small}/orders.parquet'")
+    want = con.execute(catalog.ORACLES["arima_diagnostics"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["arima_diagnostics"](spark, small).collect())) == sorted(want)
