@@ -207,29 +207,50 @@ def _arma_errors(w, theta, p):
 
     ``theta`` columns: constant, AR 1..3, MA 1..3; unused lags are zero.
     """
-    rows, size = w.shape
-    signal = w - theta[:, :1]
+    return np.ascontiguousarray(_errors_by_time(np.ascontiguousarray(w.T), theta.T, p).T)
+
+
+def _errors_by_time(w, theta, p):
+    """The same with a row per period and a column per series, also in ``theta``."""
+    e = w - theta[0]
     for i in range(1, MAX_P + 1):
-        signal[:, i:] -= theta[:, i:i + 1] * w[:, :-i]
-    signal[np.arange(size)[None, :] < p[:, None]] = 0.0
-    ma = theta[:, MAX_P + 1:]
-    if not ma.any():
-        return signal
-    e = np.zeros((MAX_Q + size, rows))
-    first, second, third = ma.T
-    for t, now in enumerate(signal.T):
-        e[t + MAX_Q] = now - first * e[t + 2] - second * e[t + 1] - third * e[t]
-    return e[MAX_Q:].T
+        if theta[i].any():
+            e[i:] -= theta[i] * w[:-i]
+    e[np.arange(len(w))[:, None] < p] = 0.0
+    for j in range(MAX_Q, 0, -1):
+        if theta[MAX_P + j].any():
+            break
+    else:
+        return e
+    for t in range(1, len(e)):
+        for i in range(1, min(j, t) + 1):
+            e[t] -= theta[MAX_P + i] * e[t - i]
+    return e
+
+
+def _within(coef, limit):
+    """Whether all roots of a lag polynomial (one per row) are well inside ``limit``: its partial autocorrelations are below 1."""
+    phi, inside = coef / limit ** np.arange(1, coef.shape[1] + 1), np.ones(len(coef), dtype=bool)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for j in range(coef.shape[1], 0, -1):
+            last = phi[:, j - 1:j]
+            inside &= np.abs(last[:, 0]) < 1 - 1e-9
+            phi = (phi[:, :j - 1] + last * phi[:, :j - 1][:, ::-1]) / (1 - last * last)
+    return inside
 
 
 def _inside(coef, limit=0.98):
     """Scale lag polynomials whose roots reach the unit circle (one per row)."""
-    top = np.zeros((len(coef), coef.shape[1], coef.shape[1]))
-    top[:, 0, :] = coef
+    out, far = coef.copy(), np.flatnonzero(~_within(coef, limit))
+    if not len(far):
+        return out
+    top = np.zeros((len(far), coef.shape[1], coef.shape[1]))
+    top[:, 0, :] = coef[far]
     top[:, range(1, coef.shape[1]), range(coef.shape[1] - 1)] = 1.0
     big = np.abs(np.linalg.eigvals(top)).max(axis=1)
     shrink = np.where(big > limit, limit / np.maximum(big, 1e-12), 1.0)
-    return coef * shrink[:, None] ** np.arange(1, coef.shape[1] + 1)
+    out[far] *= shrink[:, None] ** np.arange(1, coef.shape[1] + 1)
+    return out
 
 
 def _admissible(theta):
@@ -239,55 +260,75 @@ def _admissible(theta):
     return out
 
 
-def _arma_start(w, p, q, with_const):
-    """Hannan-Rissanen: a long autoregression gives errors, then one regression on lags of both."""
-    n = len(w)
-    long = max(1, min(n // 4, p + q + 5))
-    lags = np.column_stack([np.ones(n - long)] + [w[long - i:n - i] for i in range(1, long + 1)])
-    rough = np.zeros(n)
-    rough[long:] = w[long:] - lags @ np.linalg.lstsq(lags, w[long:], rcond=None)[0]
-    m = long + q if q else p
-    cols = ([np.ones(n - m)] if with_const else []) + [w[m - i:n - i] for i in range(1, p + 1)] + [
-        rough[m - i:n - i] for i in range(1, q + 1)]
-    beta = np.linalg.lstsq(np.column_stack(cols), w[m:], rcond=None)[0]
-    c = int(with_const)
-    theta = np.zeros(ORDER)
-    theta[:c] = beta[:c]
-    theta[1:1 + p], theta[MAX_P + 1:MAX_P + 1 + q] = beta[c:c + p], beta[c + p:]
+def _least_squares(columns, y):
+    """Coefficients of many regressions of one shape; ``columns`` and ``y`` have a regression per row, periods left out are zero."""
+    x = np.stack(columns, axis=2)
+    size, k = np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300), x.shape[2]
+    out, fine = np.zeros((len(x), k)), np.zeros(len(x), dtype=bool)
+    if x.shape[1] > k:
+        r = np.linalg.qr(np.concatenate([x / size[:, None, :], y[:, :, None]], axis=2), mode="r")
+        fine = np.abs(np.diagonal(r, axis1=1, axis2=2)[:, :k]).min(axis=1) > 1e-7
+        out[fine] = np.linalg.solve(r[fine, :k, :k], r[fine, :k, k:])[:, :, 0] / size[fine]
+    for i in np.flatnonzero(~fine):         # columns that depend on each other
+        out[i] = np.linalg.lstsq(x[i], y[i], rcond=None)[0]
+    return out
+
+
+def _arma_start(w, sizes, p, q, with_const):
+    """Hannan-Rissanen: a long autoregression gives errors, then one regression on lags of both. Series are rows of ``w``."""
+    def back(x, i):
+        out = np.zeros_like(x)
+        out[:, i:] = x[:, :-i]
+        return out
+
+    theta, place = np.zeros((len(w), ORDER)), np.arange(w.shape[1])[None, :]
+    shapes, group = np.unique(np.stack([np.maximum(1, np.minimum(sizes // 4, p + q + 5)), p, q, with_const], axis=1), axis=0, return_inverse=True)
+    for g, (long, ar, ma, c) in enumerate(shapes.tolist()):
+        who = np.flatnonzero(group.ravel() == g)
+        x, ends = w[who], place < sizes[who][:, None]
+        lags = [back(x, i) for i in range(1, max(long, ar) + 1)]
+        on = (ends & (place >= long)).astype(float)
+        rough, cols = x * on, [on, *[v * on for v in lags[:long]]]
+        beta = _least_squares(cols, rough)
+        for i, v in enumerate(cols):
+            rough = rough - beta[:, i:i + 1] * v
+        on = (ends & (place >= (long + ma if ma else ar))).astype(float)
+        beta = _least_squares(([on] if c else []) + [v * on for v in lags[:ar]] + [back(rough, i) * on for i in range(1, ma + 1)], x * on)
+        theta[who, :c] = beta[:, :c]
+        theta[who, 1:1 + ar], theta[who, MAX_P + 1:MAX_P + 1 + ma] = beta[:, c:c + ar], beta[:, c + ar:]
     return theta
 
 
 def _fit_batch(w, sizes, p, q, with_const, skip):
     """Conditional least squares of many orders and series at once: damped Gauss-Newton.
 
-    The loss leaves out the first ``skip`` points, so that orders of a series share one sample.
+    The loss leaves out the first ``skip`` points, so that orders of a series share one sample. The errors have a row per period.
     """
     rows, size = w.shape
-    place = np.arange(size)[None, :]
-    used = (place >= skip[:, None]) & (place < sizes[:, None])
+    place = np.arange(size)[:, None]
+    used = (place >= skip) & (place < sizes)
     lags = np.arange(1, MAX_P + 1)[None, :]
     free = np.concatenate([with_const[:, None], lags <= p[:, None], lags <= q[:, None]], axis=1)
-    theta = _admissible(np.stack([_arma_start(w[i, :sizes[i]], int(p[i]), int(q[i]), bool(with_const[i])) for i in range(rows)]))
+    theta, by_time = _admissible(_arma_start(w, sizes, p, q, with_const)), np.ascontiguousarray(w.T)
 
-    def errors(th, who=slice(None)):
-        return np.where(used[who], _arma_errors(w[who], th, p[who]), 0.0)
+    def errors(th, who):
+        return np.where(used[:, who], _errors_by_time(by_time[:, who], np.ascontiguousarray(th.T), p[who]), 0.0)
 
-    e = errors(theta)
-    best = np.einsum("rt,rt->r", e, e)
+    e = errors(theta, np.arange(rows))
+    best = (e * e).sum(axis=0)
     damp, live = np.full(rows, 1e-3), np.ones(rows, dtype=bool)
     for _ in range(30):
         who = np.flatnonzero(live)
         if not len(who):
             break
         step = 1e-6 * np.maximum(np.abs(theta[who]), 0.1)
-        jac = np.zeros((len(who), size, ORDER))
-        for k in range(ORDER):
-            if free[who, k].any():
-                moved = theta[who].copy()
-                moved[:, k] += step[:, k]
-                jac[:, :, k] = (errors(moved, who) - e[who]) / step[:, k:k + 1] * free[who, k:k + 1]
-        normal = np.einsum("rtk,rtl->rkl", jac, jac)
-        slope = np.einsum("rtk,rt->rk", jac, e[who])
+        at, k = np.nonzero(free[who])           # one column per open fit and free parameter
+        moved, change = theta[who[at]], step[at, k]
+        moved[np.arange(len(at)), k] += change
+        jac = np.zeros((len(who), ORDER, size))
+        jac[at, k] = ((errors(moved, who[at]) - e[:, who[at]]) / change).T
+        normal = jac @ jac.transpose(0, 2, 1)
+        slope = (jac @ e.T[who][:, :, None])[:, :, 0]
         size_of = np.maximum(np.einsum("rkk->rk", normal), 1e-12)
         normal[:, range(ORDER), range(ORDER)] += np.where(free[who], 0.0, 1.0)
         gained, todo = np.zeros(len(who), dtype=bool), np.arange(len(who))
@@ -298,16 +339,16 @@ def _fit_batch(w, sizes, p, q, with_const, skip):
             ridge[:, range(ORDER), range(ORDER)] += damp[who[todo], None] * size_of[todo]
             trial = _admissible(theta[who[todo]] - _solved(ridge, slope[todo]))
             fresh = errors(trial, who[todo])
-            value = np.einsum("rt,rt->r", fresh, fresh)
+            value = (fresh * fresh).sum(axis=0)
             good = value < best[who[todo]]
             done = who[todo[good]]
             gained[todo[good]] = (best[done] - value[good]) > 1e-8 * best[done]
-            theta[done], e[done], best[done] = trial[good], fresh[good], value[good]
+            theta[done], e[:, done], best[done] = trial[good], fresh[:, good], value[good]
             damp[done] /= 5
             damp[who[todo[~good]]] *= 8
             todo = todo[~good]
         live[who[~gained]] = False
-    return theta, e, best, used.sum(axis=1)
+    return theta, e, best, used.sum(axis=0)
 
 
 def _solved(a, b):
@@ -321,29 +362,31 @@ def _solved(a, b):
         return (np.linalg.pinv(a, hermitian=True) @ b)[:, :, 0]
 
 
-def _psi_weights(ar, ma, d, horizon):
-    """Moving-average weights of the (integrated) process, for forecast variances."""
-    poly = np.concatenate([[1.0], -np.asarray(ar)])
-    for _ in range(d):
-        poly = np.convolve(poly, [1.0, -1.0])
-    psi = np.zeros(horizon)
-    psi[0] = 1.0
+def _psi_weights(theta, d, horizon):
+    """Moving-average weights of the (integrated) processes, for forecast variances: one row each."""
+    poly = np.concatenate([np.ones((len(theta), 1)), -theta[:, 1:MAX_P + 1], np.zeros((len(theta), MAX_D))], axis=1)
+    for k in range(MAX_D):
+        once = poly.copy()
+        once[:, 1:] -= poly[:, :-1]
+        poly = np.where(d[:, None] > k, once, poly)
+    psi = np.zeros((len(theta), horizon))
+    psi[:, 0] = 1.0
     for j in range(1, horizon):
-        psi[j] = (ma[j - 1] if j <= len(ma) else 0.0) - sum(
-            poly[i] * psi[j - i] for i in range(1, min(j, len(poly) - 1) + 1))
+        psi[:, j] = (theta[:, MAX_P + j] if j <= MAX_Q else 0.0) - sum(
+            poly[:, i] * psi[:, j - i] for i in range(1, min(j, poly.shape[1] - 1) + 1))
     return psi
 
 
-def _forecast_path(y, w, e, theta, p, d, q, sigma2, horizon):
-    """Forecasts and standard errors after the values y (differenced: w) with errors e."""
-    ar, ma = theta[1:1 + p], theta[MAX_P + 1:MAX_P + 1 + q]
-    hist, errs, path = list(w[-MAX_P:]), list(e[-MAX_Q:]), []
+def _forecast_path(last, w, e, theta, d, sigma2, horizon):
+    """Forecasts and standard errors of many fits (rows) after the values ``last``, of the last values w (differenced) and errors e."""
+    hist, errs, path = list(w.T), list(e.T), []
     for _ in range(horizon):
-        path.append(theta[0] + sum(a * hist[-j] for j, a in enumerate(ar, 1)) + sum(b * errs[-j] for j, b in enumerate(ma, 1)))
+        path.append(theta[:, 0] + sum(theta[:, j] * hist[-j] for j in range(1, MAX_P + 1)) + sum(theta[:, MAX_P + j] * errs[-j] for j in range(1, MAX_Q + 1)))
         hist.append(path[-1])
-        errs.append(0.0)
-    path = y[-1] + np.cumsum(path) if d else np.asarray(path)
-    return path, np.sqrt(sigma2 * np.cumsum(_psi_weights(ar, ma, d, horizon) ** 2))
+        errs.append(np.zeros(len(theta)))
+    path = np.stack(path, axis=1)
+    path = np.where(d[:, None] > 0, last[:, None] + np.cumsum(path, axis=1), path)
+    return path, np.sqrt(sigma2[:, None] * np.cumsum(_psi_weights(theta, d, horizon) ** 2, axis=1))
 
 
 def _arima_batch(ys, p, d, q, horizon):
@@ -356,13 +399,10 @@ def _arima_batch(ys, p, d, q, horizon):
     theta, e, sse, used = _fit_batch(w, sizes, p, q, d == 0, MAX_P + (MAX_D - d))
     sigma2 = np.maximum(sse / used, 1e-300)
     aic = used * (np.log(2 * np.pi * sigma2) + 1) + 2 * (p + q + (d == 0) + 1)
-    out = []
-    for i, y in enumerate(ys):
-        path, spread = _forecast_path(y, ws[i], e[i, :sizes[i]], theta[i], p[i], int(d[i]), q[i], sigma2[i], horizon)
-        ok = np.isfinite(aic[i]) and np.all(np.isfinite(path))
-        out.append((aic[i], np.sqrt(sigma2[i]), theta[i, 1] if p[i] else 0.0, list(path), list(spread)) if ok
-                   else (None,) * 5)
-    return out
+    every, ends = np.arange(len(ws))[:, None], sizes[:, None] + np.arange(-max(MAX_P, MAX_Q), 0)
+    path, spread = _forecast_path(np.array([y[-1] for y in ys]), w[every, ends][:, -MAX_P:], e[ends, every][:, -MAX_Q:], theta, d, sigma2, horizon)
+    fine, rmse = np.isfinite(aic) & np.isfinite(path).all(axis=1), np.sqrt(sigma2)
+    return [(aic[i], rmse[i], theta[i, 1], path[i], spread[i]) if ok else (None,) * 5 for i, ok in enumerate(fine)]
 
 
 FIT_COLUMNS = ["aic", "rmse", "ar1", "path", "spread"]
@@ -617,7 +657,7 @@ def _stretch_ends(y, state, n, horizon):
         w = np.diff(y, d) if d else y
         e = _arma_errors(w[None, :].copy(), theta[None, :], np.array([p]))[0]
         aic = used * (np.log(2 * np.pi * sigma2) + 1) + 2 * (p + q + (d == 0) + 1)
-        path, spread = _forecast_path(y, w, e, theta, p, d, q, sigma2, horizon)
+        (path,), (spread,) = _forecast_path(y[-1:], w[None, -MAX_P:], e[None, -MAX_Q:], theta[None, :], np.array([d]), np.array([sigma2]), horizon)
         ok = np.isfinite(aic) and np.all(np.isfinite(path))
         out.append({"aic": aic, "rmse": np.sqrt(sigma2), "ar1": theta[1] if p else 0.0, "path": list(path), "spread": list(spread)} if ok
                    else dict.fromkeys(FIT_COLUMNS))

@@ -307,3 +307,31 @@ def test_arima_suite_shows_what_its_sql_shows(spark):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{small}/orders.parquet'")
     want = con.execute(catalog.ORACLES["arima_diagnostics"]).fetchall()
     assert sorted(map(tuple, catalog.QUERIES["arima_diagnostics"](spark, small).collect())) == sorted(want)
+
+
+def test_start_values_of_many_series_at_once():
+    """Series of different length and order, one of them flat, get the values of two plain regressions each."""
+    rng = np.random.default_rng(8)
+    sizes, orders = np.array([31, 24, 27, 31, 20]), [(1, 0, True), (2, 2, True), (0, 3, False), (3, 1, False), (1, 1, True)]
+    w = np.zeros((5, 31))
+    for row, n in zip(w, sizes):
+        row[:n] = rng.normal(size=n) + 5
+    w[4, :20] = 2.0
+    p, q, c = (np.array(v) for v in zip(*orders))
+    got = FC._arma_start(w, sizes, p, q, c)
+    for y, n, (p, q, c), row in zip(w, sizes, orders, got):
+        y, long = y[:n], max(1, min(n // 4, p + q + 5))
+        x = np.column_stack([np.ones(n - long), *[y[long - i:n - i] for i in range(1, long + 1)]])
+        e = np.append(np.zeros(long), y[long:] - x @ np.linalg.lstsq(x, y[long:], rcond=None)[0])
+        m = long + q if q else p
+        x = np.column_stack([np.ones(n - m)] * c + [y[m - i:n - i] for i in range(1, p + 1)] + [e[m - i:n - i] for i in range(1, q + 1)])
+        want = np.linalg.lstsq(x, y[m:], rcond=None)[0]
+        assert np.allclose(row[np.r_[0:int(c), 1:1 + p, 4:4 + q]], want, rtol=1e-8, atol=1e-8)
+
+
+def test_only_lag_polynomials_near_the_circle_are_scaled():
+    rng = np.random.default_rng(9)
+    coef = rng.normal(size=(500, 3)) * rng.uniform(0, 1.5, size=(500, 1))
+    top = np.array([np.max(np.abs(np.roots([1.0, *-c]))) for c in coef])
+    assert (FC._inside(coef)[top < 0.98 - 1e-6] == coef[top < 0.98 - 1e-6]).all() and not FC._within(coef, 0.98)[top > 0.98].any()
+    assert FC._within(coef, 0.98)[top < 0.98 - 1e-6].all()
